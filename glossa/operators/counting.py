@@ -26,11 +26,16 @@ def line_tokens(lines: DataFrame, remove_words=None) -> DataFrame:
     return lines.select("doc_id", "line_no", tokenize(clean_text("line", words)).alias("tokens"))
 
 
+def _tag(n: int):
+    # One-argument lambda: ``transform`` passes an index to two-argument ones.
+    return lambda t: F.struct(F.lit(n).alias("n"), t.alias("term"))
+
+
 def _terms_with_order(orders) -> F.Column:
     parts = []
     for n in orders:
         terms = F.col("tokens") if n == 1 else ngram_terms("tokens", n)
-        parts.append(F.transform(terms, lambda t, n=n: F.struct(F.lit(n).alias("n"), t.alias("term"))))
+        parts.append(F.transform(terms, _tag(n)))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
