@@ -176,6 +176,15 @@ STOP = """
 stop AS (SELECT idx FROM vocab ORDER BY count DESC, word LIMIT 50)"""
 
 
+def _percent(x: str) -> str:
+    cents = f"CAST(floor({x} * 100.0 * 100.0 + 0.5) AS BIGINT)"
+    whole = f"CAST(floor({cents} / 100) AS BIGINT)"
+    frac = f"({cents} % 100)"
+    return (f"concat(CASE WHEN {frac} = 0 THEN CAST({whole} AS VARCHAR) "
+            f"WHEN {frac} % 10 = 0 THEN {whole} || '.' || CAST(CAST({frac} / 10 AS INTEGER) AS VARCHAR) "
+            f"ELSE {whole} || '.' || lpad(CAST({frac} AS VARCHAR), 2, '0') END, '%')")
+
+
 def _predict_sql(score: str, stop: bool) -> str:
     excl = "WHERE s.w NOT IN (SELECT idx FROM stop)" if stop else ""
     body = f"""
@@ -298,8 +307,7 @@ FROM test_tri t LEFT JOIN scored s ON s.u = coalesce(t.u, 0) AND s.v = coalesce(
     q["predict_no_stopwords"] = _predict_sql("stupid", True)
     fmt = _predict_sql("katz", False).replace(
         "SELECT p.phrase_id, r.w AS word_idx, x.word, round(r.prob, 8) AS prob",
-        "SELECT p.phrase_id, x.word AS Word, concat(regexp_replace(CAST(round(100 * r.prob, 2) AS VARCHAR), "
-        "'\\.0$', ''), '%') AS Probability")
+        "SELECT p.phrase_id, x.word AS Word, " + _percent("round(r.prob, 8)") + " AS Probability")
     q["predict_formatted"] = fmt
     q["accuracy_top_n"] = with_base("""
 SELECT CAST(n AS INTEGER) AS n, CAST(sum(CASE WHEN rk <= n THEN 1 ELSE 0 END) AS BIGINT) AS hits,

@@ -111,10 +111,17 @@ def block_number(seed: int, nblocks: int, *cols: Column | str) -> Column:
 
 
 def format_percent(col: Column | str) -> Column:
-    """100*p rounded to 2 places, printed without a trailing '.0', plus '%'."""
+    """100*p rounded half-up to 2 places and printed like R prints numbers
+    (12.5 not 12.50, 10 not 10.0), plus '%'.  Rounding is done on integer
+    hundredths so every engine following the same IEEE steps agrees."""
     c = F.col(col) if isinstance(col, str) else col
-    s = F.round(c * 100.0, 2).cast("string")
-    return F.concat(F.regexp_replace(s, r"\.0$", ""), F.lit("%"))
+    cents = F.floor(c * 100.0 * 100.0 + 0.5).cast("bigint")
+    whole = F.floor(cents / 100).cast("bigint").cast("string")
+    frac = cents % 100
+    text = (F.when(frac == 0, whole)
+            .when(frac % 10 == 0, F.concat(whole, F.lit("."), (frac / 10).cast("int").cast("string")))
+            .otherwise(F.concat(whole, F.lit("."), F.lpad(frac.cast("string"), 2, "0"))))
+    return F.concat(text, F.lit("%"))
 
 
 def phrase_words(col: Column | str) -> Column:

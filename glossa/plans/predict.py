@@ -101,7 +101,11 @@ def predict_one(model, phrase: str, **kw) -> DataFrame:
     return predict(model, df, **kw).drop("phrase_id").orderBy(F.col("prob").desc(), "word_idx")
 
 
-def format_predictions(pred: DataFrame) -> DataFrame:
-    """(phrase_id, Word, Probability) with the probability printed as a percent."""
+def format_predictions(pred: DataFrame, digits: int | None = 8) -> DataFrame:
+    """(phrase_id, Word, Probability) with the probability printed as a
+    percent.  The probability is first rounded to ``digits`` places (the
+    precision predictions are reported at), so values one ulp apart print
+    alike."""
+    p = F.round("prob", digits) if digits is not None else F.col("prob")
     return pred.select("phrase_id", F.col("word").alias("Word"),
-                       format_percent("prob").alias("Probability"))
+                       format_percent(p).alias("Probability"))
