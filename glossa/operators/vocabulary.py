@@ -80,20 +80,24 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "idx",
             .drop("_pid", "_off"))
 
 
-def cut_vocabulary(unigrams: DataFrame, cutoff: float) -> tuple[DataFrame, DataFrame]:
-    """Words with count > nb and their probability count / sum(kept counts).
+def cut_vocabulary(unigrams: DataFrame, cutoff: float | None) -> tuple[DataFrame, DataFrame | None]:
+    """Words with count > nb and their probability count / sum(kept counts);
+    ``cutoff=None`` keeps every word.
 
     ``nb`` and the kept total are scalar subqueries: no cross join, no
     driver round trip.  Returns (kept(word, count, prob), threshold frame).
     """
-    thr = coverage_threshold(unigrams, cutoff)
-    kept = unigrams.filter(F.col("count") > thr.select("nb").scalar())
+    if cutoff is None:
+        thr, kept = None, unigrams
+    else:
+        thr = coverage_threshold(unigrams, cutoff)
+        kept = unigrams.filter(F.col("count") > thr.select("nb").scalar())
     total = kept.agg(F.sum("count")).scalar()
     kept = kept.withColumn("prob", F.col("count").cast("double") / total.cast("double"))
     return kept, thr
 
 
-def build_vocabulary(unigrams: DataFrame, cutoff: float = 0.9,
+def build_vocabulary(unigrams: DataFrame, cutoff: float | None = 0.9,
                      partitions: int | None = None) -> DataFrame:
     """(idx INT, word, count BIGINT, prob DOUBLE), ids in byte order of word."""
     kept, _ = cut_vocabulary(unigrams, cutoff)

@@ -75,7 +75,7 @@ def training_tokens(lines: DataFrame, ratio: float = 1.0, prop: float = DEFAULT_
     return line_tokens(train, remove_words)
 
 
-def model_from_tokens(tokens: DataFrame, cutoff: float = 0.9, filter_one_freq: bool = True,
+def model_from_tokens(tokens: DataFrame, cutoff: float | None = 0.9, filter_one_freq: bool = True,
                       broadcast_max_words: int = DEFAULT_BROADCAST_MAX_WORDS,
                       unigrams: DataFrame | None = None, params: dict | None = None) -> NGramModel:
     spark = tokens.sparkSession
@@ -85,7 +85,7 @@ def model_from_tokens(tokens: DataFrame, cutoff: float = 0.9, filter_one_freq: b
     vocab = build_vocabulary(uni, cutoff).checkpoint(eager=True)
     stats = vocab.agg(F.count(F.lit(1)).alias("v"), F.sum("count").alias("n")).first()
     vsize, vtotal = int(stats["v"]), int(stats["n"] or 0)
-    nb = coverage_threshold(uni, cutoff).first()["nb"]
+    nb = coverage_threshold(uni, cutoff).first()["nb"] if cutoff is not None else 0
     if own_uni:
         uni.unpersist()
     bc = vsize <= broadcast_max_words
@@ -100,7 +100,7 @@ def model_from_tokens(tokens: DataFrame, cutoff: float = 0.9, filter_one_freq: b
                       broadcast_max_words)
 
 
-def build_model(lines: DataFrame, ratio: float = 1.0, cutoff: float = 0.9,
+def build_model(lines: DataFrame, ratio: float = 1.0, cutoff: float | None = 0.9,
                 filter_one_freq: bool = True, prop: float = DEFAULT_PROP, seed: int = DEFAULT_SEED,
                 remove_words=None, broadcast_max_words: int = DEFAULT_BROADCAST_MAX_WORDS,
                 cache_tokens: bool = True) -> NGramModel:
