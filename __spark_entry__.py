@@ -229,6 +229,21 @@ def q_model_roundtrip(spark, sf):
     return table_sizes(load_model(spark, path))
 
 
+def q_stream_ngram_counts(spark, sf):
+    from glossa.streaming.jobs import document_line_stream, run_available, stream_ngram_counts
+    path = run_available(stream_ngram_counts(document_line_stream(spark, sf, max_files_per_trigger=1)))
+    return spark.read.parquet(path)
+
+
+def q_stream_predict_katz(spark, sf):
+    from glossa.streaming.jobs import stream_predictions
+    conv = spark.read.parquet(f"{sf}/conversations.parquet")
+    phr = (spark.readStream.schema(conv.schema).option("pathGlobFilter", "conversations*.parquet")
+           .parquet(sf))
+    path = stream_predictions(_model(spark, sf), conversation_phrases(phr), "katz", 10, clean=True)
+    return _rounded(spark.read.parquet(path))
+
+
 def q_sweep(spark, sf):
     lines = _lines(spark, sf)
     return sweep(lines, test_lines(lines))
@@ -275,6 +290,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "accuracy_top_n": q_accuracy_top_n,
         "perplexity": q_perplexity,
         "model_roundtrip": q_model_roundtrip,
+        "stream_ngram_counts": q_stream_ngram_counts,
+        "stream_predict_katz": q_stream_predict_katz,
         "sweep": q_sweep,
     }
 

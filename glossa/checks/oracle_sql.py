@@ -333,6 +333,9 @@ FROM (
   LEFT JOIN ctx3 x3 ON x3.wi_2 = t.u AND x3.wi_1 = t.v
   LEFT JOIN bigrams b ON b.wi_1 = t.v AND b.wi = t.w
   LEFT JOIN ctx2 c2 ON c2.wi_1 = t.v LEFT JOIN vocab x ON x.idx = t.w)""", ACCURACY)
+    q["stream_ngram_counts"] = with_base(counts.replace(" WHERE is_train AND", " WHERE").replace(
+        " WHERE is_train", ""))
+    q["stream_predict_katz"] = q["predict_katz"]
     q["model_roundtrip"] = with_base("""
 SELECT 'vocab' AS "table", CAST(count(*) AS BIGINT) AS rows FROM vocab
 UNION ALL SELECT 'bigrams', count(*) FROM bigrams
