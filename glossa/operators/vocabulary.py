@@ -4,7 +4,8 @@
   ``cutoff * total`` and keeps words with a count strictly above the count
   found there.  Only the count values matter, so we walk the *histogram*
   ``(count, n_types)``: its size is bounded by the number of distinct count
-  values (< sqrt(2 * tokens)), never by the vocabulary.
+  values (< sqrt(2 * tokens)), never by the vocabulary, and the walk is
+  partitioned by log2(count) bucket.
 * Dense ids 1..V in byte order of the word are assigned without a
   single-partition window: range-partition by the order, checkpoint (the
   partition of each row is then fixed, even after a retry), count rows per
@@ -28,19 +29,25 @@ def count_histogram(unigrams: DataFrame) -> DataFrame:
 
 def coverage_threshold(unigrams: DataFrame, cutoff: float) -> DataFrame:
     """One row ``(cutoff, nb)``: the count at which the cumulative count of
-    words taken by count desc first reaches ``cutoff * total``."""
+    words taken by count desc first reaches ``cutoff * total``.
+
+    The running sum over the histogram is split by log2(count) bucket: each
+    bucket is walked in its own window partition and shifted by the mass of
+    the buckets above it (at most 64 numbers).
+    """
     if not 0.0 < cutoff <= 1.0:
         raise ValueError("cutoff must be in (0, 1]")
-    hist = count_histogram(unigrams)
-    # The histogram has one row per distinct count value: a bounded frame, so
-    # an ordered window over all of it is cheap.
-    w_run = Window.orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    w_all = Window.partitionBy()
-    walked = hist.select(
-        "count",
-        F.sum("mass").over(w_run).alias("running"),
-        F.sum("mass").over(w_all).alias("total"))
-    return (walked.filter(F.col("running") >= F.lit(cutoff) * F.col("total"))
+    hist = count_histogram(unigrams).withColumn("_b", F.floor(F.log2("count")).cast("int"))
+    masses = {r["_b"]: int(r["m"]) for r in
+              hist.groupBy("_b").agg(F.sum("mass").alias("m")).collect()}
+    total = sum(masses.values())
+    above = {b: sum(m for b2, m in masses.items() if b2 > b) for b in masses}
+    offset = F.create_map(*[x for b, o in sorted(above.items())
+                            for x in (F.lit(b), F.lit(o).cast("bigint"))])[F.col("_b")]
+    w_run = Window.partitionBy("_b").orderBy(F.col("count").desc()).rowsBetween(
+        Window.unboundedPreceding, 0)
+    walked = hist.select("count", (F.sum("mass").over(w_run) + offset).alias("running"))
+    return (walked.filter(F.col("running") >= F.lit(cutoff) * F.lit(total).cast("double"))
             .agg(F.max("count").alias("nb"))
             .select(F.lit(cutoff).cast("double").alias("cutoff"), F.col("nb").cast("bigint")))
 
@@ -70,14 +77,18 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "idx",
     ranged = (df.repartitionByRange(p, *order)
               .withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # P rows: a window over the whole (tiny) frame is fine here.
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # P partition sizes (metadata, bounded by the partition count) give the
+    # offset of each partition's first row.
+    sizes = {r["_pid"]: r["_n"] for r in
+             ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect()}
+    offsets, acc = [], 0
+    for pid in range(p):
+        offsets.append(acc)
+        acc += sizes.get(pid, 0)
+    off = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("_pid") + 1)
     local = Window.partitionBy("_pid").orderBy(*order)
-    return (ranged.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, (F.row_number().over(local) + F.col("_off")).cast("int"))
-            .drop("_pid", "_off"))
+    return (ranged.withColumn(name, (F.row_number().over(local) + off).cast("int"))
+            .drop("_pid"))
 
 
 def cut_vocabulary(unigrams: DataFrame, cutoff: float | None) -> tuple[DataFrame, DataFrame | None]:
