@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.checks.oracle_sql import queries_sql
-from glossa.functions.text import ngram_terms
+from glossa.functions.text import ngram_terms, round_half_up
 from glossa.operators.counting import (clean_lines, doc_term_counts, line_tokens, merge_counts,
                                        ngram_counts)
 from glossa.operators.context import context_totals_2, context_totals_3
@@ -142,20 +142,20 @@ def q_decode_trigrams(spark, sf):
 def q_context_totals_2(spark, sf):
     m = _model(spark, sf)
     return m.katz2().select("wi_1", F.col("t2").alias("total"), F.col("n2").alias("n_followers"),
-                            F.round("alpha2", 8).alias("alpha"))
+                            round_half_up("alpha2", 8).alias("alpha"))
 
 
 def q_context_totals_3(spark, sf):
     m = _model(spark, sf)
     return m.katz3().select("wi_2", "wi_1", F.col("t3").alias("total"),
-                            F.col("n3").alias("n_followers"), F.round("alpha3", 8).alias("alpha"),
-                            F.round("denom3", 8).alias("denom"))
+                            F.col("n3").alias("n_followers"), round_half_up("alpha3", 8).alias("alpha"),
+                            round_half_up("denom3", 8).alias("denom"))
 
 
 def q_seen_unseen_mass(spark, sf):
     m = _model(spark, sf)
-    return m.katz2().select("wi_1", F.round("seen_mass", 8).alias("seen_mass"),
-                            F.round("unseen_mass", 8).alias("unseen_mass"))
+    return m.katz2().select("wi_1", round_half_up("seen_mass", 8).alias("seen_mass"),
+                            round_half_up("unseen_mass", 8).alias("unseen_mass"))
 
 
 def q_model_stats(spark, sf):
@@ -169,31 +169,31 @@ def _q_top(n):
 def q_stupid_bigram(spark, sf):
     m = _model(spark, sf)
     return stupid_scores(m, _test_bigrams(spark, sf, m), level=2).select(
-        F.col("v").alias("wi_1"), F.col("w").alias("wi"), F.round("score", 8).alias("score"))
+        F.col("v").alias("wi_1"), F.col("w").alias("wi"), round_half_up("score", 8).alias("score"))
 
 
 def q_stupid_trigram(spark, sf):
     m = _model(spark, sf)
     return stupid_scores(m, _test_trigrams(spark, sf, m)).select(
         F.col("u").alias("wi_2"), F.col("v").alias("wi_1"), F.col("w").alias("wi"),
-        F.round("score", 8).alias("score"))
+        round_half_up("score", 8).alias("score"))
 
 
 def q_katz_bigram(spark, sf):
     m = _model(spark, sf)
     return katz_scores(m, _test_bigrams(spark, sf, m), level=2).select(
-        F.col("v").alias("wi_1"), F.col("w").alias("wi"), F.round("prob", 8).alias("prob"))
+        F.col("v").alias("wi_1"), F.col("w").alias("wi"), round_half_up("prob", 8).alias("prob"))
 
 
 def q_katz_trigram(spark, sf):
     m = _model(spark, sf)
     return katz_scores(m, _test_trigrams(spark, sf, m)).select(
         F.col("u").alias("wi_2"), F.col("v").alias("wi_1"), F.col("w").alias("wi"),
-        F.round("prob", 8).alias("prob"))
+        round_half_up("prob", 8).alias("prob"))
 
 
 def _rounded(df):
-    return df.withColumn("prob", F.round("prob", 8))
+    return df.withColumn("prob", round_half_up("prob", 8))
 
 
 def q_predict_stupid(spark, sf):
@@ -219,8 +219,8 @@ def q_accuracy_top_n(spark, sf):
 
 def q_perplexity(spark, sf):
     p = perplexity(_model(spark, sf), test_lines(_lines(spark, sf)))
-    return p.select("m", F.round("sum_log2", 6).alias("sum_log2"),
-                    F.round("perplexity", 6).alias("perplexity"))
+    return p.select("m", round_half_up("sum_log2", 6).alias("sum_log2"),
+                    round_half_up("perplexity", 6).alias("perplexity"))
 
 
 def q_model_roundtrip(spark, sf):

@@ -99,6 +99,40 @@ seen2 AS (SELECT b.wi_1, sum(v.p) AS seen_mass FROM bigrams b JOIN vocab v ON v.
 """
 
 
+def half_up_rounds(sql: str) -> str:
+    """Rewrite every ``round(x, d)`` as floor(x*10^d + 0.5)/10^d taken at d+4
+    then d places -- the same IEEE steps as the Spark side's ``round_half_up``."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 0, j + 6, -1
+        while True:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                if depth == 0:
+                    break
+                depth -= 1
+            elif ch == "," and depth == 0:
+                comma = k
+            k += 1
+        inner = half_up_rounds(sql[j + 6:comma])
+        digits = int(sql[comma + 1:k].strip())
+        for d in (digits + 4, digits):
+            scale = repr(float(10 ** d))
+            inner = f"(floor(({inner}) * {scale} + 0.5) / {scale})"
+        out.append(sql[i:j] + inner)
+        i = k + 1
+
+
 def with_base(body: str, extra: str = "") -> str:
     return "WITH " + BASE + (("," + extra) if extra else "") + "\n" + body
 
@@ -340,4 +374,4 @@ FROM (
 SELECT 'vocab' AS "table", CAST(count(*) AS BIGINT) AS rows FROM vocab
 UNION ALL SELECT 'bigrams', count(*) FROM bigrams
 UNION ALL SELECT 'trigrams', count(*) FROM trigrams""")
-    return q
+    return {k: half_up_rounds(v) for k, v in q.items()}

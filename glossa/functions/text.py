@@ -124,6 +124,18 @@ def format_percent(col: Column | str) -> Column:
     return F.concat(text, F.lit("%"))
 
 
+def round_half_up(col: Column | str, digits: int = 8) -> Column:
+    """Report rounding: floor(x*10^d + 0.5)/10^d, applied first at d+4 places
+    to absorb last-bit noise (so a value that is exactly on a half boundary
+    in theory rounds the same whichever equivalent formula produced it).
+    Plain IEEE steps, so any engine repeating them gets the same value."""
+    c = F.col(col) if isinstance(col, str) else col
+    for d in (digits + 4, digits):
+        scale = float(10 ** d)
+        c = F.floor(c * scale + 0.5) / scale
+    return c
+
+
 def phrase_words(col: Column | str) -> Column:
     """Lower-case the phrase and split it on single spaces; one trailing
     space is dropped first (a double space still yields an empty word)."""

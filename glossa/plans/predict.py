@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.functions.text import clean_text, format_percent, phrase_words
+from glossa.functions.text import clean_text, format_percent, phrase_words, round_half_up
 from glossa.operators.candidates import prediction_candidates
 from glossa.operators.scoring import katz_scores, stupid_scores
 from glossa.operators.topk import top_k
@@ -106,6 +106,6 @@ def format_predictions(pred: DataFrame, digits: int | None = 8) -> DataFrame:
     percent.  The probability is first rounded to ``digits`` places (the
     precision predictions are reported at), so values one ulp apart print
     alike."""
-    p = F.round("prob", digits) if digits is not None else F.col("prob")
+    p = round_half_up("prob", digits) if digits is not None else F.col("prob")
     return pred.select("phrase_id", F.col("word").alias("Word"),
                        format_percent(p).alias("Probability"))

@@ -17,6 +17,7 @@ sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 import __spark_entry__ as E  # noqa: E402
 from glossa.session import get_session  # noqa: E402
 
+EXACT = bool(int(__import__("os").environ.get("EXACT", "0")))
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -25,7 +26,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v if EXACT else round(v, 6)
     return v
 
 
