@@ -91,26 +91,29 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "idx",
             .drop("_pid"))
 
 
-def cut_vocabulary(unigrams: DataFrame, cutoff: float | None) -> tuple[DataFrame, DataFrame | None]:
+def cut_vocabulary(unigrams: DataFrame, cutoff: float | None) -> tuple[DataFrame, int]:
     """Words with count > nb and their probability count / sum(kept counts);
-    ``cutoff=None`` keeps every word.
+    ``cutoff=None`` keeps every word (nb = 0).
 
-    ``nb`` and the kept total are scalar subqueries: no cross join, no
-    driver round trip.  Returns (kept(word, count, prob), threshold frame).
+    ``nb`` is one number found on the histogram; the kept total is a scalar
+    subquery (no cross join).  Returns (kept(word, count, prob), nb).
     """
     if cutoff is None:
-        thr, kept = None, unigrams
+        nb = 0
     else:
-        thr = coverage_threshold(unigrams, cutoff)
-        kept = unigrams.filter(F.col("count") > thr.select("nb").scalar())
+        nb = coverage_threshold(unigrams, cutoff).first()["nb"]
+        nb = int(nb) if nb is not None else 0
+    kept = unigrams.filter(F.col("count") > F.lit(nb))
     total = kept.agg(F.sum("count")).scalar()
     kept = kept.withColumn("prob", F.col("count").cast("double") / total.cast("double"))
-    return kept, thr
+    return kept, nb
 
 
 def build_vocabulary(unigrams: DataFrame, cutoff: float | None = 0.9,
-                     partitions: int | None = None) -> DataFrame:
-    """(idx INT, word, count BIGINT, prob DOUBLE), ids in byte order of word."""
-    kept, _ = cut_vocabulary(unigrams, cutoff)
+                     partitions: int | None = None, with_nb: bool = False):
+    """(idx INT, word, count BIGINT, prob DOUBLE), ids in byte order of word
+    (and the cut count ``nb`` when ``with_nb``)."""
+    kept, nb = cut_vocabulary(unigrams, cutoff)
     vocab = dense_index(kept, [F.col("word")], "idx", partitions)
-    return vocab.select("idx", "word", F.col("count").cast("bigint").alias("count"), "prob")
+    vocab = vocab.select("idx", "word", F.col("count").cast("bigint").alias("count"), "prob")
+    return (vocab, nb) if with_nb else vocab

@@ -21,7 +21,7 @@ from glossa.operators.encode import (DEFAULT_BROADCAST_MAX_WORDS, encoded_gram_c
                                      split_gram_tables)
 from glossa.operators.split import (DEFAULT_PROP, DEFAULT_SEED, sample_blocks, train_lines,
                                     with_blocks)
-from glossa.operators.vocabulary import build_vocabulary, coverage_threshold
+from glossa.operators.vocabulary import build_vocabulary
 from glossa.session import ensure_checkpoint_dir
 
 
@@ -82,10 +82,10 @@ def model_from_tokens(tokens: DataFrame, cutoff: float | None = 0.9, filter_one_
     ensure_checkpoint_dir(spark)
     own_uni = unigrams is None
     uni = unigram_counts(tokens).persist(StorageLevel.MEMORY_AND_DISK) if own_uni else unigrams
-    vocab = build_vocabulary(uni, cutoff).checkpoint(eager=True)
+    vocab, nb = build_vocabulary(uni, cutoff, with_nb=True)
+    vocab = vocab.checkpoint(eager=True)
     stats = vocab.agg(F.count(F.lit(1)).alias("v"), F.sum("count").alias("n")).first()
     vsize, vtotal = int(stats["v"]), int(stats["n"] or 0)
-    nb = coverage_threshold(uni, cutoff).first()["nb"] if cutoff is not None else 0
     if own_uni:
         uni.unpersist()
     bc = vsize <= broadcast_max_words
