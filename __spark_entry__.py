@@ -7,8 +7,15 @@ per (session, sf_dir) and reused by the queries that need them.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
+# The package sits next to this file; make it importable from any cwd.
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
