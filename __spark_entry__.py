@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from importlib.util import find_spec
 
 # The package sits next to this file; make it importable from any cwd.
 _HERE = os.path.dirname(os.path.abspath(__file__))
@@ -261,7 +262,25 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_predict_katz(spark, "/root/testdata/sf0.001")
 
 
+def _training_data():
+    """(queries, SQL) of the training-data subpackage; nothing where its folder is absent."""
+    if find_spec("glossa.llm") is None or find_spec("glossa.llm.registry") is None:
+        return {}, {}
+    from glossa.llm import registry
+    found, sql = registry.queries(), registry.oracle_sql()
+    if find_spec("corpus_pipeline") is not None:
+        import corpus_pipeline
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL is not None:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _reference_queries() | _training_data()[0]
+
+
+def _reference_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "corpus_lines": q_corpus_lines,
         "split_train_test": q_split_train_test,
@@ -307,4 +326,4 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query key; ``sweep`` has none (24 model builds with
     dense accuracy each are too slow in SQL) and is checked against brute
     force on a small fixture in the tests."""
-    return queries_sql()
+    return queries_sql() | _training_data()[1]
