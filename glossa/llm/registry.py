@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, substrings
+from . import decontaminate, neardup, packing, secrets, substrings
 
 
 def queries():
     return {
         "op2_substring_dedup": substrings.op2_substring_dedup,
+        "op3_secret_scan": secrets.op3_secret_scan,
+        "op4_setsketch_neardup": neardup.op4_setsketch_neardup,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op8_decontaminate": decontaminate.op8_decontaminate,
     }
 
