@@ -23,6 +23,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Arrow batches of at most ``limit`` bytes, so that a batch of long texts
+    does not set what a Python worker needs.  A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower().rstrip("b")
+    units = {"k": 10, "m": 20, "g": 30}
+    size = int(now[:-1]) << units[now[-1]] if now[-1] in units else int(now)
+    if size > limit or size <= 0:
+        spark.conf.set(key, str(limit))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -83,6 +94,7 @@ def annotated(df: DataFrame, text_col: str, make, fields: str, keep=None) -> Dat
     import pyarrow as pa
     from pyspark.sql import types as T
 
+    small_batches(df.sparkSession)
     keep = df.columns if keep is None else list(keep)
     src = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     new = T._parse_datatype_string(fields)

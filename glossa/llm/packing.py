@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small_batches, table, written
 from .textops import text_buffer
 
 #: Encoded words, and word parts, that a task keeps; a memo is emptied beyond this, which changes speed only.
@@ -107,6 +107,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id:
     """Pieces: doc_id, piece, start, length, ids (little-endian uint32)."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
+    small_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):

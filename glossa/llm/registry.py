@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, packing, secrets, substrings
+from . import chat, decontaminate, lm, neardup, packing, secrets, substrings, topk, toxicity, warc
 
 
 def queries():
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_substring_dedup": substrings.op2_substring_dedup,
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_setsketch_neardup": neardup.op4_setsketch_neardup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op6_lm_score": lm.op6_lm_score,
+        "op7_exact_topk": topk.op7_exact_topk,
         "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_warc_archive": warc.op9_warc_archive,
+        "op10_perspective_rotation": chat.op10_perspective_rotation,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op7_exact_topk": topk.OP7_SQL,
+        "op9_warc_archive": warc.OP9_SQL,
+        "op10_perspective_rotation": chat.OP10_SQL,
+    }
