@@ -39,14 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, table, written
-from .textops import (PLAIN, Words, doc_ranges, gram_hashes, mix64, ragged, signed, sliding_min,
+from .common import keyed, small_batches, table, written
+from .textops import (PLAIN, Words, doc_ranges, gram_hashes, list_fields, mix64, ragged, signed, sliding_min,
                       text_buffer)
 
 #: Words of the gram that names a group.
 ANCHOR = 8
-#: Distinct runs whose subtree is built in one piece.
-GROUP = 512
+#: Distinct runs whose subtree is built in one piece: about 5 MB of text, 50 MB while it is named.
+GROUP = 1 << 14
 RUN = "start int, n int, mkey bigint, rkey bigint"
 
 
@@ -97,22 +97,18 @@ def _cut(depth: int):
     """Texts of the runs asked for: documents with ``want`` -> (mkey, rkey, large, text)."""
     def run(batches):
         for b in batches:
-            wants = b.column(1).to_pylist()
+            counts, want = list_fields(b.column(1))
+            upto = np.cumsum(counts)
             buf, offs = text_buffer(b.column(0))
-            rows = ([], [], [], [])
             for i, j in doc_ranges(offs):
                 w = Words(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], PLAIN, hashes=False)
-                for d in range(i, j):
-                    for x in wants[d]:
-                        a = w.by_doc[d - i] + x["start"]
-                        z = a + x["n"] + depth - 2
-                        rows[0].append(x["mkey"])
-                        rows[1].append(x["rkey"])
-                        rows[2].append(x["large"])
-                        rows[3].append(w.buf[w.starts[a]:w.ends[z]].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.bool_()),
-                 pa.array(rows[3], pa.binary())], ["mkey", "rkey", "large", "run"])
+                own = slice(int(upto[i] - counts[i]), int(upto[j - 1]))
+                first = np.repeat(w.by_doc[:-1], counts[i:j]) + want["start"][own]
+                last = first + want["n"][own] + depth - 2
+                texts = [w.buf[a:z].tobytes() for a, z in zip(w.starts[first], w.ends[last], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(want["mkey"][own], pa.int64()), pa.array(want["rkey"][own], pa.int64()),
+                     pa.array(want["large"][own], pa.bool_()), pa.array(texts, pa.binary())], ["mkey", "rkey", "large", "run"])
 
     return run
 
@@ -199,11 +195,12 @@ def repeated_spans(docs: DataFrame, depth: int = 35) -> DataFrame:
     """(doc_id, tkey, start, n): runs of n windows from word ``start`` that
     occur elsewhere; ``docs`` in ``keyed`` form."""
     runs = runs_of(docs, depth)
-    twice = runs.groupBy("mkey").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("mkey")
+    # tables of their own: joined straight after the aggregation, a frequent key could not be split over tasks
+    twice = written(runs.groupBy("mkey").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("mkey"), "twice")
     live = written(runs.join(twice, "mkey", "left_semi"), "runs")
     distinct = written(live.groupBy("mkey", "rkey").agg(
         F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "tkey", "start", "n")).alias("at")), "distinct")
-    sizes = distinct.groupBy("mkey").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").withColumnRenamed("mkey", "m")
+    sizes = written(distinct.groupBy("mkey").agg(F.count(F.lit(1)).alias("d")).filter("d > 1").withColumnRenamed("mkey", "m"), "sizes")
     open_ = distinct.join(sizes, F.col("mkey") == F.col("m"))
     want = open_.select("at.*", "mkey", "rkey", (F.col("d") > GROUP).alias("large"))
     by_doc = want.groupBy(F.col("doc_id").alias("id"), F.col("tkey").alias("tk")).agg(
@@ -230,22 +227,22 @@ def _strip(depth: int):
     def run(batches):
         for b in batches:
             words, removed, kept = [], [], []
-            texts, spans = b.column(1), b.column(2).to_pylist()
-            for d, x in enumerate(spans):
-                t = texts[d].as_py()
-                w = t.encode().split() if t else []
+            counts, span = list_fields(b.column(2))
+            upto = np.cumsum(counts)
+            buf, offs = text_buffer(b.column(1))
+            for d in range(b.num_rows):
+                w = buf[offs[d]:offs[d + 1]].tobytes().split()
                 words.append(len(w))
-                if x:
-                    marks = np.zeros(len(w) + 1, dtype=np.int64)
-                    for s in x:
-                        marks[s["start"]] += 1
-                        marks[min(len(w), s["start"] + s["n"] + depth - 1)] -= 1
+                if counts[d]:
+                    start = span["start"][upto[d] - counts[d]:upto[d]]
+                    stop = start + span["n"][upto[d] - counts[d]:upto[d]] + depth - 1
+                    marks = np.bincount(start, minlength=len(w) + 1) - np.bincount(stop, minlength=len(w) + 1)
                     keep = np.cumsum(marks[:-1]) == 0
                     w = [y for y, k in zip(w, keep.tolist(), strict=True) if k]
                 removed.append(words[-1] - len(w))
                 kept.append(b" ".join(w))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                [b.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept"])
 
     return run
@@ -256,6 +253,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if depth < 2 * ANCHOR:
         raise ValueError(f"depth must be at least {2 * ANCHOR} words")
     docs = keyed(docs, id_col, text_col)
+    small_batches(docs.sparkSession)
     spans = repeated_spans(docs, depth).groupBy(F.col("doc_id").alias("id"), F.col("tkey").alias("tk")).agg(
         F.collect_set(F.struct("start", "n")).alias("spans"))
     both = docs.join(spans, docs.doc_id.eqNullSafe(spans.id) & (docs.tkey == spans.tk), "left")

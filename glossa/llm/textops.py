@@ -185,5 +185,12 @@ def list_array(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
+def list_fields(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Entries per row (null: none) and the fields of all entries, for a list of flat structs."""
+    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    return counts, {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+
+
 def signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
