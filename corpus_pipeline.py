@@ -41,12 +41,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(docs)
-    kept = written(found.filter("kept").select(F.col("doc_id").alias("llm_id")), "kept")
-    out = docs.join(kept.distinct().hint("merge"), docs.doc_id.eqNullSafe(F.col("llm_id")), "left_semi")
-    if kept.filter("llm_id is not null").groupBy("llm_id").count().filter("count > 1").limit(1).count():
+    kept = written(found.filter("kept").select(F.col("doc_id").alias("id")), "kept")
+    ids = kept.distinct().hint("merge")
+    out = docs.join(ids, docs.doc_id.eqNullSafe(ids.id), "left_semi")
+    if kept.filter("id is not null").groupBy("id").count().filter("count > 1").limit(1).count():
+        rank = next(f"rank{i}" for i in range(len(docs.columns) + 1) if f"rank{i}" not in docs.columns)
         order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")]))
-        ranked = out.filter("doc_id is not null").withColumn("llm_rank", F.row_number().over(order))
-        out = ranked.filter("llm_rank = 1").drop("llm_rank").unionByName(out.filter("doc_id is null"))
+        ranked = out.filter("doc_id is not null").withColumn(rank, F.row_number().over(order))
+        out = ranked.filter(F.col(rank) == 1).drop(rank).unionByName(out.filter("doc_id is null"))
     return out
 
 
