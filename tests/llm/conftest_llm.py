@@ -1,0 +1,6 @@
+"""Helpers for tests of this folder."""
+
+
+def tuples(df):
+    """Sorted rows; nulls first."""
+    return sorted(map(tuple, df.collect()), key=lambda t: tuple((x is not None, x if x is not None else 0) for x in t))
