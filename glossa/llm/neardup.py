@@ -19,9 +19,10 @@ agrees with probability 0.33, so ``BANDS`` bands miss a link with less than
    larger, smaller and equal ones, given both set sizes), no similarity of
    ``percent`` or more is credible; the others are verified on the full sets.
 4. In buckets whose members are still in different classes, all pairs across
-   classes are compared by their registers, inside tasks, in blocks of
-   ``BLOCK_ROWS`` members; those that pass the likelihood are verified too.
-   So a link is lost only where every band differs.
+   classes are compared inside tasks, in blocks of ``BLOCK_ROWS`` members, by
+   their registers and then by the full sets; only links that connect classes
+   come out, fewer than there are members.  So a link is lost only where every
+   band differs.
 
 Edge cases: a document without words has an empty set and is linked with
 nothing; rows that repeat a doc_id are one document (their links are shared);
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, small_batches, table, written
 from .textops import FOLDED, Words, doc_ranges, gram_hashes, mix64, signed, text_buffer
 
 ROWS, BANDS = 7, 36
@@ -46,7 +47,7 @@ BASE, SHIFT = 1.1, 35
 #: A pair goes if its best similarity is this many nats likelier than any that would link it.
 DOUBT = 14.0
 #: Members of a bucket compared with each other in one piece.
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 _SEED = np.random.default_rng(20240229)
 _MULT = _SEED.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 _XOR = _SEED.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -138,42 +139,78 @@ def _estimate(percent: int):
     return run
 
 
-def _pairs_within(percent: int):
-    """Rows sorted by (key, i, j) -> credible pairs across classes, group by group."""
-    def one(nodes, sizes, label, side, sketch):
-        s = len(nodes)
-        for i in range(s):
-            later = np.arange(i + 1, s)
-            later = later[(label[later] != label[i]) & (nodes[later] != nodes[i])]
-            if side is not None:
-                later = later[side[later] != side[i]]
-            near = np.minimum(sizes[later], sizes[i]) * 100 >= percent * np.maximum(sizes[later], sizes[i])
-            later = later[near]
-            if not len(later):
-                continue
-            same = (sketch[later] == sketch[i]).sum(1)
-            later = later[same >= 0.6 * REGISTERS]  # far below what a link would show
-            if len(later):
-                ok = credible(np.repeat(sketch[i:i + 1], len(later), 0), sketch[later],
-                              np.full(len(later), sizes[i]), sizes[later], percent)
-                for x in later[ok]:
-                    yield min(nodes[i], nodes[x]), max(nodes[i], nodes[x])
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of incidence columns."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, col, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    many = seen[col] > 1  # the others add nothing between two sets
+    row, col = row[many], np.unique(col[many], return_inverse=True)[1]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)  # counts below 2**24 are exact
+    width = max(256, (4 << 20) // len(sets))
+    for a in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        i, j = np.searchsorted(col, [a, a + width])
+        m = np.zeros((len(sets), width), dtype=np.float32)
+        m[row[i:j], col[i:j] - a] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+#: Registers that agree in a pair at similarity 0.85, less six standard deviations.
+AGREE = int(REGISTERS * 0.85 - 6 * (REGISTERS * 0.85 * 0.15) ** 0.5)
+
+
+def _links_within(shingle: int, percent: int):
+    """Rows sorted by (key, i, j) -> links that connect classes, group by group."""
+    least = AGREE if percent >= 85 else int(REGISTERS * percent / 100 - 6 * (REGISTERS / 4) ** 0.5)
+
+    def one(nodes, sizes, label, side, sketch, texts):
+        pairs = []
+        for i in range(len(nodes) - 1):
+            later = np.arange(i + 1, len(nodes))
+            ok = (label[later] != label[i]) & (nodes[later] != nodes[i])
+            if side is not None:  # two blocks: within each, another group compares
+                ok &= side[later] != side[i]
+            ok &= np.minimum(sizes[later], sizes[i]) * 100 >= percent * np.maximum(sizes[later], sizes[i])
+            later = later[ok]
+            later = later[(sketch[later] == sketch[i]).sum(1) >= least]
+            pairs.append(np.stack([np.full(len(later), i), later]))
+        pairs = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        if not pairs.shape[1]:
+            return
+        own, at = np.unique(pairs, return_inverse=True)
+        at = at.reshape(pairs.shape)
+        buf, offs = text_buffer(texts.take(pa.array(own)))
+        sets = document_sets(Words(buf, offs, FOLDED), len(own), shingle)
+        common = common_counts(sets)[at[0], at[1]]
+        size = np.array([len(x) for x in sets])
+        linked = 100 * common >= percent * (size[at[0]] + size[at[1]] - common)
+        root: dict = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs[:, linked].T.tolist():  # a spanning set of the links
+            x, y = find(label[a]), find(label[b])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                yield nodes[a], nodes[b]
 
     def groups(t):
         cols = [t.column(i).to_numpy() for i in range(6)]
+        blk, texts = t.column(8).to_numpy(), t.column(7)
         sketch = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, REGISTERS)
         key = np.stack(cols[:3])
         cut = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
-        out = set()
+        out = []
         for a, z in zip(cut, np.append(cut[1:], t.num_rows), strict=True):
-            # off the diagonal, only pairs of different blocks
-            side = None if cols[1][a] == cols[2][a] else t.column(7).to_numpy()[a:z] == cols[1][a]
-            out.update(one(cols[3][a:z], cols[4][a:z], cols[5][a:z], side, sketch[a:z]))
-        return out
-
-    def pairs(out):
-        out = np.array(sorted(out), dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+            side = None if cols[1][a] == cols[2][a] else blk[a:z] == cols[1][a]
+            out += one(cols[3][a:z], cols[4][a:z], cols[5][a:z], side, sketch[a:z], texts.slice(a, z - a))
+        out = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"])
 
     def run(batches):
         held = None
@@ -183,10 +220,10 @@ def _pairs_within(percent: int):
                 k = np.stack([held.column(i).to_numpy() for i in range(3)])
                 other = np.flatnonzero((k != k[:, -1:]).any(0))
                 if len(other):
-                    yield pairs(groups(held.slice(0, int(other[-1]) + 1)))
+                    yield groups(held.slice(0, int(other[-1]) + 1))
                     held = held.slice(int(other[-1]) + 1)
         if held is not None and held.num_rows:
-            yield pairs(groups(held))
+            yield groups(held)
 
     return run
 
@@ -212,29 +249,22 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    need = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-    texts = written(docs.join(need, docs.doc_id == need.a, "left_semi").select("doc_id", "text"), "near_texts")
-    left = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("tb"))
-    both = pairs.join(left, pairs.a == left.x).join(right, F.col("b") == right.y).select("a", "b", "ta", "tb")
-    return both.mapInArrow(_confirm(shingle, percent), "u bigint, v bigint").distinct()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                     percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of docs."""
     if percent < 80:
         raise ValueError("the bands are laid out for a similarity of 0.8 or more")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     sets = written(sketched(docs, shingle), "sets")
     nodes = written(sets.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(
         F.min(F.struct("doc_id", "sketch")).alias("m")).select("s1", "s2", "n", F.col("m.doc_id").alias("node"), F.col("m.sketch").alias("sketch")), "nodes")
     info = nodes.select(F.col("node").alias("id"), F.col("n").alias("size"), "sketch")
     bands = nodes.select("node", F.explode(F.expr(
         f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {ROWS} + 1, {ROWS})))")).alias("key"))
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lead")).filter("c > 1").select(
-        F.col("key").alias("k"), "c", "lead")
+    # written, so that the join below can split a frequent key over tasks
+    buckets = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lead")).filter("c > 1").select(
+        F.col("key").alias("k"), "c", "lead"), "leads")
     live = written(bands.join(buckets, F.col("key") == F.col("k")).select("key", "node", "c", "lead"), "buckets")
 
     def with_sketch(pairs):
@@ -244,21 +274,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = live.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     stars = written(with_sketch(stars).mapInArrow(_estimate(percent), "a bigint, b bigint"), "stars")
-    links = written(_verified(stars, docs, shingle, percent), "links")
+    # the texts that later steps need, moved once; a merge join whatever the sizes
+    busy = live.select(F.col("node").alias("b")).distinct().hint("merge")
+    texts = written(docs.join(busy, docs.doc_id == busy.b, "left_semi"), "near_texts")
+    x, y = (texts.select(F.col("doc_id").alias(f"id{i}"), F.col("text").alias(f"text{i}")) for i in (1, 2))
+    both = stars.join(x, F.col("a") == F.col("id1")).join(y, F.col("b") == F.col("id2")).select("a", "b", "text1", "text2")
+    links = written(both.mapInArrow(_confirm(shingle, percent), "u bigint, v bigint").distinct(), "links")
     label = components(links)
     named = live.join(label.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left").select(
         "key", "node", "c", F.coalesce("component", "node").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(
-        F.col("key").alias("k"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"),
+                                     F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).filter("lo <> hi")
+    mixed = written(mixed.groupBy("m", "who").agg(F.min("key").alias("k")).select("k"), "mixed")  # buckets with the same members: one of them
     open_ = named.join(mixed, F.col("key") == F.col("k"), "left_semi")
     cut = open_.withColumn("nb", F.ceil(F.col("c") / BLOCK_ROWS).cast("long")).withColumn(
         "blk", F.pmod(F.xxhash64("node"), F.col("nb")))
-    dealt = cut.withColumn("o", F.explode(F.expr("sequence(cast(0 as bigint), nb - 1)"))).select(
-        "key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "node", "label", "blk")
-    dealt = dealt.join(info, F.col("node") == F.col("id")).select("key", "i", "j", "node", "size", "label", "sketch", "blk")
-    rest = written(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
-        _pairs_within(percent), "a bigint, b bigint").distinct(), "rest")
-    more = _verified(rest, docs, shingle, percent)
+    dealt = cut.join(info, F.col("node") == F.col("id")).join(x, F.col("node") == F.col("id1"))
+    dealt = dealt.withColumn("o", F.explode(F.expr("sequence(cast(0 as bigint), nb - 1)"))).select(
+        "key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "node", "size", "label", "sketch", "text1", "blk")
+    more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
+        _links_within(shingle, percent), "u bigint, v bigint").distinct()
     label = components(links.unionByName(more))
     where = nodes.select(F.col("s1").alias("p"), F.col("s2").alias("q"), F.col("n").alias("m"), "node")
     label = label.withColumnRenamed("node", "l")
