@@ -24,7 +24,6 @@ from glossa.checks.oracle_sql import queries_sql
 from glossa.functions.text import ngram_terms, round_half_up
 from glossa.operators.counting import (clean_lines, doc_term_counts, line_tokens, merge_counts,
                                        ngram_counts)
-from glossa.operators.context import context_totals_2, context_totals_3
 from glossa.operators.scoring import katz_scores, stupid_scores
 from glossa.operators.split import (sample_blocks, test_lines, train_lines, with_blocks,
                                     with_split)
@@ -33,10 +32,12 @@ from glossa.operators.encode import decode_ids, encode_terms
 from glossa.operators.counting import unigram_counts
 from glossa.plans.build import build_model
 from glossa.plans.evaluate import (accuracy_top_n, model_stats, perplexity, sweep, top_terms)
-from glossa.plans.predict import format_predictions, predict
+from glossa.plans.predict import format_predictions, predict, predict_status
 from glossa.session import ensure_checkpoint_dir, scratch_path
 from glossa.sources.corpus import conversation_phrases, document_lines, read_table
-from glossa.sources.model_io import load_model, save_model, table_sizes
+from glossa.sources.model_io import (build_or_load, load_model, read_int_csv, save_model, table_sizes,
+                                     write_int_csv)
+from glossa.sources.wordlists import frequent_words
 
 _MODELS: dict = {}
 
@@ -46,7 +47,7 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf: str):
-    key = (id(spark.sparkContext._jsc), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
         ensure_checkpoint_dir(spark)
         _MODELS[key] = build_model(_lines(spark, sf))
@@ -213,8 +214,18 @@ def q_predict_katz(spark, sf):
 
 
 def q_predict_no_stopwords(spark, sf):
-    return _rounded(predict(_model(spark, sf), _phrases(spark, sf), "stupid", 10,
-                            include_stop_words=False, clean=True))
+    model = _model(spark, sf)
+    return _rounded(predict(model, _phrases(spark, sf), "stupid", 10, include_stop_words=False,
+                            stop_words=frequent_words(model.vocab), clean=True))
+
+
+def q_predict_raw(spark, sf):
+    """The phrases as they are, only lower-cased and split."""
+    return _rounded(predict(_model(spark, sf), _phrases(spark, sf), "stupid", 10))
+
+
+def q_predict_status(spark, sf):
+    return predict_status(_model(spark, sf), _phrases(spark, sf), clean=True)
 
 
 def q_predict_formatted(spark, sf):
@@ -237,10 +248,31 @@ def q_model_roundtrip(spark, sf):
     return table_sizes(load_model(spark, path))
 
 
+def q_model_reloaded(spark, sf):
+    """All rows of a model that was saved, replaced by a rebuild, and read back."""
+    path = scratch_path(spark, "model")
+    build_or_load(spark, path, lambda: _model(spark, sf))
+    m = build_or_load(spark, path, lambda: _model(spark, sf), rebuild=True)
+    none = F.lit(None).cast("int")
+    return (m.vocab.select(F.lit("vocab").alias("table"), none.alias("wi_2"), none.alias("wi_1"), F.col("idx").alias("wi"), "count")
+            .unionByName(m.bigrams.select(F.lit("bigrams").alias("table"), none.alias("wi_2"), "wi_1", "wi", "count"))
+            .unionByName(m.trigrams.select(F.lit("trigrams").alias("table"), "wi_2", "wi_1", "wi", "count")))
+
+
+def q_csv_roundtrip(spark, sf):
+    path = scratch_path(spark, "csv")
+    write_int_csv(_model(spark, sf).trigrams, path)
+    return read_int_csv(spark, path, ["wi_2", "wi_1", "wi", "count"])
+
+
+def _q_top250(n):
+    return lambda spark, sf: top_terms(_model(spark, sf), n, 250, 3)
+
+
 def q_stream_ngram_counts(spark, sf):
-    from glossa.streaming.jobs import document_line_stream, run_available, stream_ngram_counts
-    path = run_available(stream_ngram_counts(document_line_stream(spark, sf, max_files_per_trigger=1)))
-    return spark.read.parquet(path)
+    from glossa.streaming.jobs import document_line_stream, stream_ngram_counts
+    lines = document_line_stream(spark, sf, max_files_per_trigger=1)
+    return stream_ngram_counts(lines, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state"))
 
 
 def q_stream_predict_katz(spark, sf):
@@ -248,8 +280,8 @@ def q_stream_predict_katz(spark, sf):
     conv = spark.read.parquet(f"{sf}/conversations.parquet")
     phr = (spark.readStream.schema(conv.schema).option("pathGlobFilter", "conversations*.parquet")
            .parquet(sf))
-    path = stream_predictions(_model(spark, sf), conversation_phrases(phr), "katz", 10, clean=True)
-    return _rounded(spark.read.parquet(path))
+    return _rounded(stream_predictions(_model(spark, sf), conversation_phrases(phr), scratch_path(spark, "stream-out"),
+                                       scratch_path(spark, "stream-state"), "katz", 10, clean=True))
 
 
 def q_sweep(spark, sf):
@@ -257,6 +289,17 @@ def q_sweep(spark, sf):
     return sweep(lines, test_lines(lines))
 
 
+def q_sweep_sizes(spark, sf):
+    """Table sizes of all 24 configurations."""
+    return sweep(_lines(spark, sf), with_accuracy=False)
+
+
+def q_sweep_accuracy(spark, sf):
+    """Sizes and accuracy of two configurations at opposite ends of the grid."""
+    lines = _lines(spark, sf)
+    return sweep(lines, test_lines(lines), only=("25_80_TRUE", "100_90_FALSE"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: Katz top-10 next words for every conversation turn, sf0.001."""
     return q_predict_katz(spark, "/root/testdata/sf0.001")
@@ -305,6 +348,9 @@ def _reference_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_unigrams": _q_top(1),
         "top_bigrams": _q_top(2),
         "top_trigrams": _q_top(3),
+        "top250_unigrams": _q_top250(1),
+        "top250_bigrams": _q_top250(2),
+        "top250_trigrams": _q_top250(3),
         "stupid_bigram": q_stupid_bigram,
         "stupid_trigram": q_stupid_trigram,
         "katz_bigram": q_katz_bigram,
@@ -313,17 +359,23 @@ def _reference_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "predict_katz": q_predict_katz,
         "predict_no_stopwords": q_predict_no_stopwords,
         "predict_formatted": q_predict_formatted,
+        "predict_raw": q_predict_raw,
+        "predict_status": q_predict_status,
         "accuracy_top_n": q_accuracy_top_n,
         "perplexity": q_perplexity,
         "model_roundtrip": q_model_roundtrip,
+        "model_reloaded": q_model_reloaded,
+        "csv_roundtrip": q_csv_roundtrip,
         "stream_ngram_counts": q_stream_ngram_counts,
         "stream_predict_katz": q_stream_predict_katz,
         "sweep": q_sweep,
+        "sweep_sizes": q_sweep_sizes,
+        "sweep_accuracy": q_sweep_accuracy,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL per query key; ``sweep`` has none (24 model builds with
-    dense accuracy each are too slow in SQL) and is checked against brute
-    force on a small fixture in the tests."""
+    """DuckDB SQL per query key.  ``sweep`` has none (24 dense accuracies are
+    too slow in SQL): its sizes are those of ``sweep_sizes``, its accuracies are
+    checked for two configurations in ``sweep_accuracy``, both with SQL."""
     return queries_sql() | _training_data()[1]

@@ -24,9 +24,9 @@ def _clean(x: str) -> str:
     e = f"lower({e})"
     e = f"regexp_replace({e}, '[^\\x00-\\x7F]', '', 'g')"
     e = f"regexp_replace({e}, '{pat}', '', 'g')"
-    e = f"regexp_replace({e}, '(\\w)-(\\w)', '\\1' || chr(2) || '\\2', 'g')"
+    e = f"regexp_replace({e}, '(\\w)-(\\w)', '\\1' || chr(1) || '\\2', 'g')"
     e = f"regexp_replace({e}, '[[:punct:]]+', '', 'g')"
-    e = f"replace({e}, chr(2), '-')"
+    e = f"replace({e}, chr(1), '-')"
     return f"regexp_replace({e}, '\\s+', ' ', 'g')"
 
 
@@ -91,17 +91,18 @@ vsize AS (SELECT count(*) AS v FROM vocab),
 ctx2 AS (SELECT wi_1, sum(c) AS t2, count(*) AS n2 FROM bigrams GROUP BY wi_1),
 ctx3 AS (SELECT wi_2, wi_1, sum(c) AS t3, count(*) AS n3 FROM trigrams GROUP BY wi_2, wi_1),
 alpha2 AS (
-  SELECT b.wi_1, 1 - sum((b.c - {D}) / x.t2) AS alpha2 FROM bigrams b JOIN ctx2 x USING (wi_1)
-  GROUP BY b.wi_1
+  SELECT b.wi_1, (any_value(x.t2) - sum(b.c - {D})) / any_value(x.t2) AS alpha2
+  FROM bigrams b JOIN ctx2 x USING (wi_1) GROUP BY b.wi_1
 ),
-seen2 AS (SELECT b.wi_1, sum(v.p) AS seen_mass FROM bigrams b JOIN vocab v ON v.idx = b.wi
+total AS (SELECT sum(count) AS n FROM vocab),
+seen2 AS (SELECT b.wi_1, sum(v.count) / (SELECT n FROM total) AS seen_mass FROM bigrams b JOIN vocab v ON v.idx = b.wi
           GROUP BY b.wi_1)
 """
 
 
 def half_up_rounds(sql: str) -> str:
-    """Rewrite every ``round(x, d)`` as floor(x*10^d + 0.5)/10^d taken at d+4
-    then d places -- the same IEEE steps as the Spark side's ``round_half_up``."""
+    """Rewrite every ``round(x, d)`` as floor(x*10^d + 0.5)/10^d -- the same
+    IEEE steps as the Spark side's ``round_half_up``."""
     out, i = [], 0
     while True:
         j = sql.find("round(", i)
@@ -124,12 +125,8 @@ def half_up_rounds(sql: str) -> str:
             elif ch == "," and depth == 0:
                 comma = k
             k += 1
-        inner = half_up_rounds(sql[j + 6:comma])
-        digits = int(sql[comma + 1:k].strip())
-        for d in (digits + 4, digits):
-            scale = repr(float(10 ** d))
-            inner = f"(floor(({inner}) * {scale} + 0.5) / {scale})"
-        out.append(sql[i:j] + inner)
+        scale = repr(float(10 ** int(sql[comma + 1:k].strip())))
+        out.append(sql[i:j] + f"(floor(({half_up_rounds(sql[j + 6:comma])}) * {scale} + 0.5) / {scale})")
         i = k + 1
 
 
@@ -152,34 +149,41 @@ test_bi AS (
 )"""
 
 # Dense Katz pieces for a set of contexts ``ctx(u, v)``: every vocabulary
-# word is scored, sums over the unseen sets are taken directly.
+# word is scored, sums over the seen and unseen sets are taken directly, of
+# counts (exact in a double) and not of their quotients, so that a value which
+# is a half in theory is one here.
 DENSE = f"""
 dctx_v AS (SELECT DISTINCT v FROM ctx),
 q2 AS (
-  SELECT d.v, x.idx AS w, x.p,
+  SELECT d.v, x.idx AS w, x.p, x.count AS cnt,
          CASE WHEN b.c IS NOT NULL THEN (b.c - {D}) / c2.t2 END AS seen_q,
          b.c AS c2, c2.t2
   FROM dctx_v d CROSS JOIN vocab x
   LEFT JOIN bigrams b ON b.wi_1 = d.v AND b.wi = x.idx
   LEFT JOIN ctx2 c2 ON c2.wi_1 = d.v
 ),
-q2b AS (SELECT v, sum(CASE WHEN c2 IS NULL THEN p ELSE 0 END) AS pb FROM q2 GROUP BY v),
+q2b AS (SELECT v, sum(CASE WHEN c2 IS NULL THEN cnt ELSE 0 END) AS unseen FROM q2 GROUP BY v),
 q2f AS (
-  SELECT q.v, q.w, q.p, q.c2, q.t2,
+  SELECT q.v, q.w, q.p, q.c2, q.t2, q.cnt, a.alpha2, qb.unseen,
          CASE WHEN q.c2 IS NOT NULL THEN q.seen_q
               WHEN q.t2 IS NULL THEN q.p
-              ELSE a.alpha2 * q.p / qb.pb END AS q2
+              ELSE a.alpha2 * q.p / (qb.unseen / (SELECT n FROM total)) END AS q2
   FROM q2 q JOIN q2b qb USING (v) LEFT JOIN alpha2 a ON a.wi_1 = q.v
 ),
 dense AS (
-  SELECT c.u, c.v, q.w, q.p, q.c2, q.t2, q.q2, t.c AS c3, x3.t3
+  SELECT c.u, c.v, q.w, q.p, q.c2, q.t2, q.q2, q.cnt, q.alpha2, q.unseen, t.c AS c3, x3.t3
   FROM ctx c JOIN q2f q ON q.v = c.v
   LEFT JOIN trigrams t ON t.wi_2 = c.u AND t.wi_1 = c.v AND t.wi = q.w
   LEFT JOIN ctx3 x3 ON x3.wi_2 = c.u AND x3.wi_1 = c.v
 ),
 denom3 AS (
-  SELECT u, v, sum(CASE WHEN c3 IS NULL THEN q2 ELSE 0 END) AS denom,
-         1 - sum(CASE WHEN c3 IS NOT NULL THEN (c3 - {D}) / t3 ELSE 0 END) AS alpha3
+  SELECT u, v,
+         CASE WHEN any_value(t2) IS NULL THEN sum(CASE WHEN c3 IS NULL THEN cnt ELSE 0 END) / (SELECT n FROM total)
+              ELSE sum(CASE WHEN c3 IS NULL AND c2 IS NOT NULL THEN c2 - {D} ELSE 0 END) / any_value(t2)
+                   + coalesce(any_value(alpha2) * (sum(CASE WHEN c3 IS NULL AND c2 IS NULL THEN cnt ELSE 0 END)
+                                                   / nullif(any_value(unseen), 0)), 0) END AS denom,
+         CASE WHEN any_value(t3) IS NULL THEN 1.0
+              ELSE (any_value(t3) - sum(CASE WHEN c3 IS NOT NULL THEN c3 - {D} ELSE 0 END)) / any_value(t3) END AS alpha3
   FROM dense GROUP BY u, v
 ),
 scored AS (
@@ -192,20 +196,23 @@ scored AS (
   FROM dense d JOIN denom3 x ON x.u = d.u AND x.v = d.v
 )"""
 
-PHRASES = f"""
+def _phrases(clean: bool) -> str:
+    text = _clean("text") if clean else "text"
+    return f"""
+words_of AS (
+  SELECT conv_id, turn, string_split(regexp_replace(lower({text}), ' $', ''), ' ') AS arr FROM conversations
+),
 phr AS (
-  SELECT phrase_id, arr[len(arr) - 1] AS w1, arr[len(arr)] AS w2
-  FROM (SELECT conv_id * 1000 + turn AS phrase_id,
-               string_split(regexp_replace(lower({_clean('text')}), ' $', ''), ' ') AS arr
-        FROM conversations)
-  WHERE len(arr) >= 2
+  SELECT conv_id, turn, arr[len(arr) - 1] AS w1, arr[len(arr)] AS w2 FROM words_of WHERE len(arr) >= 2
 ),
 penc AS (
-  SELECT p.phrase_id, coalesce(a.idx, 0) AS u, coalesce(b.idx, 0) AS v
+  SELECT p.conv_id, p.turn, coalesce(a.idx, 0) AS u, coalesce(b.idx, 0) AS v
   FROM phr p LEFT JOIN vocab a ON a.word = p.w1 LEFT JOIN vocab b ON b.word = p.w2
 ),
 ctx AS (SELECT DISTINCT u, v FROM penc)"""
 
+
+#: The stop list that ``predict_no_stopwords`` passes: the 50 most frequent words.
 STOP = """
 stop AS (SELECT idx FROM vocab ORDER BY count DESC, word LIMIT 50)"""
 
@@ -219,17 +226,17 @@ def _percent(x: str) -> str:
             f"ELSE {whole} || '.' || lpad(CAST({frac} AS VARCHAR), 2, '0') END, '%')")
 
 
-def _predict_sql(score: str, stop: bool) -> str:
+def _predict_sql(score: str, stop: bool, clean: bool = True) -> str:
     excl = "WHERE s.w NOT IN (SELECT idx FROM stop)" if stop else ""
     body = f"""
-SELECT p.phrase_id, r.w AS word_idx, x.word, round(r.prob, 8) AS prob
+SELECT p.conv_id, p.turn, r.w AS word_idx, x.word, round(r.prob, 8) AS prob
 FROM penc p
 JOIN (SELECT u, v, w, prob FROM (
         SELECT s.u, s.v, s.w, s.{score} AS prob,
                rank() OVER (PARTITION BY s.u, s.v ORDER BY s.{score} DESC) AS rk
         FROM scored s {excl}) WHERE rk <= {K}) r ON r.u = p.u AND r.v = p.v
 JOIN vocab x ON x.idx = r.w"""
-    extra = PHRASES + "," + DENSE + ("," + STOP if stop else "")
+    extra = _phrases(clean) + "," + DENSE + ("," + STOP if stop else "")
     return with_base(body, extra)
 
 
@@ -249,6 +256,58 @@ rows_t AS (
 ctx AS (SELECT DISTINCT u, v FROM rows_t WHERE u IS NOT NULL AND v IS NOT NULL AND w IS NOT NULL)"""
 
 
+def _base_until(name: str) -> str:
+    return BASE[:BASE.index(f"\n{name} AS (")].rstrip().rstrip(",")
+
+
+#: All configurations at once: every table carries its sampling level s, cutoff c and filter f.
+SWEEP_SIZES = "WITH " + _base_until("uni") + """,
+levels AS (SELECT * FROM (VALUES (20, 20), (25, 25), (30, 30), (100, 101)) t(s, lim)),
+cuts AS (SELECT * FROM (VALUES (80, CAST(0.8 AS DOUBLE)), (85, CAST(0.85 AS DOUBLE)), (90, CAST(0.9 AS DOUBLE))) t(c, share)),
+filters AS (SELECT * FROM (VALUES ('TRUE', 1), ('FALSE', 0)) t(f, least)),
+uni_s AS (SELECT s, w1 AS word, count(*) AS cnt FROM grams JOIN levels ON block <= lim WHERE is_train GROUP BY s, w1),
+walk_s AS (
+  SELECT s, cnt, sum(cnt) OVER (PARTITION BY s ORDER BY cnt DESC, word ROWS UNBOUNDED PRECEDING) AS cum,
+         sum(cnt) OVER (PARTITION BY s) AS tot FROM uni_s
+),
+nb_s AS (SELECT s, c, max(cnt) AS nb FROM walk_s JOIN cuts ON cum >= share * tot GROUP BY s, c),
+voc_s AS (SELECT u.s, n.c, u.word FROM uni_s u JOIN nb_s n ON n.s = u.s AND u.cnt > n.nb),
+bi_s AS (SELECT s, w1, w2, count(*) AS cnt FROM grams JOIN levels ON block <= lim WHERE is_train AND w2 IS NOT NULL GROUP BY s, w1, w2),
+tri_s AS (SELECT s, w1, w2, w3, count(*) AS cnt FROM grams JOIN levels ON block <= lim WHERE is_train AND w3 IS NOT NULL GROUP BY s, w1, w2, w3),
+n1 AS (SELECT s, c, count(*) AS n FROM voc_s GROUP BY s, c),
+n2 AS (SELECT b.s, x.c, f, count(*) AS n FROM bi_s b JOIN voc_s x ON x.s = b.s AND x.word = b.w1
+       JOIN voc_s y ON y.s = b.s AND y.c = x.c AND y.word = b.w2 JOIN filters ON b.cnt > least GROUP BY b.s, x.c, f),
+n3 AS (SELECT b.s, x.c, f, count(*) AS n FROM tri_s b JOIN voc_s x ON x.s = b.s AND x.word = b.w1
+       JOIN voc_s y ON y.s = b.s AND y.c = x.c AND y.word = b.w2 JOIN voc_s z ON z.s = b.s AND z.c = x.c AND z.word = b.w3
+       JOIN filters ON b.cnt > least GROUP BY b.s, x.c, f)
+SELECT concat(l.s, '_', cuts.c, '_', filters.f) AS code, concat(l.s, ' ', cuts.c) AS label1, concat(l.s, ' ', filters.f) AS label2,
+       concat(cuts.c, ' ', filters.f) AS label3, CAST(coalesce(n1.n, 0) AS BIGINT) AS unigrams,
+       CAST(coalesce(n2.n, 0) AS BIGINT) AS bigrams, CAST(coalesce(n3.n, 0) AS BIGINT) AS trigrams
+FROM levels l JOIN cuts ON true JOIN filters ON true
+LEFT JOIN n1 ON n1.s = l.s AND n1.c = cuts.c
+LEFT JOIN n2 ON n2.s = l.s AND n2.c = cuts.c AND n2.f = filters.f
+LEFT JOIN n3 ON n3.s = l.s AND n3.c = cuts.c AND n3.f = filters.f"""
+
+
+def _sweep_accuracy(configs) -> str:
+    """Sizes and accuracy (n = 3) of some configurations, each from a model of its own."""
+    parts = []
+    for label, lim, cutoff, one in configs:
+        base = BASE.replace("FROM tok WHERE is_train GROUP BY word", f"FROM tok WHERE is_train AND block <= {lim} GROUP BY word")
+        base = base.replace(f"CAST({CUTOFF} AS DOUBLE)", f"CAST({cutoff} AS DOUBLE)")
+        base = base.replace("FROM grams WHERE is_train AND", f"FROM grams WHERE is_train AND block <= {lim} AND")
+        base = base if one else base.replace("WHERE s.cnt > 1", "WHERE s.cnt > 0")
+        cut, flag = round(100 * cutoff), "TRUE" if one else "FALSE"
+        parts.append(f"""SELECT * FROM (WITH {base},{ACCURACY},{DENSE}
+SELECT '{label}_{cut}_{flag}' AS code, '{label} {cut}' AS label1, '{label} {flag}' AS label2, '{cut} {flag}' AS label3,
+       (SELECT count(*) FROM vocab) AS unigrams, (SELECT count(*) FROM bigrams) AS bigrams, (SELECT count(*) FROM trigrams) AS trigrams,
+       sum(CASE WHEN rk <= 3 THEN 1 ELSE 0 END) / count(*) AS accuracy
+FROM (SELECT r.*, s.rk FROM rows_t r
+      LEFT JOIN (SELECT u, v, w, rank() OVER (PARTITION BY u, v ORDER BY stupid DESC) AS rk FROM scored) s
+      ON s.u = r.u AND s.v = r.v AND s.w = r.w) j)""")
+    return " UNION ALL ".join(parts)
+
+
 def queries_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["corpus_lines"] = with_base("SELECT doc_id, line_no, line FROM lines")
@@ -292,8 +351,8 @@ FROM ctx3 c JOIN denom3 d ON d.u = c.wi_2 AND d.v = c.wi_1""",
                                       "ctx AS (SELECT wi_2 AS u, wi_1 AS v FROM ctx3)," + DENSE)
     q["seen_unseen_mass"] = with_base("""
 SELECT s.wi_1, round(s.seen_mass, 8) AS seen_mass,
-       round((SELECT sum(p) FROM vocab x WHERE x.idx NOT IN (SELECT wi FROM bigrams b WHERE b.wi_1 = s.wi_1)), 8)
-         AS unseen_mass
+       round((SELECT sum(count) FROM vocab x WHERE x.idx NOT IN (SELECT wi FROM bigrams b WHERE b.wi_1 = s.wi_1))
+             / (SELECT n FROM total), 8) AS unseen_mass
 FROM seen2 s""")
     q["model_stats"] = with_base("""
 SELECT 1 AS n, CAST(v AS BIGINT) AS observed, pow(v, 1) AS possible, v / pow(v, 1) AS proportion FROM vsize
@@ -340,8 +399,8 @@ FROM test_tri t LEFT JOIN scored s ON s.u = coalesce(t.u, 0) AND s.v = coalesce(
     q["predict_katz"] = _predict_sql("katz", False)
     q["predict_no_stopwords"] = _predict_sql("stupid", True)
     fmt = _predict_sql("katz", False).replace(
-        "SELECT p.phrase_id, r.w AS word_idx, x.word, round(r.prob, 8) AS prob",
-        "SELECT p.phrase_id, x.word AS Word, " + _percent("round(r.prob, 8)") + " AS Probability")
+        "SELECT p.conv_id, p.turn, r.w AS word_idx, x.word, round(r.prob, 8) AS prob",
+        "SELECT p.conv_id, p.turn, x.word AS Word, " + _percent("round(r.prob, 8)") + " AS Probability")
     q["predict_formatted"] = fmt
     q["accuracy_top_n"] = with_base("""
 SELECT CAST(n AS INTEGER) AS n, CAST(sum(CASE WHEN rk <= n THEN 1 ELSE 0 END) AS BIGINT) AS hits,
@@ -370,6 +429,26 @@ FROM (
     q["stream_ngram_counts"] = with_base(counts.replace(" WHERE is_train AND", " WHERE").replace(
         " WHERE is_train", ""))
     q["stream_predict_katz"] = q["predict_katz"]
+    q["predict_raw"] = _predict_sql("stupid", False, clean=False)
+    q["predict_status"] = with_base("""
+SELECT w.conv_id, w.turn, CAST(len(arr) AS INTEGER) AS n_words, CASE WHEN len(arr) >= 2 THEN 'ok' ELSE 'too_short' END AS status,
+       CAST(coalesce(p.u > 0, false) AS INTEGER) + CAST(coalesce(p.v > 0, false) AS INTEGER) AS n_known
+FROM words_of w LEFT JOIN penc p ON p.conv_id = w.conv_id AND p.turn = w.turn""", _phrases(True))
+    for n, (table, names) in enumerate((("vocab", ()), ("bigrams", ("wi_1", "wi")), ("trigrams", ("wi_2", "wi_1", "wi"))), 1):
+        if n == 1:
+            q["top250_unigrams"] = with_base("SELECT word AS term, count FROM vocab WHERE count >= 3 ORDER BY count DESC, idx LIMIT 250")
+            continue
+        joins = " ".join(f"JOIN vocab x{i} ON x{i}.idx = t.{c}" for i, c in enumerate(names))
+        q[f"top250_{table}"] = with_base(f"""
+SELECT {" || ' ' || ".join(f"x{i}.word" for i in range(n))} AS term, t.c AS count
+FROM (SELECT * FROM {table} WHERE c >= 3 ORDER BY c DESC, {', '.join(names)} LIMIT 250) t {joins}""")
+    q["csv_roundtrip"] = q["trigram_model"]
+    q["model_reloaded"] = with_base("""
+SELECT 'vocab' AS "table", NULL AS wi_2, NULL AS wi_1, idx AS wi, count FROM vocab
+UNION ALL SELECT 'bigrams', NULL, wi_1, wi, c FROM bigrams
+UNION ALL SELECT 'trigrams', wi_2, wi_1, wi, c FROM trigrams""")
+    q["sweep_sizes"] = SWEEP_SIZES
+    q["sweep_accuracy"] = _sweep_accuracy([("25", 25, 0.8, True), ("100", 101, 0.9, False)])
     q["model_roundtrip"] = with_base("""
 SELECT 'vocab' AS "table", CAST(count(*) AS BIGINT) AS rows FROM vocab
 UNION ALL SELECT 'bigrams', count(*) FROM bigrams

@@ -2,7 +2,6 @@ from glossa.functions.text import (
     block_number,
     clean_text,
     format_percent,
-    ngram_structs,
     ngram_terms,
     phrase_words,
     tokenize,
@@ -14,7 +13,6 @@ __all__ = [
     "block_number",
     "clean_text",
     "format_percent",
-    "ngram_structs",
     "ngram_terms",
     "phrase_words",
     "tokenize",

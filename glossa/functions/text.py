@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #   5. every non-ASCII character removed
 #   6. listed words removed, whole word, list sorted descending:  \b(w1|w2|..)\b -> ""
 #   7. punctuation removed ([[:punct:]]+), dashes between two word
-#      characters kept; the dash is parked on \x02 while punctuation goes
+#      characters kept; the dash is parked on \x01 while punctuation goes
 #   8. whitespace runs collapsed to one space, no trim
 # ---------------------------------------------------------------------------
 DIGITS = r"[0-9]+"
@@ -30,7 +30,7 @@ URL = r"(f|ht)tp(s?)://([^\n]*)[.][a-z]+[^\s.]+"
 MENTION = r"[@#][^\s]+"
 NON_ASCII = r"[^\x00-\x7F]"
 INTRA_WORD_DASH = r"(\w)-(\w)"
-DASH_MARK = "\u0002"
+DASH_MARK = "\u0001"
 PUNCT = r"\p{Punct}+"
 WHITESPACE = r"\s+"
 # Split-hash scale: the first 8 hex digits of an md5 are read as a fraction.
@@ -80,17 +80,6 @@ def ngram_terms(tokens: Column | str, n: int) -> Column:
     return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def ngram_structs(tokens: Column | str, n: int, names: list[str]) -> Column:
-    """Sliding n-grams as structs of the n words (positions kept, so a word
-    later found out-of-vocabulary never creates false neighbours)."""
-    t = F.col(tokens) if isinstance(tokens, str) else tokens
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size(t) - n),
-        lambda i: F.struct(*[F.get(t, i + j).alias(names[j]) for j in range(n)]))
-    empty = F.array().cast(f"array<struct<{','.join(f'{x}:string' for x in names)}>>")
-    return F.when(F.size(t) >= n, grams).otherwise(empty)
-
-
 def _md5_key(seed: int, *cols: Column | str) -> Column:
     parts = [F.lit(str(seed))] + [F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
                                   for c in cols]
@@ -125,15 +114,11 @@ def format_percent(col: Column | str) -> Column:
 
 
 def round_half_up(col: Column | str, digits: int = 8) -> Column:
-    """Report rounding: floor(x*10^d + 0.5)/10^d, applied first at d+4 places
-    to absorb last-bit noise (so a value that is exactly on a half boundary
-    in theory rounds the same whichever equivalent formula produced it).
-    Plain IEEE steps, so any engine repeating them gets the same value."""
+    """Report rounding: floor(x*10^d + 0.5)/10^d.  Plain IEEE steps, so any
+    engine repeating them gets the same value."""
     c = F.col(col) if isinstance(col, str) else col
-    for d in (digits + 4, digits):
-        scale = float(10 ** d)
-        c = F.floor(c * scale + 0.5) / scale
-    return c
+    scale = float(10 ** digits)
+    return F.floor(c * scale + 0.5) / scale
 
 
 def phrase_words(col: Column | str) -> Column:

@@ -10,19 +10,19 @@ Scoring only these candidates and ranking them per context gives exactly the
 dense answer: every word of the answer is a candidate, and each one that is
 not keeps more than k better candidates.
 
-How each part is built without enumerating the vocabulary per context:
-  * A3: equi-join of the distinct contexts with trigrams.
-  * A2 part: the per-v histogram (count level, words at that level) is a
-    pre-aggregate with at most sqrt(2*T2(v)) rows per v; the levels a depth D
-    needs are those with fewer than D words above them.  Distinct (v, D)
-    pairs pick their levels, then an equi-join on (v, count) fetches the
-    words.  No per-context scan of A2(v).
-  * U_k(v): the vocabulary gets dense positions by (count desc, idx); the
-    first k non-A2 words lie within the first k + |A2(v)| positions, extended
-    to the end of that count level so ties are whole.  Those positions are
-    generated per v, anti-joined with A2(v) and cut with a salted top-k.
-With stop words dropped, all three parts are built on the filtered
-vocabulary (the filter precedes the ranks).
+Only rows of the requested contexts are touched:
+  * A3: equi-join of the distinct contexts with the trigrams; its size per
+    context is counted on the result.
+  * A2: followers of the requested v, ranked once per v.  A context that needs
+    depth D joins the rank classes 0..log2(D) on (v, class), so a frequent v
+    is spread over its classes and no context reads more than twice its depth.
+  * U_k(v): the vocabulary has dense positions by (count desc, idx), made once
+    per (model, stop list).  With the positions p_1 < p_2 < ... of A2(v), the
+    k-th unseen word sits at k + #{i : p_i - i < k}; its tie class ends at a
+    stored position, and the gaps between the p_i up to there are the words.
+Each candidate carries its evidence (c3, c2, p), so scoring needs the context
+constants only.  With stop words dropped, all three parts are built on the
+filtered vocabulary (the filter precedes the ranks).
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.operators.topk import top_k
 from glossa.operators.vocabulary import dense_index
 
 
@@ -41,58 +40,63 @@ def _without(df: DataFrame, col: str, stop_idx: DataFrame | None, bc: bool) -> D
     return df.join(F.broadcast(s) if bc else s, col, "left_anti")
 
 
-def unigram_positions(model, stop_idx: DataFrame | None = None, key=None) -> DataFrame:
-    """(pos, w, count): the (filtered) vocabulary in order count desc, idx."""
+def unigram_positions(model, stop_idx: DataFrame | None = None, key=None) -> tuple[DataFrame, int]:
+    """(pos, w, p, last) of the (filtered) vocabulary in order count desc, idx,
+    with the end of each tie class, and the number of words."""
     def make():
         voc = _without(model.vocab, "idx", stop_idx, model.broadcast_ok)
-        ordered = voc.select(F.col("idx").alias("w"), "count")
-        return dense_index(ordered, [F.col("count").desc(), F.col("w").asc()], "pos").cache()
-    return model._memo(("upos", key), make) if key is not None else make()
+        ordered = dense_index(voc.select(F.col("idx").alias("w"), "count", F.col("prob").alias("p")),
+                              [F.col("count").desc(), F.col("w").asc()], "pos")
+        ends = ordered.groupBy("count").agg(F.max("pos").alias("last"))
+        return ordered.join(ends, "count").select("pos", "w", "p", "last"), ordered.count()
+
+    def kept():
+        pos, n = make()
+        return pos.cache(), n
+    if stop_idx is not None and key is None:  # a list without a name is not remembered
+        return make()
+    return model._memo(("upos", key), kept)
 
 
 def prediction_candidates(model, contexts: DataFrame, k: int, stop_idx: DataFrame | None = None,
-                          stop_key=None, salt_buckets: int = 16) -> DataFrame:
-    """(u, v, w) candidates for distinct contexts (u, v); OOV ids are 0."""
+                          stop_key=None) -> DataFrame:
+    """(u, v, w, c3, c2, p) candidates of the distinct contexts (u, v); OOV ids
+    are 0.  Counts are null where the word was not found at that level."""
     bc = model.broadcast_ok
     bi = _without(model.bigrams, "wi", stop_idx, bc)
     tri = _without(model.trigrams, "wi", stop_idx, bc)
+    upos, n_words = unigram_positions(model, stop_idx, stop_key)
+    look = F.broadcast if bc else (lambda df: df)
     c = contexts.select("u", "v").distinct()
+    none = F.lit(None)
+
+    t = tri.select(F.col("wi_2").alias("u"), F.col("wi_1").alias("v"), F.col("wi").alias("w"), F.col("count").alias("c3"))
+    a3 = c.join(t, ["u", "v"])
+    n3 = a3.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n3"))
+    cd = c.join(n3, ["u", "v"], "left").withColumn("depth", F.lit(k) + F.coalesce("n3", F.lit(0)))
+
+    vs = c.select("v").distinct()
+    b = vs.join(bi.select(F.col("wi_1").alias("v"), F.col("wi").alias("w"), F.col("count").alias("c2")), "v")
+    ranked = b.withColumn("r2", F.rank().over(Window.partitionBy("v").orderBy(F.col("c2").desc()))).withColumn(
+        "cls", F.floor(F.log2("r2")))
+    classes = cd.withColumn("cls", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.log2("depth")))))
+    a2 = classes.join(ranked, ["v", "cls"]).filter(F.col("r2") <= F.col("depth"))
+
+    # followers by position, and a row behind the last word that closes the last gap
+    seen = b.join(look(upos.select("w", "pos")), "w").select("v", "pos", F.lit(False).alias("end")).unionByName(
+        vs.select("v", F.lit(n_words + 1).cast("int").alias("pos"), F.lit(True).alias("end")))
+    by_v = Window.partitionBy("v")
+    placed = seen.withColumn("i", F.row_number().over(by_v.orderBy("pos"))).withColumn(
+        "prev", F.lag("pos", 1, 0).over(by_v.orderBy("pos")))
+    before = F.sum(F.when(~F.col("end") & (F.col("pos") - F.col("i") < k), 1).otherwise(0)).over(by_v)
+    placed = placed.withColumn("kth", F.least(before + k, F.lit(n_words)).cast("int")).filter(
+        F.col("pos") > F.col("prev") + 1)
+    gaps = placed.join(look(upos.select(F.col("pos").alias("kth"), "last")), "kth").select(
+        "v", (F.col("prev") + 1).alias("first"), F.least(F.col("pos") - 1, F.col("last")).alias("stop")).filter("first <= stop")
+    uk = gaps.select("v", F.explode(F.sequence("first", "stop")).alias("pos")).join(look(upos.select("pos", "w", "p")), "pos")
 
-    # A3(u, v)
-    t = tri.select(F.col("wi_2").alias("u"), F.col("wi_1").alias("v"), F.col("wi").alias("w"))
-    a3 = c.join(t, ["u", "v"]).select("u", "v", "w")
-
-    # A2(v) entries with rank <= D = k + |A3(u,v)|
-    n3 = tri.groupBy(F.col("wi_2").alias("u"), F.col("wi_1").alias("v")).agg(
-        F.count(F.lit(1)).alias("n3"))
-    cd = c.join(n3, ["u", "v"], "left").select(
-        "u", "v", (F.lit(k) + F.coalesce(F.col("n3"), F.lit(0))).alias("D"))
-    hist = bi.groupBy(F.col("wi_1").alias("v"), "count").agg(F.count(F.lit(1)).alias("m"))
-    above = Window.partitionBy("v").orderBy(F.col("count").desc()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    levels = hist.select("v", "count", F.coalesce(F.sum("m").over(above), F.lit(0)).alias("above"))
-    vd = cd.select("v", "D").distinct()
-    need = vd.join(levels, "v").filter(F.col("above") < F.col("D")).select("v", "D", "count")
-    b = bi.select(F.col("wi_1").alias("v"), "count", F.col("wi").alias("w"))
-    a2 = cd.join(need.join(b, ["v", "count"]).select("v", "D", "w"), ["v", "D"]).select("u", "v", "w")
-
-    # U_k(v): top k (ties kept) of the words outside A2(v), by unigram count
-    upos = unigram_positions(model, stop_idx, stop_key)
-    n_words = upos.count()
-    parts = [a3, a2]
-    if n_words > 0:
-        ends = upos.groupBy(F.col("count").alias("mc")).agg(F.max("pos").alias("last_pos"))
-        a2n = bi.groupBy(F.col("wi_1").alias("v")).agg(F.count(F.lit(1)).alias("a2n"))
-        dv = c.select("v").distinct().join(a2n, "v", "left").select(
-            "v", F.least(F.lit(k) + F.coalesce(F.col("a2n"), F.lit(0)), F.lit(n_words)).alias("M"))
-        up = upos.select(F.col("pos").alias("M"), F.col("count").alias("mc"))
-        dm = dv.join(up, "M").join(ends, "mc").select("v", "last_pos")
-        ex = dm.select("v", F.explode(F.sequence(F.lit(1), F.col("last_pos"))).alias("pos"))
-        uw = ex.join(upos, "pos").select("v", "w", "count")
-        uw = uw.join(bi.select(F.col("wi_1").alias("v"), F.col("wi").alias("w")), ["v", "w"], "left_anti")
-        uk = top_k(uw, ["v"], "count", k, ["w"], ties="all", salt_buckets=salt_buckets)
-        parts.append(c.join(uk.select("v", "w"), "v").select("u", "v", "w"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    parts = [a3.select("u", "v", "w", "c3", none.cast("bigint").alias("c2"), none.cast("double").alias("p")),
+             a2.select("u", "v", "w", none.cast("bigint").alias("c3"), "c2", none.cast("double").alias("p")),
+             c.join(uk, "v").select("u", "v", "w", none.cast("bigint").alias("c3"), none.cast("bigint").alias("c2"), "p")]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition("u", "v")  # one exchange for merging and ranking
+    return out.groupBy("u", "v", "w").agg(F.max("c3").alias("c3"), F.max("c2").alias("c2"), F.max("p").alias("p"))

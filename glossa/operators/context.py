@@ -10,8 +10,10 @@ B = the rest of the vocabulary; p(w) = count(w) / N.
   integer counts (no cancellation), instead of a sum over B2.
 * Trigram denominator sum_{B3(u,v)} q2(x|v) = S2(v) - sum_{A3(u,v)} q2(x|v),
   where S2(v) = sum over the vocabulary of q2(.|v) = 1, or 1 - alpha2(v)
-  when every vocabulary word follows v (B2 empty).  One join of trigrams to
-  bigrams replaces the loop over B3.
+  when every vocabulary word follows v (B2 empty).  A3 is a subset of A2, so
+  with integer sums it is ((T2 - sum_{A3} c2) - d (n2 - n3)) / T2, plus alpha2
+  unless B2 is empty: one join of trigrams to bigrams, no difference of
+  near-equal doubles.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ def context_totals_3(trigrams: DataFrame) -> DataFrame:
 
 
 def katz_bigram_constants(bigrams: DataFrame, vocab: DataFrame, vocab_size: int,
-                          vocab_total: int, d: float = 0.5, broadcast_vocab: bool = True) -> DataFrame:
+                          vocab_total: int, d: float = 0.5, broadcast_vocab: bool = False) -> DataFrame:
     """(wi_1, t2, n2, alpha2, seen_mass, unseen_mass, s2) per seen context v."""
     v = vocab.select(F.col("idx").alias("wi"), F.col("count").alias("ucount"))
     seen = bigrams.join(F.broadcast(v) if broadcast_vocab else v, "wi")
@@ -59,22 +61,16 @@ def q2_expr(d: float) -> F.Column:
             .otherwise(F.col("p")))
 
 
-def katz_trigram_constants(trigrams: DataFrame, bigrams: DataFrame, k2: DataFrame,
-                           vocab: DataFrame, d: float = 0.5, broadcast_vocab: bool = True) -> DataFrame:
+def katz_trigram_constants(trigrams: DataFrame, bigrams: DataFrame, k2: DataFrame, vocab_size: int,
+                           d: float = 0.5, broadcast: bool = False) -> DataFrame:
     """(wi_2, wi_1, t3, n3, alpha3, denom3) per seen context (u, v)."""
-    v = vocab.select(F.col("idx").alias("wi"), F.col("prob").alias("p"))
     b = bigrams.select("wi_1", "wi", F.col("count").alias("c2"))
-    t = (trigrams.select("wi_2", "wi_1", "wi", F.col("count").alias("c3"))
-         .join(b, ["wi_1", "wi"], "left")
-         .join(F.broadcast(k2) if broadcast_vocab else k2, "wi_1", "left")
-         .join(F.broadcast(v) if broadcast_vocab else v, "wi", "left")
-         .withColumn("q2", q2_expr(d)))
-    agg = t.groupBy("wi_2", "wi_1").agg(
-        F.sum("c3").cast("bigint").alias("t3"),
+    agg = trigrams.join(b, ["wi_1", "wi"], "left").groupBy("wi_2", "wi_1").agg(
+        F.sum("count").cast("bigint").alias("t3"),
         F.count(F.lit(1)).alias("n3"),
-        F.sum("q2").alias("a3_q2"),
-        F.first("s2", ignorenulls=True).alias("s2"))
-    return agg.select(
-        "wi_2", "wi_1", "t3", "n3",
-        (F.lit(d) * F.col("n3") / F.col("t3")).alias("alpha3"),
-        (F.coalesce(F.col("s2"), F.lit(1.0)) - F.col("a3_q2")).alias("denom3"))
+        F.sum("c2").cast("bigint").alias("a3_c2"))
+    k = k2.select("wi_1", "t2", "n2", "alpha2")
+    t = agg.join(F.broadcast(k) if broadcast else k, "wi_1", "left")
+    seen = ((F.col("t2") - F.col("a3_c2")) - F.lit(d) * (F.col("n2") - F.col("n3"))) / F.col("t2")
+    return t.select("wi_2", "wi_1", "t3", "n3", (F.lit(d) * F.col("n3") / F.col("t3")).alias("alpha3"),
+                    (seen + F.when(F.col("n2") < F.lit(vocab_size), F.col("alpha2")).otherwise(F.lit(0.0))).alias("denom3"))

@@ -6,8 +6,8 @@ Two plans give the same tables:
   occurrence is encoded by broadcast hash joins *before* counting.  OOV
   n-grams drop out in the map stage and the shuffle carries int keys only.
 * **shuffle** (vocabulary too large to broadcast): n-gram strings are counted
-  first (partial aggregation), then each word position is encoded with a
-  shuffle join on the distinct n-grams.
+  first (partial aggregation), each order apart, then each word position is
+  encoded with a shuffle join on the distinct n-grams.
 
 In both plans an n-gram with any out-of-vocabulary word is dropped whole;
 token positions are never compacted, so no false neighbours appear.
@@ -18,8 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.functions.text import ngram_terms
-
 DEFAULT_BROADCAST_MAX_WORDS = 2_000_000
 
 
@@ -32,12 +30,12 @@ def _gram_structs(tokens: str, n: int) -> Column:
     return F.when(F.size(t) >= n, grams).otherwise(empty)
 
 
-def gram_occurrences(tokens: DataFrame, orders=(2, 3)) -> DataFrame:
-    """(n, w1, w2, w3) per occurrence; w3 is NULL for bigrams."""
+def gram_occurrences(tokens: DataFrame, orders=(2, 3), keep=()) -> DataFrame:
+    """(n, w1, w2, w3) and the columns ``keep`` per occurrence; w3 is NULL for bigrams."""
     arr = F.concat(*[_gram_structs("tokens", n) for n in orders]) if len(orders) > 1 \
         else _gram_structs("tokens", orders[0])
-    g = tokens.select(F.explode(arr).alias("g"))
-    return g.select(F.col("g.n").cast("int").alias("n"), "g.w1", "g.w2", "g.w3")
+    g = tokens.select(*keep, F.explode(arr).alias("g"))
+    return g.select(*keep, F.col("g.n").cast("int").alias("n"), "g.w1", "g.w2", "g.w3")
 
 
 def _lookup(vocab: DataFrame, word_col: str, id_col: str, broadcast: bool) -> DataFrame:
@@ -47,36 +45,51 @@ def _lookup(vocab: DataFrame, word_col: str, id_col: str, broadcast: bool) -> Da
 
 def encoded_gram_counts(tokens: DataFrame, vocab: DataFrame, broadcast: bool,
                         orders=(2, 3)) -> DataFrame:
-    """(n, i1, i2, i3, count) of in-vocabulary n-grams (i3 NULL for n=2)."""
+    """(n, i1, i2, i3, count) of in-vocabulary n-grams (i3 NULL for n=2), both
+    orders from one pass with a broadcast vocabulary."""
+    if not broadcast:
+        parts = [encoded_strings(gram_strings(tokens, n), vocab, n).select(
+            F.lit(n).alias("n"), "i1", "i2", (F.col("i3") if n == 3 else F.lit(None).cast("int")).alias("i3"), "count") for n in orders]
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out
     occ = gram_occurrences(tokens, orders)
-    keep3 = (F.col("n") == 2) | F.col("i3").isNotNull()
-    if broadcast:
-        enc = (occ.join(_lookup(vocab, "w1", "i1", True), "w1")
-               .join(_lookup(vocab, "w2", "i2", True), "w2")
-               .join(_lookup(vocab, "w3", "i3", True), "w3", "left")
-               .filter(keep3))
-        return enc.groupBy("n", "i1", "i2", "i3").agg(F.count(F.lit(1)).alias("count"))
-    strings = occ.groupBy("n", "w1", "w2", "w3").agg(F.count(F.lit(1)).alias("count"))
-    enc = (strings.join(_lookup(vocab, "w1", "i1", False), "w1")
-           .join(_lookup(vocab, "w2", "i2", False), "w2")
-           .join(_lookup(vocab, "w3", "i3", False), "w3", "left")
-           .filter(keep3))
-    return enc.select("n", "i1", "i2", "i3", "count")
-
-
-def split_gram_tables(counts: DataFrame, filter_one_freq: bool) -> tuple[DataFrame, DataFrame]:
+    enc = (occ.join(_lookup(vocab, "w1", "i1", True), "w1")
+           .join(_lookup(vocab, "w2", "i2", True), "w2")
+           .join(_lookup(vocab, "w3", "i3", True), "w3", "left")
+           .filter((F.col("n") == 2) | F.col("i3").isNotNull()))
+    return enc.groupBy("n", "i1", "i2", "i3").agg(F.count(F.lit(1)).alias("count"))
+
+
+def gram_strings(tokens: DataFrame, n: int, keep=(), counts=None) -> DataFrame:
+    """(w1, w2[, w3], count) of the n-grams of one order; ``counts`` may be
+    other aggregates, over the columns ``keep`` of the lines."""
+    words = [f"w{i + 1}" for i in range(n)]
+    return gram_occurrences(tokens, (n,), keep).groupBy(*words).agg(*(counts or [F.count(F.lit(1)).alias("count")]))
+
+
+def encoded_strings(strings: DataFrame, vocab: DataFrame, n: int, broadcast: bool = False) -> DataFrame:
+    """Counted n-grams with a word id i1..in for each position; those with a
+    word outside the vocabulary drop out.  Every join key is a word, never a
+    null, and frequent words are split by the skew join."""
+    for i in range(n):
+        strings = strings.join(_lookup(vocab, f"w{i + 1}", f"i{i + 1}", broadcast), f"w{i + 1}")
+    return strings
+
+
+def gram_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bigram (wi_1, wi, count) and trigram (wi_2, wi_1, wi, count) tables."""
-    c = counts.filter(F.col("count") > 1) if filter_one_freq else counts
-    bigrams = c.filter(F.col("n") == 2).select(
+    bigrams = counts.filter(F.col("n") == 2).select(
         F.col("i1").alias("wi_1"), F.col("i2").alias("wi"), F.col("count").cast("bigint").alias("count"))
-    trigrams = c.filter(F.col("n") == 3).select(
+    trigrams = counts.filter(F.col("n") == 3).select(
         F.col("i1").alias("wi_2"), F.col("i2").alias("wi_1"), F.col("i3").alias("wi"),
         F.col("count").cast("bigint").alias("count"))
     return bigrams, trigrams
 
 
 def encode_terms(terms: DataFrame, vocab: DataFrame, n: int, term_col: str = "term",
-                 broadcast: bool = True, how: str = "left") -> DataFrame:
+                 broadcast: bool = False, how: str = "left") -> DataFrame:
     """Split space-joined n-gram terms and look up each word's id (NULL for
     OOV with ``how='left'``).  Adds id columns wi_2/wi_1/wi (trigram) or
     wi_1/wi (bigram)."""
@@ -89,7 +102,7 @@ def encode_terms(terms: DataFrame, vocab: DataFrame, n: int, term_col: str = "te
 
 
 def decode_ids(df: DataFrame, vocab: DataFrame, id_cols: list[str], out: str = "term",
-               broadcast: bool = True) -> DataFrame:
+               broadcast: bool = False) -> DataFrame:
     """Join each id column to its word and paste them with spaces."""
     tmp = df
     for j, c in enumerate(id_cols):
@@ -97,7 +110,3 @@ def decode_ids(df: DataFrame, vocab: DataFrame, id_cols: list[str], out: str = "
         tmp = tmp.join(F.broadcast(look) if broadcast else look, c, "left")
     return tmp.withColumn(out, F.concat_ws(" ", *[F.col(f"_d{j}") for j in range(len(id_cols))])) \
               .drop(*[f"_d{j}" for j in range(len(id_cols))])
-
-
-__all__ = ["ngram_terms", "encoded_gram_counts", "split_gram_tables", "encode_terms", "decode_ids",
-           "gram_occurrences", "DEFAULT_BROADCAST_MAX_WORDS"]

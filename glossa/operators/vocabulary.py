@@ -8,9 +8,9 @@
   partitioned by log2(count) bucket.
 * Dense ids 1..V in byte order of the word are assigned without a
   single-partition window: range-partition by the order, checkpoint (the
-  partition of each row is then fixed, even after a retry), count rows per
-  partition, prefix-sum those P counts, and add the offset to a row number
-  taken inside each partition.
+  partition and place of each row are then fixed, even after a retry), count
+  rows per partition, and add the prefix sums of those P counts to the row's
+  number in its partition.
 """
 
 from __future__ import annotations
@@ -27,40 +27,35 @@ def count_histogram(unigrams: DataFrame) -> DataFrame:
             .withColumn("mass", F.col("count") * F.col("n_types")))
 
 
-def coverage_threshold(unigrams: DataFrame, cutoff: float) -> DataFrame:
-    """One row ``(cutoff, nb)``: the count at which the cumulative count of
+def coverage_thresholds(unigrams: DataFrame, cutoffs) -> DataFrame:
+    """(cutoff, nb) for each cutoff: the count at which the cumulative count of
     words taken by count desc first reaches ``cutoff * total``.
 
-    The running sum over the histogram is split by log2(count) bucket: each
+    The histogram is made once and checkpointed, so the counts are computed
+    once for all cutoffs.  Its running sum is split by log2(count) bucket: each
     bucket is walked in its own window partition and shifted by the mass of
     the buckets above it (at most 64 numbers).
     """
-    if not 0.0 < cutoff <= 1.0:
+    cutoffs = [float(c) for c in cutoffs]
+    if not all(0.0 < c <= 1.0 for c in cutoffs):
         raise ValueError("cutoff must be in (0, 1]")
-    hist = count_histogram(unigrams).withColumn("_b", F.floor(F.log2("count")).cast("int"))
-    masses = {r["_b"]: int(r["m"]) for r in
-              hist.groupBy("_b").agg(F.sum("mass").alias("m")).collect()}
+    ensure_checkpoint_dir(unigrams.sparkSession)
+    hist = count_histogram(unigrams).withColumn("_b", F.floor(F.log2("count")).cast("int")).checkpoint(eager=True)
+    masses = {r["_b"]: int(r["m"]) for r in hist.groupBy("_b").agg(F.sum("mass").alias("m")).collect()}
     total = sum(masses.values())
-    above = {b: sum(m for b2, m in masses.items() if b2 > b) for b in masses}
+    above = {b: sum(m for b2, m in masses.items() if b2 > b) for b in masses} or {0: 0}
     offset = F.create_map(*[x for b, o in sorted(above.items())
                             for x in (F.lit(b), F.lit(o).cast("bigint"))])[F.col("_b")]
-    w_run = Window.partitionBy("_b").orderBy(F.col("count").desc()).rowsBetween(
-        Window.unboundedPreceding, 0)
+    w_run = Window.partitionBy("_b").orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, 0)
     walked = hist.select("count", (F.sum("mass").over(w_run) + offset).alias("running"))
-    return (walked.filter(F.col("running") >= F.lit(cutoff) * F.lit(total).cast("double"))
-            .agg(F.max("count").alias("nb"))
-            .select(F.lit(cutoff).cast("double").alias("cutoff"), F.col("nb").cast("bigint")))
+    each = walked.select("*", F.explode(F.array(*[F.lit(c) for c in cutoffs])).alias("cutoff"))
+    return (each.filter(F.col("running") >= F.col("cutoff") * F.lit(total).cast("double"))
+            .groupBy("cutoff").agg(F.max("count").cast("bigint").alias("nb")))
 
 
-def coverage_thresholds(unigrams: DataFrame, cutoffs) -> DataFrame:
-    """(cutoff, nb) for several cutoffs; the histogram is computed once per
-    cutoff from the same (partially aggregated) counts."""
-    hist_src = unigrams
-    out = None
-    for c in cutoffs:
-        t = coverage_threshold(hist_src, c)
-        out = t if out is None else out.unionByName(t)
-    return out
+def coverage_threshold(unigrams: DataFrame, cutoff: float) -> DataFrame:
+    """One row ``(cutoff, nb)``."""
+    return coverage_thresholds(unigrams, [cutoff])
 
 
 def dense_index(df: DataFrame, order: list[Column], name: str = "idx",
@@ -68,27 +63,25 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "idx",
     """Add ``name`` = 1..N following ``order`` (must be a total order).
 
     Range partitioning splits the rows evenly (no hot key can form: the order
-    is unique), the checkpoint fixes each row's partition, and only P partition
-    sizes travel to compute offsets.
+    is unique) and each partition is sorted; the checkpoint fixes both.  The
+    place of a row is then its number within the partition, which Spark's
+    increasing id holds in its lower 33 bits, plus the sizes of the partitions
+    before: P numbers, no second shuffle.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(p, *order)
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    # P partition sizes (metadata, bounded by the partition count) give the
-    # offset of each partition's first row.
-    sizes = {r["_pid"]: r["_n"] for r in
-             ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect()}
+    ranged = df.repartitionByRange(p, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    placed = ranged.withColumn("_mid", F.monotonically_increasing_id())
+    pid = F.shiftright("_mid", 33).cast("int")
+    sizes = {r["_pid"]: r["_n"] for r in placed.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n")).collect()}
     offsets, acc = [], 0
-    for pid in range(p):
+    for i in range(max(sizes, default=-1) + 1):
         offsets.append(acc)
-        acc += sizes.get(pid, 0)
-    off = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("_pid") + 1)
-    local = Window.partitionBy("_pid").orderBy(*order)
-    return (ranged.withColumn(name, (F.row_number().over(local) + off).cast("int"))
-            .drop("_pid"))
+        acc += sizes.get(i, 0)
+    base = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets or [0]]), pid + 1)
+    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn(name, (local + base + 1).cast("int")).drop("_mid")
 
 
 def cut_vocabulary(unigrams: DataFrame, cutoff: float | None) -> tuple[DataFrame, int]:

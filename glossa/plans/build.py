@@ -1,28 +1,35 @@
 """Model build: sample -> clean -> tokens -> unigram counts -> coverage cut ->
 dense ids -> encoded bigram/trigram counts -> model tables.
 
-The build is an eager "fit": the vocabulary and the n-gram tables are
-checkpointed into the session's checkpoint folder, so every later query
-(scoring, prediction, evaluation) starts from materialised int tables and
-never re-reads the corpus.
+The build is an eager "fit".  Unigram counts, vocabulary and n-gram tables
+are written as Parquet into the shared folder, the n-grams range-partitioned
+and sorted by their context, so every later query starts from materialised
+int tables, prunes them by context, and never re-reads the corpus.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.operators import context as ctx
 from glossa.operators.counting import line_tokens, unigram_counts
-from glossa.operators.encode import (DEFAULT_BROADCAST_MAX_WORDS, encoded_gram_counts,
-                                     split_gram_tables)
+from glossa.operators.encode import DEFAULT_BROADCAST_MAX_WORDS, encoded_gram_counts, gram_tables
 from glossa.operators.split import (DEFAULT_PROP, DEFAULT_SEED, sample_blocks, train_lines,
                                     with_blocks)
 from glossa.operators.vocabulary import build_vocabulary
-from glossa.session import ensure_checkpoint_dir
+from glossa.session import ensure_checkpoint_dir, materialise
+
+#: Order of the rows of each table; n-grams are range-partitioned by all of it, so that a frequent word is split.
+SORT_KEYS = {"vocab": ["idx"], "bigrams": ["wi_1", "wi"], "trigrams": ["wi_2", "wi_1", "wi"]}
+
+
+def ranged(df: DataFrame, name: str) -> DataFrame:
+    keys = SORT_KEYS[name]
+    p = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(p, *keys).sortWithinPartitions(*keys)
 
 
 @dataclass
@@ -60,62 +67,59 @@ class NGramModel:
 
     def katz3(self, d: float = 0.5) -> DataFrame:
         return self._memo(("katz3", d), lambda: ctx.katz_trigram_constants(
-            self.trigrams, self.bigrams, self.katz2(d), self.vocab, d, self.broadcast_ok).cache())
+            self.trigrams, self.bigrams, self.katz2(d), self.vocab_size, d, self.broadcast_ok).cache())
 
     def unpersist(self):
         for v in self._cache.values():
-            if isinstance(v, DataFrame):
-                v.unpersist()
+            for x in v if isinstance(v, tuple) else (v,):
+                if isinstance(x, DataFrame):
+                    x.unpersist()
         self._cache.clear()
 
 
 def training_tokens(lines: DataFrame, ratio: float = 1.0, prop: float = DEFAULT_PROP,
                     seed: int = DEFAULT_SEED, remove_words=None) -> DataFrame:
-    train = sample_blocks(with_blocks(train_lines(lines, prop, seed), seed), ratio)
+    train = train_lines(lines, prop, seed)
+    if ratio < 1.0:
+        train = sample_blocks(with_blocks(train, seed), ratio)
     return line_tokens(train, remove_words)
 
 
 def model_from_tokens(tokens: DataFrame, cutoff: float | None = 0.9, filter_one_freq: bool = True,
                       broadcast_max_words: int = DEFAULT_BROADCAST_MAX_WORDS,
                       unigrams: DataFrame | None = None, params: dict | None = None) -> NGramModel:
-    spark = tokens.sparkSession
-    ensure_checkpoint_dir(spark)
-    own_uni = unigrams is None
-    uni = unigram_counts(tokens).persist(StorageLevel.MEMORY_AND_DISK) if own_uni else unigrams
+    ensure_checkpoint_dir(tokens.sparkSession)
+    uni = materialise(unigram_counts(tokens), "unigrams") if unigrams is None else unigrams
     vocab, nb = build_vocabulary(uni, cutoff, with_nb=True)
-    vocab = vocab.checkpoint(eager=True)
-    stats = vocab.agg(F.count(F.lit(1)).alias("v"), F.sum("count").alias("n")).first()
-    vsize, vtotal = int(stats["v"]), int(stats["n"] or 0)
-    if own_uni:
-        uni.unpersist()
-    bc = vsize <= broadcast_max_words
-    counts = encoded_gram_counts(tokens, vocab, broadcast=bc)
+    vocab = materialise(vocab, "vocab")
+    vsize, vtotal = vocabulary_size(vocab)
+    counts = encoded_gram_counts(tokens, vocab, broadcast=vsize <= broadcast_max_words)
     if filter_one_freq:
         counts = counts.filter(F.col("count") > 1)
-    counts = counts.checkpoint(eager=True)
-    bigrams, trigrams = split_gram_tables(counts, False)
-    p = dict(params or {})
-    p.update(cutoff=cutoff, filter_one_freq=filter_one_freq)
-    return NGramModel(vocab, bigrams, trigrams, int(nb) if nb is not None else 0, vsize, vtotal, p,
-                      broadcast_max_words)
+    bigrams, trigrams = gram_tables(materialise(counts, "gram-counts"))
+    return NGramModel(vocab, materialise(ranged(bigrams, "bigrams"), "bigrams"),
+                      materialise(ranged(trigrams, "trigrams"), "trigrams"), int(nb or 0), vsize, vtotal,
+                      dict(params or {}, cutoff=cutoff, filter_one_freq=filter_one_freq), broadcast_max_words)
+
+
+def vocabulary_size(vocab: DataFrame) -> tuple[int, int]:
+    """(words, sum of their counts)."""
+    st = vocab.agg(F.count(F.lit(1)).alias("v"), F.sum("count").alias("n")).first()
+    return int(st["v"]), int(st["n"] or 0)
 
 
 def build_model(lines: DataFrame, ratio: float = 1.0, cutoff: float | None = 0.9,
                 filter_one_freq: bool = True, prop: float = DEFAULT_PROP, seed: int = DEFAULT_SEED,
                 remove_words=None, broadcast_max_words: int = DEFAULT_BROADCAST_MAX_WORDS,
-                cache_tokens: bool = True) -> NGramModel:
+                input_partitions: int | None = None) -> NGramModel:
     """Full build from raw lines (doc_id, line_no, line).
 
-    The corpus is scanned twice (unigram counts, then encoded n-grams); with
-    ``cache_tokens`` the cleaned token arrays are kept (memory, spilling to
-    disk) between the two scans instead of re-cleaning the text.
+    The corpus is scanned twice (unigram counts, then encoded n-grams) and
+    kept nowhere in between.  ``input_partitions`` spreads the lines of a few
+    large files over more tasks before they are cleaned.
     """
+    if input_partitions:
+        lines = lines.repartition(input_partitions)
     tokens = training_tokens(lines, ratio, prop, seed, remove_words)
-    if cache_tokens:
-        tokens = tokens.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return model_from_tokens(tokens, cutoff, filter_one_freq, broadcast_max_words,
-                                 params=dict(ratio=ratio, prop=prop, seed=seed))
-    finally:
-        if cache_tokens:
-            tokens.unpersist()
+    return model_from_tokens(tokens, cutoff, filter_one_freq, broadcast_max_words,
+                             params=dict(ratio=ratio, prop=prop, seed=seed))

@@ -3,7 +3,9 @@
 phrase -> lower, split on spaces -> last two words -> ids (0 when unknown)
 -> distinct contexts -> pruned candidates -> stupid or Katz scores -> top k
 per context (ties kept unless ``ties='first'``) -> joined back to phrases.
-Phrases sharing a context are scored once.
+Phrases sharing a context are scored once.  All columns of the phrase table
+but ``phrase`` are its key and come back with every prediction; what was
+asked and cannot be answered is listed by ``predict_status``.
 """
 
 from __future__ import annotations
@@ -13,30 +15,47 @@ from pyspark.sql import functions as F
 
 from glossa.functions.text import clean_text, format_percent, phrase_words, round_half_up
 from glossa.operators.candidates import prediction_candidates
-from glossa.operators.scoring import katz_scores, stupid_scores
+from glossa.operators.scoring import candidate_scores
 from glossa.operators.topk import top_k
-from glossa.sources.wordlists import frequent_words, profanity_words, stop_ids, stop_word_frame
+from glossa.sources.wordlists import profanity_words, stop_ids, stop_word_list
 
 ALGOS = ("stupid", "katz")
+TOO_SHORT = "too_short"
+
+
+def phrase_keys(phrases: DataFrame) -> list[str]:
+    return [c for c in phrases.columns if c != "phrase"]
 
 
 def parse_phrases(phrases: DataFrame, clean: bool = False, remove_words=None) -> DataFrame:
-    """(phrase_id, w1, w2, n_words, valid): the last two words of each phrase.
+    """Key columns, w1, w2, n_words, valid: the last two words of each phrase.
     A phrase of fewer than two words is flagged ``valid = false``."""
     text = F.col("phrase")
     if clean:
         text = clean_text(text, profanity_words() if remove_words is None else remove_words)
     arr = phrase_words(text)
-    p = phrases.select("phrase_id", F.coalesce(arr, F.array().cast("array<string>")).alias("_w"))
+    keys = phrase_keys(phrases)
+    p = phrases.select(*keys, F.coalesce(arr, F.array().cast("array<string>")).alias("_w"))
     n = F.size("_w")
     return p.select(
-        "phrase_id",
+        *keys,
         F.when(n >= 2, F.element_at("_w", -2)).alias("w1"),
         F.when(n >= 2, F.element_at("_w", -1)).alias("w2"),
         n.alias("n_words"),
         (n >= 2).alias("valid"))
 
 
+def predict_status(model, phrases: DataFrame, clean: bool = False) -> DataFrame:
+    """Key columns, n_words, status, n_known: one row per phrase.  ``status`` is
+    ``ok`` or ``too_short`` (no prediction is made); ``n_known`` says how many
+    of the last two words are in the vocabulary."""
+    parsed = parse_phrases(phrases, clean)
+    known = lambda c: F.when(F.col(c) > 0, 1).otherwise(0)
+    enc = encode_contexts(model, parsed)
+    return enc.select(*phrase_keys(phrases), "n_words", F.when(F.col("valid"), "ok").otherwise(TOO_SHORT).alias("status"),
+                      (known("u") + known("v")).alias("n_known"))
+
+
 def encode_contexts(model, parsed: DataFrame) -> DataFrame:
     """Add u, v ids (0 for a word outside the vocabulary)."""
     bc = model.broadcast_ok
@@ -50,62 +69,56 @@ def encode_contexts(model, parsed: DataFrame) -> DataFrame:
 
 def context_predictions(model, contexts: DataFrame, algo: str = "stupid", k: int = 10,
                         stop_idx: DataFrame | None = None, stop_key=None, d: float = 0.5,
-                        a: float = 0.4, ties: str = "all", salt_buckets: int = 16) -> DataFrame:
-    """(u, v, w, prob) -- the top k words of each distinct context."""
+                        a: float = 0.4, ties: str = "all", rank_col: str | None = None) -> DataFrame:
+    """(u, v, w, prob[, rank]) -- the top k words of each distinct context."""
     if algo not in ALGOS:
         raise ValueError(f"algo must be one of {ALGOS}")
     if not isinstance(k, int) or k < 1:
         raise ValueError("k must be a positive integer")
-    cand = prediction_candidates(model, contexts, k, stop_idx, stop_key, salt_buckets)
-    scored = (katz_scores(model, cand, d=d, out="prob") if algo == "katz"
-              else stupid_scores(model, cand, a=a, out="prob"))
-    return top_k(scored.select("u", "v", "w", "prob"), ["u", "v"], "prob", k, ["w"], ties,
-                 salt_buckets)
+    cand = prediction_candidates(model, contexts, k, stop_idx, stop_key)
+    return top_k(candidate_scores(model, cand, algo, d, a), ["u", "v"], "prob", k, ["w"], ties, rank_col)
 
 
 def resolve_stop_ids(model, include_stop_words: bool, stop_words=None):
+    """(ids, key) of the stop words to leave out; both None when none are.
+    The tables that depend on them are kept by the model under the key."""
     if include_stop_words:
         return None, None
-    spark = model.vocab.sparkSession
     if stop_words is None:
-        frame, key = frequent_words(model.vocab), "frequent50"
-    else:
-        frame, key = stop_word_frame(spark, stop_words), None
-    return stop_ids(model.vocab, frame).cache(), key
+        raise ValueError("leaving stop words out needs a list: pass stop_words")
+    key = tuple(stop_word_list(model.vocab.sparkSession, stop_words))
+    return model._memo(("stop", key), lambda: stop_ids(model.vocab, key).cache()), key
 
 
 def predict(model, phrases: DataFrame, algo: str = "stupid", k: int = 10,
             include_stop_words: bool = True, stop_words=None, d: float = 0.5, a: float = 0.4,
-            ties: str = "all", clean: bool = False, salt_buckets: int = 16) -> DataFrame:
-    """(phrase_id, word_idx, word, prob) for every valid phrase."""
-    parsed = parse_phrases(phrases, clean).filter("valid")
-    enc = encode_contexts(model, parsed)
+            ties: str = "all", clean: bool = False) -> DataFrame:
+    """Key columns, word_idx, word, prob for every phrase of two words or more
+    (``predict_status`` names the others)."""
+    keys = phrase_keys(phrases)
+    enc = encode_contexts(model, parse_phrases(phrases, clean).filter("valid"))
     stop_idx, key = resolve_stop_ids(model, include_stop_words, stop_words)
-    top = context_predictions(model, enc.select("u", "v"), algo, k, stop_idx, key, d, a, ties,
-                              salt_buckets)
+    top = context_predictions(model, enc.select("u", "v"), algo, k, stop_idx, key, d, a, ties)
     words = model.vocab.select(F.col("idx").alias("w"), "word")
-    return (enc.select("phrase_id", "u", "v").join(top, ["u", "v"])
+    return (enc.select(*keys, "u", "v").join(top, ["u", "v"])
             .join(F.broadcast(words) if model.broadcast_ok else words, "w")
-            .select("phrase_id", F.col("w").alias("word_idx"), "word", "prob"))
+            .select(*keys, F.col("w").alias("word_idx"), "word", "prob"))
 
 
-def predict_one(model, phrase: str, **kw) -> DataFrame:
-    """Single phrase; fewer than two words is an error, as in the form."""
-    words = phrase.lower()
-    if words.endswith(" "):
-        words = words[:-1]
-    if len(words.split(" ")) < 2:
-        raise ValueError("The provided string should be at least two words long.")
+def predict_one(model, phrase: str, clean: bool = False, **kw) -> DataFrame:
+    """Single phrase, best word first; a phrase that has fewer than two words
+    (after cleaning, if asked for) is an error."""
     spark = model.vocab.sparkSession
-    df = spark.createDataFrame([(0, phrase)], "phrase_id long, phrase string")
-    return predict(model, df, **kw).drop("phrase_id").orderBy(F.col("prob").desc(), "word_idx")
+    df = spark.createDataFrame([(phrase,)], "phrase string")
+    if not parse_phrases(df, clean).first()["valid"]:
+        raise ValueError("prediction needs a phrase of two or more words")
+    return predict(model, df, clean=clean, **kw).orderBy(F.col("prob").desc(), "word_idx")
 
 
 def format_predictions(pred: DataFrame, digits: int | None = 8) -> DataFrame:
-    """(phrase_id, Word, Probability) with the probability printed as a
+    """Key columns, Word, Probability with the probability printed as a
     percent.  The probability is first rounded to ``digits`` places (the
-    precision predictions are reported at), so values one ulp apart print
-    alike."""
+    precision predictions are reported at)."""
     p = round_half_up("prob", digits) if digits is not None else F.col("prob")
-    return pred.select("phrase_id", F.col("word").alias("Word"),
-                       format_percent(p).alias("Probability"))
+    keys = [c for c in pred.columns if c not in ("word_idx", "word", "prob")]
+    return pred.select(*keys, F.col("word").alias("Word"), format_percent(p).alias("Probability"))

@@ -2,14 +2,17 @@
 
 ``documents(doc_id, text, lang, source)`` stands in for line files; each
 text is split on newlines with its position kept as ``line_no`` (0-based).
-Plain text files are read with ``spark.read.text`` (one row per line).
+Plain text files are read with ``spark.read.text``; a line is identified by
+its file and its place there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glossa.session import materialise
+
 LINE_COLUMNS = ["doc_id", "line_no", "line"]
 
 
@@ -36,25 +39,28 @@ def document_lines(documents: DataFrame, lang: str | None = "en",
 
 
 def text_file_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Line files as (doc_id, line_no, line, source).  Files carry no line
-    numbers, so a line is keyed by a hash of (file, content): duplicates of a
-    line in one file land on the same side of a split."""
-    df = spark.read.text(paths).select(F.col("value").alias("line"),
-                                       F.input_file_name().alias("source"))
-    return df.select(
+    """Line files as (doc_id, line_no, line, source): ``source`` is the file's
+    path, ``doc_id`` a hash of it, ``line_no`` the line's place in the file
+    (0-based), so that equal lines stay apart and lines keep their order.
+
+    A file is read in splits by many tasks.  Rows are written once with their
+    place in the split; the lines of the splits before, a number for each
+    split, are then added.
+    """
+    raw = spark.read.text(paths).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_mid"))
+    raw = materialise(raw, "lines")
+    splits = raw.groupBy("source", "_start").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("source").orderBy("_start")) - F.col("_n")
+    splits = splits.select("source", "_start", "_first", before.alias("_before"))
+    return raw.join(splits, ["source", "_start"]).select(
         F.xxhash64("source").alias("doc_id"),
-        (F.xxhash64("source", "line") % F.lit(2147483647)).cast("int").alias("line_no"),
+        (F.col("_mid") - F.col("_first") + F.col("_before")).alias("line_no"),
         F.translate(F.col("line"), "\u0000", "").alias("line"),
         F.col("source"))
 
 
 def conversation_phrases(conversations: DataFrame) -> DataFrame:
-    """Phrase table from conversation turns: (phrase_id, phrase).  The id
-    packs (conv_id, turn) as conv_id*1000 + turn."""
-    return conversations.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("phrase_id"),
-        F.col("text").alias("phrase"))
-
-
-def benchmark_phrases(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase"))
+    """Phrase table from conversation turns: (conv_id, turn, phrase)."""
+    return conversations.select("conv_id", "turn", F.col("text").alias("phrase"))

@@ -1,73 +1,89 @@
 """Model persistence: parquet tables (the stored form), plus headerless
 int CSV export/import for the n-gram tables.
 
-N-gram tables are written range-partitioned on the context and sorted
-within files, so a scan for one context prunes row groups by min/max.
-A model path is complete only when every table has its _SUCCESS marker;
-``build_or_load`` rebuilds when any is missing, else reads.
+A save writes a fresh version folder and, last, its meta table: a version is
+complete when that has its _SUCCESS marker, and the newest complete version
+is the model.  A crash in between leaves the model as it was.  N-gram tables
+are range-partitioned and sorted by context, so a scan for one context prunes
+files and row groups by min/max.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossa.plans.build import NGramModel
+from glossa.operators.encode import DEFAULT_BROADCAST_MAX_WORDS
+from glossa.plans.build import NGramModel, ranged
 
-TABLES = ("vocab", "bigrams", "trigrams", "meta")
-SORT_KEYS = {"vocab": ["idx"], "bigrams": ["wi_1", "wi"], "trigrams": ["wi_2", "wi_1", "wi"]}
-RANGE_KEYS = {"vocab": ["idx"], "bigrams": ["wi_1"], "trigrams": ["wi_2", "wi_1"]}
+TABLES = ("vocab", "bigrams", "trigrams")
 
 
-def _fs_exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the newest complete version below ``path``."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    found = sorted((s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v-")), reverse=True)
+    for name in found:
+        if fs.exists(_fs(spark, f"{path}/{name}/meta/_SUCCESS")[1]):
+            return f"{path}/{name}"
+    return None
 
 
 def model_exists(spark: SparkSession, path: str) -> bool:
-    return all(_fs_exists(spark, f"{path}/{t}/_SUCCESS") for t in TABLES)
+    return current_version(spark, path) is not None
 
 
-def save_model(model: NGramModel, path: str, partitions: int | None = None) -> None:
+def save_model(model: NGramModel, path: str) -> str:
+    """Writes a new version and returns its folder."""
     spark = model.vocab.sparkSession
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for name, df in (("vocab", model.vocab), ("bigrams", model.bigrams), ("trigrams", model.trigrams)):
-        (df.repartitionByRange(p, *RANGE_KEYS[name]).sortWithinPartitions(*SORT_KEYS[name])
-         .write.mode("overwrite").parquet(f"{path}/{name}"))
+    out = f"{path}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    for name in TABLES:
+        ranged(getattr(model, name), name).write.parquet(f"{out}/{name}")
     meta = dict(nb=model.nb, vocab_size=model.vocab_size, vocab_total=model.vocab_total,
-                params=model.params)
-    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string") \
-        .coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-
-
-def load_model(spark: SparkSession, path: str, override: bool = False,
-               _loaded: dict = {}) -> NGramModel:  # noqa: B006 - process-wide memo
-    """Read a stored model once per path (``override`` re-reads it); a
-    missing table is an error."""
-    if not override and path in _loaded:
-        return _loaded[path]
-    for t in TABLES:
-        if not _fs_exists(spark, f"{path}/{t}/_SUCCESS"):
-            raise FileNotFoundError(f"File not found: {path}/{t}")
-    meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
-    m = NGramModel(spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/bigrams"),
-                   spark.read.parquet(f"{path}/trigrams"), meta["nb"], meta["vocab_size"],
-                   meta["vocab_total"], meta.get("params", {}))
-    if path in _loaded:
-        _loaded[path].unpersist()
-    _loaded[path] = m
+                params=model.params, broadcast_max_words=model.broadcast_max_words)
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").coalesce(1).write.parquet(f"{out}/meta")
+    return out
+
+
+_LOADED: dict[tuple[str, str], NGramModel] = {}
+
+
+def load_model(spark: SparkSession, path: str, override: bool = False) -> NGramModel:
+    """The newest version of a stored model, read once per application and
+    path; ``override`` looks for a newer version and re-reads."""
+    key = (spark.sparkContext.applicationId, path)
+    if not override and key in _LOADED:
+        return _LOADED[key]
+    at = current_version(spark, path)
+    if at is None:
+        raise FileNotFoundError(f"no complete model is stored at {path}")
+    meta = json.loads(spark.read.parquet(f"{at}/meta").first()["meta"])
+    m = NGramModel(*[spark.read.parquet(f"{at}/{t}") for t in TABLES], meta["nb"], meta["vocab_size"],
+                   meta["vocab_total"], meta.get("params", {}), meta.get("broadcast_max_words", DEFAULT_BROADCAST_MAX_WORDS))
+    if key in _LOADED:
+        _LOADED[key].unpersist()
+    _LOADED[key] = m
     return m
 
 
-def build_or_load(spark: SparkSession, path: str, build) -> NGramModel:
-    """Rebuild only when some table of the model is missing."""
-    if not model_exists(spark, path):
+def build_or_load(spark: SparkSession, path: str, build, rebuild: bool = False) -> NGramModel:
+    """The stored model; built and saved first if there is none or ``rebuild``."""
+    if rebuild or not model_exists(spark, path):
         save_model(build(), path)
+        return load_model(spark, path, override=True)
     return load_model(spark, path)
 
 

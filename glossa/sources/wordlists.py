@@ -2,8 +2,8 @@
 stop-word lists (dropped from predictions on request).
 
 The stop-word list is a parameter: callers pass words, a DataFrame with a
-``word`` column, or a path to a one-word-per-line file.  A frequency rule
-(``frequent_words``) derives one from a model when none is given.
+``word`` column, or a path to a one-word-per-line file.  ``frequent_words``
+derives one from a model, for callers who ask for it.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ _DATA = os.path.join(os.path.dirname(__file__), "data")
 PROFANITY_PATH = os.path.join(_DATA, "profanity.csv")
 
 
+# The packaged list equals the modelled program's, in its order.
 def profanity_words(path: str = PROFANITY_PATH) -> list[str]:
     """The packaged one-column list (no header).  Small and fixed, so it is
     read on the driver and compiled into one regex."""
@@ -32,14 +33,22 @@ def read_word_list(spark: SparkSession, path: str) -> DataFrame:
         path, header=False)
 
 
-def stop_word_frame(spark: SparkSession, stop_words) -> DataFrame:
-    """Normalise the accepted stop-word inputs to a ``(word)`` DataFrame."""
-    if isinstance(stop_words, DataFrame):
-        return stop_words.select(F.col(stop_words.columns[0]).alias("word"))
+#: A stop list is a small table of the caller's; a longer one is an error.
+MAX_STOP_WORDS = 100_000
+
+
+def stop_word_list(spark: SparkSession, stop_words) -> list[str]:
+    """Sorted distinct words of a list, of a DataFrame's first column, or of a
+    one-word-per-line file."""
     if isinstance(stop_words, str):
-        return read_word_list(spark, stop_words)
-    words = sorted({w for w in (stop_words or [])})
-    return spark.createDataFrame([(w,) for w in words], "word string")
+        stop_words = read_word_list(spark, stop_words)
+    if isinstance(stop_words, DataFrame):
+        rows = stop_words.select(F.col(stop_words.columns[0]).alias("word")).distinct().limit(MAX_STOP_WORDS + 1).collect()
+        stop_words = [r["word"] for r in rows]
+    words = sorted({w for w in stop_words if w})
+    if len(words) > MAX_STOP_WORDS:
+        raise ValueError(f"a stop list holds at most {MAX_STOP_WORDS} words")
+    return words
 
 
 def frequent_words(vocab: DataFrame, n: int = 50) -> DataFrame:
@@ -48,11 +57,7 @@ def frequent_words(vocab: DataFrame, n: int = 50) -> DataFrame:
     return vocab.orderBy(F.col("count").desc(), F.col("word")).limit(n).select("word")
 
 
-def stop_ids(vocab: DataFrame, stop_words: DataFrame) -> DataFrame:
+def stop_ids(vocab: DataFrame, words: Iterable[str]) -> DataFrame:
     """Vocabulary ids of the stop words (words not in the model drop out)."""
-    return vocab.join(stop_words.select("word").distinct(), "word", "left_semi").select(
-        F.col("idx"))
-
-
-def word_frame(spark: SparkSession, words: Iterable[str]) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in words], "word string")
+    stop = vocab.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    return vocab.join(F.broadcast(stop), "word", "left_semi").select("idx")

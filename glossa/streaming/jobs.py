@@ -1,62 +1,62 @@
 """Structured Streaming forms of two batch jobs.
 
 * Incremental n-gram counts: each micro-batch of new lines is cleaned and
-  counted; the running totals live in the state store (partitioned by
-  (n, term)), the streaming counterpart of counting blocks and merging them.
-* Prediction per arriving phrase batch: ``foreachBatch`` runs the batch
-  ``predict`` plan against the static model tables (stream-static join).
-
-Sinks write parquet into the shared checkpoint folder; nothing is held on
-the driver (no memory sink).
+  counted on its own; the per-batch counts are merged when they are read, so
+  the work of a batch follows its size, not the size of the totals.
+* Prediction per arriving phrase batch: the batch ``predict`` plan against
+  the static model tables.
+
+Both sinks write ``out/epoch=<n>`` with overwrite: a micro-batch that is
+retried replaces its own output, and a stream that is started again with the
+same ``checkpoint`` goes on where it ended.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glossa.operators.counting import line_tokens, ngram_counts
 from glossa.plans.predict import predict
-from glossa.session import scratch_path
 from glossa.sources.corpus import document_lines
 
 
 def document_line_stream(spark: SparkSession, folder: str, table: str = "documents",
-                         lang: str | None = "en", max_files_per_trigger: int | None = None) -> DataFrame:
+                         lang: str | None = "en", max_files_per_trigger: int | None = None,
+                         schema=None) -> DataFrame:
     """Stream the parquet files of one table in ``folder`` as text lines."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet").schema
+    if schema is None:
+        schema = spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return document_lines(reader.parquet(folder), lang)
 
 
-def stream_ngram_counts(lines_stream: DataFrame, orders=(1, 2, 3)) -> DataFrame:
-    """Streaming (n, term, count): running totals kept in the state store."""
-    return ngram_counts(line_tokens(lines_stream), orders)
-
-
-def run_available(stream_df: DataFrame, output_mode: str = "complete",
-                  path: str | None = None, each_batch=None) -> str:
-    """Process everything available now, writing each micro-batch result as
-    parquet under ``path``; returns the path.  ``complete`` mode rewrites
-    the totals, ``append`` adds rows."""
-    spark = stream_df.sparkSession
-    out = path or scratch_path(spark, "stream-out")
-    ckpt = scratch_path(spark, "stream-state")
-
+def run_available(stream: DataFrame, out: str, checkpoint: str, each_batch) -> None:
+    """Process everything that is available and new since ``checkpoint``;
+    ``each_batch`` maps a micro-batch to the rows of ``out/epoch=<n>``."""
     def sink(batch: DataFrame, epoch: int):
-        b = each_batch(batch) if each_batch else batch
-        mode = "overwrite" if output_mode == "complete" else "append"
-        b.write.mode(mode).parquet(out)
+        each_batch(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    q = (stream_df.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
+    q = (stream.writeStream.option("checkpointLocation", checkpoint)
          .foreachBatch(sink).trigger(availableNow=True).start())
     q.awaitTermination()
-    return out
 
 
-def stream_predictions(model, phrase_stream: DataFrame, algo: str = "katz", k: int = 10,
-                       **kw) -> str:
-    """Top-k predictions for each arriving batch of (phrase_id, phrase)."""
-    return run_available(phrase_stream, "append",
-                         each_batch=lambda b: predict(model, b, algo, k, **kw))
+def stream_ngram_counts(lines: DataFrame, out: str, checkpoint: str, orders=(1, 2, 3)) -> DataFrame:
+    """Runs the stream and returns the merged (n, term, count) of all batches so far."""
+    run_available(lines, out, checkpoint, lambda b: ngram_counts(line_tokens(b), orders))
+    return merged_counts(lines.sparkSession, out)
+
+
+def merged_counts(spark: SparkSession, out: str) -> DataFrame:
+    parts = spark.read.parquet(out)
+    return parts.groupBy("n", "term").agg(F.sum("count").cast("bigint").alias("count"))
+
+
+def stream_predictions(model, phrases: DataFrame, out: str, checkpoint: str, algo: str = "katz",
+                       k: int = 10, **kw) -> DataFrame:
+    """Runs the stream and returns the predictions of all batches so far."""
+    run_available(phrases, out, checkpoint, lambda b: predict(model, b, algo, k, **kw))
+    return phrases.sparkSession.read.parquet(out).drop("epoch")
