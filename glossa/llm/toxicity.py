@@ -55,7 +55,7 @@ class Tokens:
 
     def __init__(self, buf, offsets):
         w = Words(buf, offsets, ALNUM)
-        self.by_doc = w.by_doc
+        self.by_doc, self.starts, self.ends = w.by_doc, w.starts, w.ends
         _, first, self.ids = np.unique(w.hashes, return_index=True, return_inverse=True)
         self.word = (w.hashes[first] % np.uint64(WORD_BUCKETS)).astype(np.int64)
         lengths = w.ends[first] - w.starts[first]
@@ -243,62 +243,85 @@ class Network:
         return _sigmoid(self.document_logits(Tokens(buf, offsets)).astype(np.float64) * self.scale + self.shift)
 
 
-def _log_odds(present, label, buckets):
-    """Cautious log-odds by bucket: the end of the two-error interval nearer to 0."""
-    n1, n0 = label.sum() + 1.0, (1 - label).sum() + 1.0
-    rows, doc = present
-    a = np.bincount(rows[label[doc] > 0], minlength=buckets) + 0.5
-    b = np.bincount(rows[label[doc] == 0], minlength=buckets) + 0.5
-    odds, err = np.log(a / n1) - np.log(b / n0), 2 * np.sqrt(1 / a + 1 / b)
+def _log_odds(a, b, n1, n0):
+    """Cautious log-odds by bucket, from the documents of each class that hold
+    it: the end of the two-error interval nearer to 0."""
+    a, b = a + 0.5, b + 0.5
+    odds, err = np.log(a / (n1 + 1)) - np.log(b / (n0 + 1)), 2 * np.sqrt(1 / a + 1 / b)
     return np.sign(odds) * np.maximum(np.abs(odds) - err, 0)
 
 
-def _distinct(rows, doc, n):
-    key = np.unique(doc * n + rows)
-    return key % n, key // n
+def _present(t: Tokens, chosen):
+    """(name, document, bucket), each pair once, of the chosen documents' words and n-grams."""
+    doc = np.repeat(np.arange(len(t.by_doc) - 1), np.diff(t.by_doc))
+    pair = np.unique((doc * len(t.word) + t.ids)[chosen[doc]])
+    docs, types = pair // max(1, len(t.word)), pair % max(1, len(t.word))
+    counts = np.diff(np.append(t.gram_starts, len(t.grams)))[types]
+    grams = t.grams[np.repeat(t.gram_starts[types], counts) + ragged(counts)]
+    for name, rows, own, buckets in (("word", t.word[types], docs, WORD_BUCKETS), ("char", grams, np.repeat(docs, counts), CHAR_BUCKETS)):
+        key = np.unique(own * buckets + rows)
+        yield name, key // buckets, key % buckets
+
+
+def _joined(buf, spans) -> Tokens:
+    """Tokens of the given byte spans, one document each."""
+    sizes = np.array([b - a for a, b in spans], dtype=np.int64)
+    data = np.concatenate([buf[a:b] for a, b in spans]) if spans else buf[:0]
+    return Tokens(data, np.concatenate(([0], np.cumsum(sizes))))
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
-    """Fits the network on labelled texts."""
+    """Fits the network on labelled texts; a run of them is tokenised at a time."""
     net, label = Network(seed), np.array(labels, dtype=np.float32)
     if not len(label) or label.min() == label.max():
         net.prior = float((label.sum() + 1) / (len(label) + 2))
         return net
     r = np.random.default_rng(seed)
     buf, offs = text_buffer(pa.array(texts, pa.string()))
-    t = Tokens(buf, offs)
-    doc_of = np.repeat(np.arange(len(texts)), np.diff(t.by_doc))
     fit = np.arange(len(texts)) % 5 != 4
     held = ~fit if (~fit & (label > 0)).any() and (~fit & (label == 0)).any() else fit
-    known = fit[doc_of]
-    counts = np.diff(np.append(t.gram_starts, len(t.grams)))
-    pair = np.unique(doc_of[known] * len(t.word) + t.ids[known])
-    types, docs = pair % len(t.word), pair // len(t.word)
-    flat = t.grams[np.repeat(t.gram_starts[types], counts[types]) + ragged(counts[types])]
-    for name, rows, docs_, buckets in (("word", t.word[types], docs, WORD_BUCKETS), ("char", flat, np.repeat(docs, counts[types]), CHAR_BUCKETS)):
-        present = _distinct(rows, docs_, buckets)
-        net.p[name][:, 0] = _log_odds(present, label, buckets) / 4
-        net.restrict(name, np.bincount(present[0], minlength=buckets))
-    doc, first, size = t.windows()
-    use = np.flatnonzero(fit[doc])
-    start = net.type_inputs(t, np.arange(len(t.word)))[0]
-    strength = start[:, 0] + start[:, WORD_DIM]
-    seen = np.append(strength, -9.0)[t.gather(first, size)].max(1)
-    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    negative = use[label[doc[use]] == 0]
+
+    def runs():
+        for i, j in doc_ranges(offs):
+            yield i, j, Tokens(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
+
+    counts = {"word": np.zeros((2, WORD_BUCKETS)), "char": np.zeros((2, CHAR_BUCKETS))}
+    for i, j, t in runs():
+        for name, own, rows in _present(t, fit[i:j]):
+            for y in (0, 1):
+                counts[name][y] += np.bincount(rows[label[i:j][own] == y], minlength=counts[name].shape[1])
+    n1, n0 = label[fit].sum(), (1 - label[fit]).sum()
+    for name, (b, a) in counts.items():
+        net.p[name][:, 0] = _log_odds(a, b, n1, n0) / 4
+        net.restrict(name, a + b)
     for turn in range(ROUNDS):
-        score = seen if not turn else net.window_logits(t, first, size)
-        best = np.flatnonzero(score == np.maximum.reduceat(score, cut)[doc])
-        best = best[np.unique(doc[best], return_index=True)[1]]  # one window stands for a document
-        best = best[fit[doc[best]]]
-        for _ in range(max(1, -(-STEPS * BATCH // (2 * len(best))))):
-            chosen = r.permutation(np.concatenate([best, r.choice(negative, min(len(negative), len(best)), replace=False)]))
-            y = label[doc[chosen]]
-            w = np.where(y > 0, len(y) / max(2 * y.sum(), 1), len(y) / max(2 * (1 - y).sum(), 1)).astype(np.float32)
-            for i in range(0, len(chosen), BATCH):
-                k = slice(i, i + BATCH)
-                net.learn(t, first[chosen[k]], size[chosen[k]], y[k], w[k], RATE / (1 + turn))
-    net.scale, net.shift = _calibrate(net.document_logits(t)[held].astype(np.float64), label[held])
+        spans, y = [], []  # the window that stands for each document, and another of each negative one
+        for i, j, t in runs():
+            doc, first, size = t.windows()
+            if turn:
+                score = net.window_logits(t, first, size)
+            else:
+                x = net.type_inputs(t, np.arange(len(t.word)))[0] if len(t.word) else np.zeros((0, WORD_DIM + CHAR_DIM))
+                score = np.append(x[:, 0] + x[:, WORD_DIM], -9.0)[t.gather(first, size)].max(1)
+            cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            best = np.flatnonzero(score == np.maximum.reduceat(score, cut)[doc])
+            best = best[np.unique(doc[best], return_index=True)[1]]
+            other = cut + (r.random(len(cut)) * np.diff(np.append(cut, len(doc)))).astype(np.int64)
+            picked = np.concatenate([best, other[label[i:j] == 0]])
+            picked = picked[fit[i:j][doc[picked]] & (size[picked] > 0)]
+            last = first[picked] + size[picked] - 1
+            spans += [(int(offs[i] + t.starts[a]), int(offs[i] + t.ends[b])) for a, b in zip(first[picked], last, strict=True)]
+            y += label[i:j][doc[picked]].tolist()
+        t, y = _joined(buf, spans), np.array(y, dtype=np.float32)
+        first, size = t.by_doc[:-1], np.diff(t.by_doc)
+        w = np.where(y > 0, len(y) / max(2 * y.sum(), 1), len(y) / max(2 * (1 - y).sum(), 1)).astype(np.float32)
+        for _ in range(max(1, -(-STEPS * BATCH // max(1, len(y))))):
+            order = r.permutation(len(y))
+            for k in range(0, len(y), BATCH):
+                at = order[k:k + BATCH]
+                net.learn(t, first[at], size[at], y[at], w[at], RATE / (1 + turn))
+    logits = np.concatenate([net.document_logits(t) for _, _, t in runs()])
+    net.scale, net.shift = _calibrate(logits[held].astype(np.float64), label[held])
     return net
 
 
