@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lm, neardup, packing, secrets, substrings, topk, toxicity, warc
+from . import chat, decontaminate, lm, neardup, oracles, packing, secrets, substrings, topk, toxicity, warc
 
 
 def queries():
@@ -22,7 +22,10 @@ def queries():
 
 def oracle_sql():
     return {
+        "op2_substring_dedup": oracles.SUBSTRINGS,
+        "op4_setsketch_neardup": oracles.NEAR_DUPLICATES,
         "op7_exact_topk": topk.OP7_SQL,
+        "op8_decontaminate": oracles.OVERLAPS,
         "op9_warc_archive": warc.OP9_SQL,
         "op10_perspective_rotation": chat.OP10_SQL,
     }
