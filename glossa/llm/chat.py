@@ -31,19 +31,25 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def numbered_turns(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """(conv, role, text, no): distinct turns, numbered from 0 in each conversation."""
+    """(key, conv, role, text, no): distinct turns, numbered from 0 in each
+    conversation; ``key`` names the conversation and is never null."""
     escaped = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("<|"), F.lit("<\\|"))
-    role = F.coalesce(F.col(role_col), F.lit("unknown"))
-    turns = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), escaped.alias("text")).distinct()
-    order = ["conv", F.asc_nulls_last("turn"), "role", "text"]
-    dealt = written(turns.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "turns")
-    local = Window.partitionBy("conv", "part").orderBy(*order[1:])
-    counts = dealt.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select(F.col("conv").alias("c"), F.col("part").alias("p"), (
-        F.sum("n").over(Window.partitionBy("conv").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = dealt.withColumn("local", F.row_number().over(local))
-    return ranked.join(before, F.col("conv").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).select(
-        "conv", "role", "text", (F.col("local") + F.col("before") - 1).alias("no"))
+    turns = conversations.select(_key(conv_col), F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"),
+                                 F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), escaped.alias("text"))
+    order = ["key", F.asc_nulls_last("turn"), "role", "text"]
+    # equal rows meet in one range, so they merge without another shuffle
+    dealt = written(turns.repartitionByRange(*order).distinct().sortWithinPartitions(*order)
+                    .withColumn("id", F.monotonically_increasing_id()), "turns")
+    part = F.shiftright("id", 33)
+    counts = dealt.groupBy("key", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = counts.select(F.col("key").alias("k"), F.col("part").alias("p"), "first", (
+        F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")).alias("before"))
+    return dealt.withColumn("part", part).join(before, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p"))).select(
+        "key", "conv", "role", "text", (F.col("id") - F.col("first") + F.col("before")).alias("no"))
+
+
+def _key(conv_col: str):
+    return F.coalesce(F.concat(F.lit("="), F.col(conv_col).cast("string")), F.lit("null")).alias("key")
 
 
 def rotate_perspectives(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
@@ -51,11 +57,11 @@ def rotate_perspectives(conversations: DataFrame, conv_col: str = "conv_id", tur
     """(conv_id, perspective, chunk, n_turns, n_learned, rendered, mask): mask
     holds the learned character ranges of ``rendered``."""
     turns = numbered_turns(conversations, conv_col, turn_col, role_col, text_col)
-    chunks = turns.groupBy("conv", F.floor(F.col("no") / CHUNK_TURNS).cast("int").alias("chunk")).agg(
-        F.array_sort(F.collect_list(F.struct("no", "role", "text"))).alias("turns"))  # CHUNK_TURNS at most
-    speakers = conversations.select(F.col(conv_col).alias("c"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("perspective")).filter(
+    chunks = turns.groupBy("key", F.floor(F.col("no") / CHUNK_TURNS).cast("int").alias("chunk")).agg(
+        F.first("conv").alias("conv"), F.array_sort(F.collect_list(F.struct("no", "role", "text"))).alias("turns"))  # CHUNK_TURNS at most
+    speakers = conversations.select(_key(conv_col).alias("k"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("perspective")).filter(
         F.col("perspective") != system_role).distinct()
-    both = chunks.join(speakers, F.col("conv").eqNullSafe(F.col("c")))
+    both = chunks.join(speakers, F.col("key") == F.col("k"))
 
     def head(t):
         return F.when(t["role"] == F.col("perspective"), F.lit(f"{OPEN}assistant\n")).when(
