@@ -34,7 +34,7 @@ from glossa.plans.build import build_model
 from glossa.plans.evaluate import (accuracy_top_n, model_stats, perplexity, sweep, top_terms)
 from glossa.plans.predict import format_predictions, predict, predict_status
 from glossa.session import ensure_checkpoint_dir, scratch_path
-from glossa.sources.corpus import conversation_phrases, document_lines, read_table
+from glossa.sources.corpus import conversation_phrases, document_lines, read_table, text_file_lines
 from glossa.sources.model_io import (build_or_load, load_model, read_int_csv, save_model, table_sizes,
                                      write_int_csv)
 from glossa.sources.wordlists import frequent_words
@@ -224,6 +224,23 @@ def q_predict_raw(spark, sf):
     return _rounded(predict(_model(spark, sf), _phrases(spark, sf), "stupid", 10))
 
 
+def q_predict_ranked(spark, sf):
+    """Predictions with their place in the answer."""
+    return predict(_model(spark, sf), _phrases(spark, sf), "stupid", 10, clean=True, rank_col="rank").drop("prob")
+
+
+def q_file_lines(spark, sf):
+    """The corpus written as one text file per source, and its lines read back
+    with their places."""
+    docs = read_table(spark, sf, "documents")
+    lines = document_lines(docs, keep_source=True)
+    path = scratch_path(spark, "line-files")
+    (lines.repartition("source").sortWithinPartitions("source", "doc_id", "line_no").select("source", "line")
+     .write.partitionBy("source").text(path, lineSep="\n"))
+    return text_file_lines(spark, path).select(
+        F.regexp_extract("source", "source=([^/]*)/", 1).alias("source"), "line_no", "line")
+
+
 def q_predict_status(spark, sf):
     return predict_status(_model(spark, sf), _phrases(spark, sf), clean=True)
 
@@ -326,6 +343,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _reference_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "corpus_lines": q_corpus_lines,
+        "file_lines": q_file_lines,
         "split_train_test": q_split_train_test,
         "block_sample": q_block_sample,
         "clean_lines": q_clean_lines,
@@ -361,6 +379,7 @@ def _reference_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "predict_formatted": q_predict_formatted,
         "predict_raw": q_predict_raw,
         "predict_status": q_predict_status,
+        "predict_ranked": q_predict_ranked,
         "accuracy_top_n": q_accuracy_top_n,
         "perplexity": q_perplexity,
         "model_roundtrip": q_model_roundtrip,

@@ -429,6 +429,11 @@ FROM (
     q["stream_ngram_counts"] = with_base(counts.replace(" WHERE is_train AND", " WHERE").replace(
         " WHERE is_train", ""))
     q["stream_predict_katz"] = q["predict_katz"]
+    q["predict_ranked"] = _predict_sql("stupid", False).replace("round(r.prob, 8) AS prob", "CAST(r.rk AS INTEGER) AS rank").replace(
+        "SELECT s.u, s.v, s.w, s.stupid AS prob,", "SELECT s.u, s.v, s.w,").replace("SELECT u, v, w, prob FROM (", "SELECT u, v, w, rk FROM (")
+    q["file_lines"] = with_base("""
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id, line_no) - 1 AS BIGINT) AS line_no, line
+FROM lines JOIN (SELECT doc_id, source FROM documents) USING (doc_id)""")
     q["predict_raw"] = _predict_sql("stupid", False, clean=False)
     q["predict_status"] = with_base("""
 SELECT w.conv_id, w.turn, CAST(len(arr) AS INTEGER) AS n_words, CASE WHEN len(arr) >= 2 THEN 'ok' ELSE 'too_short' END AS status,

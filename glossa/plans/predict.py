@@ -92,17 +92,17 @@ def resolve_stop_ids(model, include_stop_words: bool, stop_words=None):
 
 def predict(model, phrases: DataFrame, algo: str = "stupid", k: int = 10,
             include_stop_words: bool = True, stop_words=None, d: float = 0.5, a: float = 0.4,
-            ties: str = "all", clean: bool = False) -> DataFrame:
-    """Key columns, word_idx, word, prob for every phrase of two words or more
-    (``predict_status`` names the others)."""
+            ties: str = "all", clean: bool = False, rank_col: str | None = None) -> DataFrame:
+    """Key columns, word_idx, word, prob[, rank] for every phrase of two words
+    or more (``predict_status`` names the others)."""
     keys = phrase_keys(phrases)
     enc = encode_contexts(model, parse_phrases(phrases, clean).filter("valid"))
     stop_idx, key = resolve_stop_ids(model, include_stop_words, stop_words)
-    top = context_predictions(model, enc.select("u", "v"), algo, k, stop_idx, key, d, a, ties)
+    top = context_predictions(model, enc.select("u", "v"), algo, k, stop_idx, key, d, a, ties, rank_col)
     words = model.vocab.select(F.col("idx").alias("w"), "word")
     return (enc.select(*keys, "u", "v").join(top, ["u", "v"])
             .join(F.broadcast(words) if model.broadcast_ok else words, "w")
-            .select(*keys, F.col("w").alias("word_idx"), "word", "prob"))
+            .select(*keys, F.col("w").alias("word_idx"), "word", "prob", *([rank_col] if rank_col else [])))
 
 
 def predict_one(model, phrase: str, clean: bool = False, **kw) -> DataFrame:

@@ -47,7 +47,7 @@ def text_file_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     place in the split; the lines of the splits before, a number for each
     split, are then added.
     """
-    raw = spark.read.text(paths).select(
+    raw = spark.read.text(paths, lineSep="\n").select(
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_mid"))
     raw = materialise(raw, "lines")

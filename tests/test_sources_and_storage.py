@@ -126,3 +126,26 @@ def test_predicting_stream_does_not_repeat(spark, toy_full, tmp_path):
         phrases = conversation_phrases(spark.readStream.schema("conv_id long, turn long, text string").parquet(folder))
         got = stream_predictions(toy_full, phrases, str(tmp_path / "out"), str(tmp_path / "state"), "stupid", 1)
     assert got.count() == 2
+
+
+def test_stored_order(spark, sf001_model):
+    """Files in order, and rows within them, follow the context."""
+    path = scratch_path(spark, "t-order")
+    at = save_model(sf001_model, path)
+    for name, keys in (("bigrams", ["wi_1", "wi"]), ("trigrams", ["wi_2", "wi_1", "wi"])):
+        rows = spark.read.parquet(f"{at}/{name}").select(F.input_file_name().alias("f"), *keys).collect()
+        files = {}
+        for r in rows:
+            files.setdefault(r.f.rsplit("/", 1)[1], []).append(tuple(r)[1:])
+        flat = [x for f in sorted(files) for x in files[f]]
+        assert flat == sorted(flat) and len(files) > 1
+
+
+def test_scratch_is_released(spark, toy_full):
+    from glossa.session import _SCRATCH, materialise, release_scratch
+    app = spark.sparkContext.applicationId
+    others, _SCRATCH[app] = _SCRATCH.get(app, []), []
+    materialise(toy_full.vocab, "t-scratch")
+    folder = _SCRATCH[app][0].removeprefix("file:")
+    assert os.path.isdir(folder) and release_scratch(spark) == 1 and not os.path.exists(folder)
+    _SCRATCH[app] = others
