@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.session import ensure_checkpoint_dir
+from glossa.session import materialise, scratch_path
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder of the session."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared checkpoint folder of the session;
+    ``glossa.session.release_scratch`` removes it when results are saved."""
+    return scratch_path(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and
     a lost executor costs no more than the tasks that read it."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialise(df, name)
 
 
 def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
