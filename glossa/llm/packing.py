@@ -33,7 +33,7 @@ from .common import small_batches, table, written
 from .textops import text_buffer
 
 #: Encoded words, and word parts, that a task keeps; a memo is emptied beyond this, which changes speed only.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 #: Bytes of text handled together.
 CHUNK = 1 << 20
 #: Words of these characters only have a plain normal form; all others go through the whole tokenizer.
@@ -80,6 +80,9 @@ class WordEncoder(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
+        if self.split is not None and word.isalpha():  # ASCII letters alone are one part
+            self[word] = ids = self.parts.get(text := text.lower()) or self._part(text)
+            return ids
         if self.split is None or "<|" in text or not _SIMPLE.fullmatch(text):
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         else:
