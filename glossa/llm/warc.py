@@ -1,5 +1,8 @@
 """WARC archives with revisit records and an externally merged capture index.
 
+``folder`` is a URI that ``pyarrow.fs`` opens on every executor (a shared file
+system, HDFS or an object store).
+
 Writing: every task writes its captures as gzip members to archive files of
 its own in a shared folder and, with each file, a run: its index entries
 sorted by URL key and timestamp.  Runs are bounded (``RUN_RECORDS``).  A file
