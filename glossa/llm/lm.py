@@ -76,8 +76,11 @@ def _log_softmax(x):
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
-def _log_softmax_at(x, col):
-    x -= x.max(1, keepdims=True)
+def _log_softmax_at(x, col, bounded):
+    """log-softmax of x at one column of each row; ``bounded`` says that no
+    entry can overflow ``exp``."""
+    if not bounded:
+        x -= x.max(1, keepdims=True)
     own = x[np.arange(len(x)), col]
     return own - np.log(np.exp(x, out=x).sum(1))
 
@@ -92,15 +95,18 @@ class Model:
         p = self.p
         if self.first is None:
             self.first = [p["e"] @ p["w"][i] for i in range(len(NEIGHBOURS))]
+            # hidden units lie between -1 and 1, which bounds every logit
+            self.low_c = (np.abs(p["c"]).sum(0) + np.abs(p["cb"])).max() < 60
+            self.low_m = (np.abs(p["m"]).sum(1) + np.abs(p["mb"])).max(1) < 60
         h = np.tanh(sum(f[around[:, i]] for i, f in enumerate(self.first)) + p["b"])
         cls, member = target // MEMBERS, target % MEMBERS
-        out = _log_softmax_at(h @ p["c"] + p["cb"], cls)
+        out = _log_softmax_at(h @ p["c"] + p["cb"], cls, self.low_c)
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for k in range(CLASSES):
             at = order[cuts[k]:cuts[k + 1]]
             if len(at):
-                out[at] += _log_softmax_at(h[at] @ p["m"][k] + p["mb"][k], member[at])
+                out[at] += _log_softmax_at(h[at] @ p["m"][k] + p["mb"][k], member[at], self.low_m[k])
         return out
 
     def gradient(self, target, around):
