@@ -1,3 +1,5 @@
+"""Fixtures and helpers of this folder."""
+
 import random
 
 import pytest
@@ -45,3 +47,7 @@ def frame(spark):
 
     return make
 
+
+def tuples(df):
+    """Sorted rows; nulls first."""
+    return sorted(map(tuple, df.collect()), key=lambda t: tuple((x is not None, x if x is not None else 0) for x in t))

@@ -12,7 +12,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute_llm as brute  # noqa: E402
-from conftest_llm import tuples  # noqa: E402
+from llm_fixtures import fixture_rows, frame, tuples  # noqa: E402, F401
 
 from glossa.llm import decontaminate, neardup, substrings, textops  # noqa: E402
 
