@@ -394,7 +394,5 @@ def _reference_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL per query key.  ``sweep`` has none (24 dense accuracies are
-    too slow in SQL): its sizes are those of ``sweep_sizes``, its accuracies are
-    checked for two configurations in ``sweep_accuracy``, both with SQL."""
+    """DuckDB SQL per query key."""
     return queries_sql() | _training_data()[1]

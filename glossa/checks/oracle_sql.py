@@ -453,6 +453,8 @@ SELECT 'vocab' AS "table", NULL AS wi_2, NULL AS wi_1, idx AS wi, count FROM voc
 UNION ALL SELECT 'bigrams', NULL, wi_1, wi, c FROM bigrams
 UNION ALL SELECT 'trigrams', wi_2, wi_1, wi, c FROM trigrams""")
     q["sweep_sizes"] = SWEEP_SIZES
+    q["sweep"] = _sweep_accuracy([(label, lim, c, f) for f in (True, False) for c in (0.8, 0.85, 0.9)
+                                  for label, lim in (("20", 20), ("25", 25), ("30", 30), ("100", 101))])
     q["sweep_accuracy"] = _sweep_accuracy([("25", 25, 0.8, True), ("100", 101, 0.9, False)])
     q["model_roundtrip"] = with_base("""
 SELECT 'vocab' AS "table", CAST(count(*) AS BIGINT) AS rows FROM vocab
