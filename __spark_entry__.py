@@ -237,7 +237,7 @@ def q_file_lines(spark, sf):
     path = scratch_path(spark, "line-files")
     (lines.repartition("source").sortWithinPartitions("source", "doc_id", "line_no").select("source", "line")
      .write.partitionBy("source").text(path, lineSep="\n"))
-    return text_file_lines(spark, path).select(
+    return text_file_lines(spark, path, line_sep="\n").select(
         F.regexp_extract("source", "source=([^/]*)/", 1).alias("source"), "line_no", "line")
 
 

@@ -38,16 +38,17 @@ def document_lines(documents: DataFrame, lang: str | None = "en",
     return lines.select(*out)
 
 
-def text_file_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+def text_file_lines(spark: SparkSession, paths: list[str] | str, line_sep: str | None = None) -> DataFrame:
     """Line files as (doc_id, line_no, line, source): ``source`` is the file's
     path, ``doc_id`` a hash of it, ``line_no`` the line's place in the file
     (0-based), so that equal lines stay apart and lines keep their order.
+    Lines end at LF, CR LF or CR unless ``line_sep`` says otherwise.
 
     A file is read in splits by many tasks.  Rows are written once with their
     place in the split; the lines of the splits before, a number for each
     split, are then added.
     """
-    raw = spark.read.text(paths, lineSep="\n").select(
+    raw = spark.read.text(paths, lineSep=line_sep).select(
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_mid"))
     raw = materialise(raw, "lines")
