@@ -179,12 +179,6 @@ def ragged(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(first, counts)
 
 
-def list_array(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
-    offsets = np.zeros(len(counts) + 1, dtype=np.int32)
-    np.cumsum(counts, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), values)
-
-
 def list_fields(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Entries per row (null: none) and the fields of all entries, for a list of flat structs."""
     counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)

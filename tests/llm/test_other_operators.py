@@ -6,7 +6,6 @@ import bz2
 import gzip
 import heapq
 import itertools
-import json
 import random
 import re
 import sys
@@ -20,7 +19,6 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
-import brute_llm as brute  # noqa: E402
 from llm_fixtures import fixture_rows, frame, tuples  # noqa: E402, F401
 
 from glossa.llm import chat, lm, packing, secrets, textops, topk, toxicity, warc  # noqa: E402
