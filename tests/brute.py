@@ -3,7 +3,6 @@ independent of the Spark plans.  Small fixtures only."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 
 

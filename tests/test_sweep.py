@@ -1,7 +1,5 @@
 """The sweep against models built one by one (brute force) on sf0.001."""
 
-from pyspark.sql import functions as F
-
 from conftest import SF001
 from glossa.operators.counting import line_tokens
 from glossa.operators.split import sample_blocks, test_lines as held_out, train_lines, with_blocks
