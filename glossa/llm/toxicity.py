@@ -39,7 +39,7 @@ GRAMS = (3, 4, 5, 6)
 #: Sampled documents in which a word or n-gram must occur for its embedding to be learned; others stay 0.
 COMMON = 4
 #: Labelled documents of each class that are learned from, at most.
-SAMPLE = 1500
+SAMPLE = 2500
 ROUNDS, STEPS, BATCH, RATE = 5, 80, 64, 0.08
 
 
