@@ -8,11 +8,12 @@ tokens.
 
 Vocabulary: word counts over all documents; the most frequent words get ids,
 the others share hashed buckets, which are predicted as such.  Training
-(numpy): in each of ``ROUNDS`` rounds every task masks a hashed share of the
-positions of its documents, takes Adagrad steps on them from the common
+(numpy): the rounds part the positions of all documents by a hash, and in each
+every task masks its share, takes Adagrad steps on them from the common
 parameters, and the tasks' results are averaged by examples, merged in salted
-groups on the executors; so all documents contribute whatever their number,
-and only one set of parameters (fixed size) reaches the driver.
+groups on the executors; so every token of every document is masked and
+predicted in exactly one round, and only one set of parameters (fixed size)
+reaches the driver.
 
 Edge cases: null or empty texts have no token, score 0 and a null mean;
 neighbours beyond the ends are a padding token; repeated rows train and score
@@ -34,7 +35,9 @@ CLASSES, MEMBERS = 64, 64
 VOCAB = CLASSES * MEMBERS
 BUCKETS = 256
 DIM, HIDDEN = 16, 32
-ROUNDS, MASKED, BATCH, RATE = 2, 24, 512, 0.1
+ROUNDS, RATE = 2, 0.1
+#: Targets of a step: few in a task's first steps, more as it has seen more.
+BATCH, LARGEST = 512, 4096
 #: Parts in which parameters are merged, and salted groups of each.
 PARTS, SALTS = 16, 16
 NEIGHBOURS = [o for o in range(-SIDE, SIDE + 1) if o]
@@ -71,9 +74,13 @@ def initial(vocab: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
             "m": f(CLASSES, HIDDEN, MEMBERS, scale=0.1), "mb": np.log(vocab.share / vocab.share.sum(1, keepdims=True)).astype(np.float32)}
 
 
-def _log_softmax(x):
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x, bounded):
+    """Softmax of each row, in place; ``bounded`` says that no entry can overflow ``exp``."""
+    if not bounded:
+        x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 def _log_softmax_at(x, col, bounded):
@@ -90,14 +97,17 @@ class Model:
         self.p = p
         self.first = None
 
+    def _bounded(self):
+        """Where no logit can overflow ``exp``: hidden units lie between -1 and 1."""
+        p = self.p
+        return ((np.abs(p["c"]).sum(0) + np.abs(p["cb"])).max() < 60, (np.abs(p["m"]).sum(1) + np.abs(p["mb"])).max(1) < 60)
+
     def log_probs(self, target: np.ndarray, around: np.ndarray) -> np.ndarray:
         """log p(target | neighbours), normalised over the vocabulary."""
         p = self.p
         if self.first is None:
             self.first = [p["e"] @ p["w"][i] for i in range(len(NEIGHBOURS))]
-            # hidden units lie between -1 and 1, which bounds every logit
-            self.low_c = (np.abs(p["c"]).sum(0) + np.abs(p["cb"])).max() < 60
-            self.low_m = (np.abs(p["m"]).sum(1) + np.abs(p["mb"])).max(1) < 60
+            self.low_c, self.low_m = self._bounded()
         h = np.tanh(sum(f[around[:, i]] for i, f in enumerate(self.first)) + p["b"])
         cls, member = target // MEMBERS, target % MEMBERS
         out = _log_softmax_at(h @ p["c"] + p["cb"], cls, self.low_c)
@@ -112,47 +122,41 @@ class Model:
     def gradient(self, target, around):
         """Loss and gradients of the mean negative log-probability."""
         p, n = self.p, len(target)
-        x = p["e"][around]
-        h = np.tanh(np.einsum("nod,odh->nh", x, p["w"], optimize=True) + p["b"])
+        order = np.argsort(target // MEMBERS, kind="stable")  # classes become slices
+        target, around = target[order], around[order]
+        x = p["e"][around].reshape(n, -1)
+        w = p["w"].reshape(-1, HIDDEN)
+        h = np.tanh(x @ w + p["b"])
         cls, member = target // MEMBERS, target % MEMBERS
         rows = np.arange(n)
-        lc = _log_softmax(h @ p["c"] + p["cb"])
-        dc = np.exp(lc)
+        low_c, low_m = self._bounded()
+        dc = _softmax(h @ p["c"] + p["cb"], low_c)
+        loss = -np.log(dc[rows, cls]).sum()
         dc[rows, cls] -= 1
-        loss = -lc[rows, cls].sum()
-        g = {"c": h.T @ dc / n, "cb": dc.sum(0) / n, "m": {}, "mb": {}}
         dh = dc @ p["c"].T
-        for k in np.unique(cls):
-            at = np.flatnonzero(cls == k)
-            lm = _log_softmax(h[at] @ p["m"][k] + p["mb"][k])
-            dm = np.exp(lm)
-            dm[np.arange(len(at)), member[at]] -= 1
-            loss -= lm[np.arange(len(at)), member[at]].sum()
+        g = {"c": h.T @ dc / n, "cb": dc.sum(0) / n, "m": np.zeros_like(p["m"]), "mb": np.zeros_like(p["mb"])}
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            at = slice(cuts[k], cuts[k + 1])
+            own, col = rows[:cuts[k + 1] - cuts[k]], member[at]
+            dm = _softmax(h[at] @ p["m"][k] + p["mb"][k], low_m[k])
+            loss -= np.log(dm[own, col]).sum()
+            dm[own, col] -= 1
             g["m"][k], g["mb"][k] = h[at].T @ dm / n, dm.sum(0) / n
             dh[at] += dm @ p["m"][k].T
-        dh = dh * (1 - h * h) / n
+        dh *= (1 - h * h) / n
         g["b"] = dh.sum(0)
-        g["w"] = np.einsum("nod,nh->odh", x, dh, optimize=True)
-        g["x"] = np.einsum("nh,odh->nod", dh, p["w"], optimize=True)
+        g["w"] = (x.T @ dh).reshape(p["w"].shape)
+        dx = (dh @ w.T).reshape(-1, DIM).T
+        where = around.ravel()
+        g["e"] = np.stack([np.bincount(where, weights=d, minlength=VOCAB + 1) for d in dx], axis=1).astype(p["e"].dtype)
         return loss / n, g
 
     def learn(self, target, around, seen, rate):
         loss, g = self.gradient(target, around)
-
-        def step(a, s, d):
-            s += d * d
-            a -= rate * d / np.sqrt(s)
-
-        for k in ("c", "cb", "w", "b"):
-            step(self.p[k], seen[k], g[k])
-        for k in ("m", "mb"):
-            for i, d in g[k].items():
-                step(self.p[k][i], seen[k][i], d)
-        own, inv = np.unique(around, return_inverse=True)
-        total = np.zeros((len(own), DIM), np.float32)
-        np.add.at(total, inv.ravel(), g["x"].reshape(-1, DIM))
-        seen["e"][own] += total * total
-        self.p["e"][own] -= rate * total / np.sqrt(seen["e"][own])
+        for k, d in g.items():
+            seen[k] += d * d
+            self.p[k] -= rate * d / np.sqrt(seen[k])
         return loss
 
 
@@ -210,7 +214,13 @@ def build_vocabulary(texts: DataFrame, size: int = VOCAB - BUCKETS) -> Vocabular
     return Vocabulary(np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=np.int64), total)
 
 
-def _train_round(texts: DataFrame, vocab, params, turn: int, rate: float) -> dict:
+def masked(w: Words, turn: int, rounds: int) -> np.ndarray:
+    """Which tokens are targets in this round: by word and place in the document, each in one of the rounds."""
+    place = (np.arange(len(w)) - np.repeat(w.by_doc[:-1], np.diff(w.by_doc))).astype(np.uint64)
+    return mix64(w.hashes + place * np.uint64(0x9E3779B97F4A7C15), 1) % np.uint64(rounds) == turn
+
+
+def _train_round(texts: DataFrame, vocab, params, turn: int, rounds: int, rate: float) -> dict:
     """Parameters after one round, averaged over the tasks by examples."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast((vocab, params))
@@ -227,19 +237,18 @@ def _train_round(texts: DataFrame, vocab, params, turn: int, rate: float) -> dic
             target = np.concatenate([t for t, _ in held])
             around = np.concatenate([a for _, a in held])
             held.clear()
-            stop = len(target) if last else len(target) // BATCH * BATCH
+            size = min(LARGEST, max(BATCH, n // 16))
+            stop = len(target) if last else len(target) // size * size
             mixed = np.random.default_rng(turn).permutation(stop)
-            for i in range(0, stop, BATCH):
-                model.learn(target[mixed[i:i + BATCH]], around[mixed[i:i + BATCH]], seen, rate)
+            for i in range(0, stop, size):
+                model.learn(target[mixed[i:i + size]], around[mixed[i:i + size]], seen, rate)
             if stop < len(target):
                 held.append((target[stop:], around[stop:]))
             return stop
 
         waiting = 0
         for w in _chunks(batches):
-            # masked by content and place, another share in each round
-            draw = mix64(w.hashes + np.arange(len(w), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), turn + 1)
-            target, around, _ = _examples(w, vocab, draw % np.uint64(MASKED) == 0)
+            target, around, _ = _examples(w, vocab, masked(w, turn, rounds))
             held.append((target, around))
             waiting += len(target)
             if waiting >= 64 * BATCH:
@@ -290,7 +299,7 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS):
     vocab = build_vocabulary(texts)
     params = initial(vocab)
     for turn in range(rounds):
-        params = _train_round(texts, vocab, params, turn, RATE / (1 + turn))
+        params = _train_round(texts, vocab, params, turn, rounds, RATE / (1 + turn))
     return vocab, params
 
 

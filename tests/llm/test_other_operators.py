@@ -390,3 +390,17 @@ def test_lm_scores(frame, spark):
     t, a, _ = lm._examples(textops.Words(buf, offs, textops.ALNUM), fitted[0])
     assert abs(sum(float(model.log_probs(t[i:i + 1], a[i:i + 1])[0]) for i in range(len(t))) - got[3][1]) < 1e-2
     assert lm.score(docs.filter("false"), lm.fit(docs.filter("false"))).count() == 0
+
+
+def test_lm_masks_every_token_once(frame, monkeypatch):
+    texts = ["one", "a b", "", "the cat sat " * 40] + [f"w{i} x{i}" for i in range(50)]
+    w = textops.Words(*textops.text_buffer(pa.array(texts)), textops.ALNUM)
+    for rounds in (1, 2, 5):
+        assert (sum(lm.masked(w, turn, rounds).astype(int) for turn in range(rounds)) == 1).all()
+    # the place counts within the document, however documents are cut into pieces
+    alone = textops.Words(*textops.text_buffer(pa.array(texts[3:4])), textops.ALNUM)
+    assert (lm.masked(alone, 1, 2) == lm.masked(w, 1, 2)[w.by_doc[3]:w.by_doc[4]]).all()
+    shares = []
+    monkeypatch.setattr(lm, "_train_round", lambda texts, vocab, params, turn, rounds, rate: shares.append((turn, rounds)) or params)
+    lm.fit(frame(list(enumerate(texts))))
+    assert sorted(t for t, _ in shares) == list(range(lm.ROUNDS)) and {n for _, n in shares} == {lm.ROUNDS}
