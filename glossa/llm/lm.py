@@ -6,8 +6,12 @@ neighbours' embeddings, one hidden layer, and a softmax factored into classes
 A document's score is the sum of the conditional log-probabilities of all its
 tokens.
 
-Vocabulary: word counts over all documents; the most frequent words get ids,
-the others share hashed buckets, which are predicted as such.  Training
+Vocabulary: word counts over all documents.  The network predicts the most
+frequent words and hashed buckets of the others; a word in a bucket gets
+log p(bucket | neighbours) + log(count(word) / count(bucket)), with its count
+over all documents.  So every word of the corpus has a probability of its own,
+and they sum to one (but for what training leaves to an empty bucket).  The counts of up to ``LOCAL`` words are sent to the tasks;
+those of rarer words are joined on the word hash in a shuffle.  Training
 (numpy): the rounds part the positions of all documents by a hash, and in each
 every task masks its share, takes Adagrad steps on them from the common
 parameters, and the tasks' results are averaged by examples, merged in salted
@@ -17,7 +21,7 @@ reaches the driver.
 
 Edge cases: null or empty texts have no token, score 0 and a null mean;
 neighbours beyond the ends are a padding token; repeated rows train and score
-each; an empty table gives no rows (and an untrained model).
+each; a word that the counted documents lack is scored as if it occurred once; an empty table gives no rows (and an untrained model).
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotated, small_batches, table
+from .common import annotated, small_batches, table, written
 from .textops import ALNUM, Words, doc_ranges, mix64, signed, text_buffer
 
 SIDE = 2
@@ -35,6 +39,8 @@ CLASSES, MEMBERS = 64, 64
 VOCAB = CLASSES * MEMBERS
 BUCKETS = 256
 DIM, HIDDEN = 16, 32
+#: Words beyond the network's own whose counts are sent to the tasks.
+LOCAL = 1 << 19
 ROUNDS, RATE = 2, 0.1
 #: Targets of a step: few in a task's first steps, more as it has seen more.
 BATCH, LARGEST = 512, 4096
@@ -46,12 +52,12 @@ NEIGHBOURS = [o for o in range(-SIDE, SIDE + 1) if o]
 class Vocabulary:
     """Word hash -> id; ids are in order of frequency, buckets come last, then padding."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, sums: np.ndarray | None = None):
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], order.astype(np.int32)
         share = np.zeros(VOCAB)
         share[:len(counts)] = counts
-        share[VOCAB - BUCKETS:] += max(0, total - int(counts.sum())) / BUCKETS
+        share[VOCAB - BUCKETS:] += max(0, total - int(counts.sum())) / BUCKETS if sums is None else sums
         share = (share + 0.1) / (share + 0.1).sum()
         self.share = share.reshape(CLASSES, MEMBERS)
 
@@ -65,6 +71,32 @@ class Vocabulary:
         return out
 
 
+class Tail:
+    """Counts of words in the buckets: sums by bucket, and the words with ``least`` or more."""
+
+    def __init__(self, sums: np.ndarray, hashes: np.ndarray, counts: np.ndarray, least: int):
+        order = np.argsort(hashes)
+        self.sums, self.least = np.log(np.maximum(sums, 1)), least
+        self.keys, self.logs = hashes[order], np.log(counts[order])
+
+    @property
+    def whole(self) -> bool:
+        """Whether every word that is left out occurs once, so that its log count is 0."""
+        return self.least <= 2
+
+    def share(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log(count / count of the bucket), with a count of 1 where it is not
+        here, and which are here."""
+        out = -self.sums[(h % np.uint64(BUCKETS)).astype(np.int64)]
+        known = np.zeros(len(h), dtype=bool)
+        if len(self.keys):
+            k = np.searchsorted(self.keys, h)
+            k[k == len(self.keys)] = 0
+            known = self.keys[k] == h
+            out[known] += self.logs[k[known]]
+        return out, known
+
+
 def initial(vocab: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
     """Small random weights; the biases start at the words' frequencies."""
     r = np.random.default_rng(seed)
@@ -182,8 +214,9 @@ def _chunks(batches, column=0):
             yield Words(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], ALNUM)
 
 
-def build_vocabulary(texts: DataFrame, size: int = VOCAB - BUCKETS) -> Vocabulary:
-    """The ``size`` most frequent words of all documents (ties: smaller hash)."""
+def build_vocabulary(texts: DataFrame, size: int = VOCAB - BUCKETS) -> tuple[Vocabulary, Tail, DataFrame]:
+    """The ``size`` most frequent words of all documents (ties: smaller hash),
+    the counts of the others, and the table (word, n) of those not in ``Tail``."""
     def run(batches):
         held = []
 
@@ -207,11 +240,25 @@ def build_vocabulary(texts: DataFrame, size: int = VOCAB - BUCKETS) -> Vocabular
             yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(c)], ["word", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["word", "n"])  # of all words
 
-    rows = (texts.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), F.asc_nulls_first("word")).limit(size + 1).collect())
-    total = next((r["n"] for r in rows if r["word"] is None), 0)
-    rows = [r for r in rows if r["word"] is not None]
-    return Vocabulary(np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=np.int64), total)
+    counts = written(texts.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    rows = counts.filter("word is not null").orderBy(F.desc("n"), "word").limit(size).collect()
+    hashes = np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64)
+    top = np.array([r["n"] for r in rows], dtype=np.int64)
+    # at most 256 buckets of 63 bands; the first band that fits, down to the words that occur twice
+    shares = counts.groupBy(F.col("word").bitwiseAND(BUCKETS - 1).alias("bucket"), (F.length(F.bin("n")) - 1).alias("band")).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")).collect()
+    total = sum(r["n"] for r in shares if r["bucket"] is None)
+    sums, words = np.zeros(BUCKETS, np.int64), np.zeros(64, np.int64)
+    for r in shares:
+        if r["bucket"] is not None:
+            sums[r["bucket"]] += r["n"]
+            words[r["band"]] += r["c"]
+    np.subtract.at(sums, (hashes % np.uint64(BUCKETS)).astype(np.int64), top)
+    above = words[::-1].cumsum()[::-1]
+    least = 1 << next(i for i in range(1, 64) if i == 63 or above[i] <= size + LOCAL)
+    more = counts.filter((F.col("n") >= least) & F.col("word").isNotNull()).toArrow()
+    tail = Tail(sums, more["word"].to_numpy().view(np.uint64), more["n"].to_numpy(), least)
+    return Vocabulary(hashes, top, total, sums), tail, counts.filter((F.col("n") > 1) & (F.col("n") < least))
 
 
 def masked(w: Words, turn: int, rounds: int) -> np.ndarray:
@@ -293,27 +340,28 @@ def _train_round(texts: DataFrame, vocab, params, turn: int, rounds: int, rate:
 
 
 def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS):
-    """(vocabulary, parameters) from all documents."""
+    """(vocabulary, parameters, counts of the words in buckets, table of further counts) from all documents."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    vocab = build_vocabulary(texts)
+    vocab, tail, rest = build_vocabulary(texts)
     params = initial(vocab)
     for turn in range(rounds):
         params = _train_round(texts, vocab, params, turn, rounds, RATE / (1 + turn))
-    return vocab, params
+    return vocab, params, tail, rest
 
 
 def score(docs: DataFrame, fitted, text_col: str = "text", keep=None) -> DataFrame:
     """``row`` (columns ``keep``), n_tokens and log_prob of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)  # fixed size
+    *small, rest = fitted
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(small))  # bounded size
 
     def make():
-        vocab, params = shared.value
+        vocab, params, tail = shared.value
         model = Model(params)
 
         def texts(column):
             buf, offs = text_buffer(column)
-            counts, totals = [], []
+            counts, totals, rare, rare_by = [], [], [], []
             for i, j in doc_ranges(offs):
                 w = Words(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], ALNUM)
                 target, around, doc = _examples(w, vocab)
@@ -321,13 +369,34 @@ def score(docs: DataFrame, fitted, text_col: str = "text", keep=None) -> DataFra
                 for a in range(0, len(target), 8192):
                     lp = model.log_probs(target[a:a + 8192], around[a:a + 8192])
                     total += np.bincount(doc[a:a + 8192], weights=lp, minlength=j - i)
+                at = np.flatnonzero(target >= VOCAB - BUCKETS)
+                share, known = tail.share(w.hashes[at])
+                total += np.bincount(doc[at], weights=share, minlength=j - i)
                 counts.append(np.diff(w.by_doc))
                 totals.append(total)
-            return [pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(np.concatenate(totals) if totals else [], pa.float64())]
+                if not tail.whole:
+                    rare.append(w.hashes[at[~known]])
+                    rare_by.append(np.bincount(doc[at[~known]], minlength=j - i))
+            out = [pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(np.concatenate(totals) if totals else [], pa.float64())]
+            if not tail.whole:
+                ends = np.concatenate([[0], *rare_by]).cumsum().astype(np.int32)
+                words = signed(np.concatenate(rare)) if rare else []
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(words, pa.int64())))
+            return out
 
         return texts
 
-    return annotated(docs, text_col, make, "n_tokens bigint, log_prob double", keep)
+    fields = "n_tokens bigint, log_prob double"
+    if small[2].whole:
+        return annotated(docs, text_col, make, fields, keep)
+    # the words whose counts the tasks lack, joined on the word; written, so that a row keeps its number
+    part = written(annotated(docs, text_col, make, f"{fields}, rare array<bigint>", keep)
+                   .withColumn("at", F.monotonically_increasing_id()), "scored")
+    asked = part.select("at", F.explode("rare").alias("asked"))
+    more = asked.join(rest.hint("shuffle_hash"), F.col("asked") == F.col("word")).groupBy("at").agg(F.sum(F.ln("n")).alias("more"))
+    more = more.withColumnRenamed("at", "to")
+    return part.join(more, F.col("at") == F.col("to"), "left").select(
+        "row", "n_tokens", (F.col("log_prob") + F.coalesce("more", F.lit(0.0))).alias("log_prob"))
 
 
 def op6_lm_score(spark, sf_dir):

@@ -404,3 +404,29 @@ def test_lm_masks_every_token_once(frame, monkeypatch):
     monkeypatch.setattr(lm, "_train_round", lambda texts, vocab, params, turn, rounds, rate: shares.append((turn, rounds)) or params)
     lm.fit(frame(list(enumerate(texts))))
     assert sorted(t for t, _ in shares) == list(range(lm.ROUNDS)) and {n for _, n in shares} == {lm.ROUNDS}
+
+
+@pytest.mark.parametrize("local", [1 << 19, 0])
+def test_lm_every_word_has_its_own_probability(frame, monkeypatch, local):
+    monkeypatch.setattr(lm, "LOCAL", local)
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(lm.VOCAB + 400)]
+    times = {x: 8 if i < lm.VOCAB - lm.BUCKETS else r.choice([1, 2, 3, 5]) for i, x in enumerate(words)}
+    tokens = [x for x in words for _ in range(times[x])]
+    r.shuffle(tokens)
+    docs = frame([(i, " ".join(tokens[i * 50:i * 50 + 50])) for i in range(-(-len(tokens) // 50))])
+    fitted = lm.fit(docs, rounds=0)
+    asked = words + ["unseen"]
+    out = lm.score(frame(list(enumerate(asked)) + [(-1, None), (-2, f"{words[-1]} " * 3)]), fitted, keep=["doc_id"])
+    rows = {x["doc_id"]: x["log_prob"] for x in out.select("row.doc_id", "log_prob").collect()}
+    assert abs(sum(np.exp(rows[i]) for i in range(len(words))) - 1) < 1e-3 and rows[-1] == 0
+    vocab, model = fitted[0], lm.Model(fitted[1])
+    w = textops.Words(*textops.text_buffer(pa.array(asked)), textops.ALNUM)
+    target, around, _ = lm._examples(w, vocab)
+    inside = np.flatnonzero(target >= lm.VOCAB - lm.BUCKETS)
+    bucket: dict = {}
+    for i in inside:
+        bucket[target[i]] = bucket.get(target[i], 0) + times.get(asked[i], 0)
+    for i, lp in zip(inside, model.log_probs(target[inside], around[inside])):
+        assert abs(rows[i] - lp - np.log(times.get(asked[i], 1) / max(1, bucket[target[i]]))) < 1e-4
+    assert len({times[asked[i]] for i in inside[:-1]}) > 1
