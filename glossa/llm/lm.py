@@ -154,7 +154,7 @@ class Model:
     def gradient(self, target, around):
         """Loss and gradients of the mean negative log-probability."""
         p, n = self.p, len(target)
-        order = np.argsort(target // MEMBERS, kind="stable")  # classes become slices
+        order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")  # classes become slices
         target, around = target[order], around[order]
         x = p["e"][around].reshape(n, -1)
         w = p["w"].reshape(-1, HIDDEN)
@@ -179,8 +179,8 @@ class Model:
         dh *= (1 - h * h) / n
         g["b"] = dh.sum(0)
         g["w"] = (x.T @ dh).reshape(p["w"].shape)
-        dx = (dh @ w.T).reshape(-1, DIM).T
-        where = around.ravel()
+        dx = np.ascontiguousarray((dh @ w.T).reshape(-1, DIM).T, dtype=np.float64)
+        where = around.ravel().astype(np.intp)
         g["e"] = np.stack([np.bincount(where, weights=d, minlength=VOCAB + 1) for d in dx], axis=1).astype(p["e"].dtype)
         return loss / n, g
 
