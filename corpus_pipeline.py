@@ -3,7 +3,7 @@ the one before kept.
 
 1. toxicity: documents scored 0.3 or more go; the network learns from the
    table ``labels`` (rows outside the held-out share).
-2. near_dedup: of each class of near-duplicates (similarity 0.85 on five-word
+2. near_dedup: of each class of near-duplicates (similarity 0.8 on five-word
    shingles) the document with the smallest doc_id stays.
 3. decontaminate: documents that hold a window of ten words of ``benchmark``
    go.
@@ -29,6 +29,8 @@ from glossa.llm.common import table, written
 
 #: Score from which a document goes.
 TOXIC = 0.3
+#: Similarity in percent from which documents are near-duplicates.
+NEAR = 80
 #: No SQL: the first stage trains a network, the last one calls a tokenizer.
 ORACLE_SQL = None
 
@@ -40,7 +42,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = neardup.near_duplicates(docs)
+    found = neardup.near_duplicates(docs, percent=NEAR)
     kept = written(found.filter("kept").select(F.col("doc_id").alias("id")), "kept")
     ids = kept.distinct().hint("merge")
     out = docs.join(ids, docs.doc_id.eqNullSafe(ids.id), "left_semi")

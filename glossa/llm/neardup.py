@@ -10,7 +10,9 @@ minimum, truncated to floor(1 - log_b(minimum)): exponentially spaced, so one
 byte each, mergeable by maximum, and equal in two sets about as often as
 their similarity.  ``ROWS`` registers make one band; at similarity 0.85 a band
 agrees with probability 0.33, so ``BANDS`` bands miss a link with less than
-1e-6, and similar ones on the way to it less often still.
+1e-6, and similar ones on the way to it less often still.  Below 0.85 the
+bands have ``SHORT_ROWS`` registers: at 0.8 one agrees with probability 0.33,
+so a link is missed with less than 1e-6 too.
 
 1. Equal sets collapse to one node (the smallest doc_id).
 2. Nodes with a common band value share a bucket.  Each is paired with the
@@ -42,6 +44,8 @@ from .textops import FOLDED, Words, doc_ranges, gram_hashes, mix64, signed, text
 
 ROWS, BANDS = 7, 36
 REGISTERS = ROWS * BANDS
+#: Registers of a band where similarities below 0.85 count.
+SHORT_ROWS = 5
 #: Base of the registers; they hold floor(1 - log_b x) + SHIFT, truncated to a byte.
 BASE, SHIFT = 1.1, 35
 #: A pair goes if its best similarity is this many nats likelier than any that would link it.
@@ -254,6 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id, kept): one row per row of docs."""
     if percent < 80:
         raise ValueError("the bands are laid out for a similarity of 0.8 or more")
+    width = ROWS if percent >= 85 else SHORT_ROWS
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     small_batches(docs.sparkSession)
     sets = written(sketched(docs, shingle), "sets")
@@ -261,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min(F.struct("doc_id", "sketch")).alias("m")).select("s1", "s2", "n", F.col("m.doc_id").alias("node"), F.col("m.sketch").alias("sketch")), "nodes")
     info = nodes.select(F.col("node").alias("id"), F.col("n").alias("size"), "sketch")
     bands = nodes.select("node", F.explode(F.expr(
-        f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {ROWS} + 1, {ROWS})))")).alias("key"))
+        f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {width} + 1, {width})))")).alias("key"))
     # written, so that the join below can split a frequent key over tasks
     buckets = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lead")).filter("c > 1").select(
         F.col("key").alias("k"), "c", "lead"), "leads")

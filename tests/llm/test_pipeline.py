@@ -60,6 +60,20 @@ def test_stages(spark, tmp_path):
     assert sorted(x["ids_crc32"] for x in run.collect()) == sorted(x["ids_crc32"] for x in rows["packing"])
 
 
+def test_near_dedup_links_from_four_fifths(spark, tmp_path):
+    import corpus_pipeline
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdeknoru") for _ in range(8))
+    rows = []
+    for i in range(60):
+        words = [word() for _ in range(104)]  # 100 shingles; n further words: 100 / (100 + n)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + [word() for _ in range(18 + i % 12)]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    after = {x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, d, str(tmp_path)).collect()}
+    assert after == {i for i, _, _, k in brute.near_duplicates(rows, percent=80) if k}
+    assert 60 < len(after) < len({i for i, _, _, k in brute.near_duplicates(rows) if k})
+
+
 def test_registered():
     import __spark_entry__
     import corpus_pipeline
