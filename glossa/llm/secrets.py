@@ -13,6 +13,13 @@ original text; what comes out of a base64 run or a compressed stream maps to
 the whole run.  Finds of inner layers are added as spans of the original text;
 finds of the text itself always stay.
 
+Base64 runs go on over line breaks (with indents) and escaped ones, and are
+decoded at all four alignments, so that a path or key glued to the front does
+no harm; each character then maps to the run within its own line.  Bytes that
+are not all text are read leniently, if any stretch of them may hold a find.
+Compressed bytes are tried at the run's start and after each '/', '+', '-',
+'_' and line break, and in runs of percent or hexadecimal escapes.
+
 Edge cases: null is an empty text, without finds; rows are judged one by one,
 so repeated rows give repeated results; broken encodings are not layers; a
 stream that expands beyond ``LAYER_LIMIT`` is not held in memory: it is
@@ -22,7 +29,6 @@ counted in ``oversized`` instead.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -43,7 +49,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Bytes of one unwrapped layer.
 LAYER_LIMIT = 64 << 20
 #: The shortest finding has 12 characters, which are 16 in base64.
-RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BREAK = r"(?:[ \t]*\r?\n[ \t]*|\\r\\n|\\n)"
+RUN = re.compile(rf"[A-Za-z0-9+/_-](?:{BREAK}?[A-Za-z0-9+/_-]){{15,}}={{0,2}}")
+WRAP = re.compile(BREAK)
+#: Where a base64 text may begin within a run.
+SEAM = re.compile(r"[/+_-]")
+#: Bytes that may hold a find or another layer.
+LEGIBLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+-]){12,}|(?:\\(?:x|u00)[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+()-]){12,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 MAGIC = ((b"\x1f\x8b", "gzip"), (b"BZh", "bz2"), (b"\xfd7zXZ\x00", "xz"), (b"\x28\xb5\x2f\xfd", "zstd"))
@@ -73,10 +86,20 @@ def _readable(raw: bytes) -> str | None:
     return None if re.search("[\x00-\x08\x0e-\x1f\x7f]", text) else text
 
 
-def _inflate(raw: bytes) -> tuple[str, bytes] | None:
+def _lenient(raw: bytes) -> str | None:
+    """The bytes as text with one character for each, if a stretch of them is legible."""
+    return raw.decode("latin-1") if LEGIBLE.search(raw) else None
+
+
+def _inflate_kind(raw: bytes) -> str | None:
     kind = next((k for m, k in MAGIC if raw.startswith(m)), None)
     if kind is None and len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] * 256 + raw[1]) % 31 == 0:
         kind = "zlib"
+    return kind
+
+
+def _inflate(raw: bytes) -> tuple[str, bytes] | None:
+    kind = _inflate_kind(raw)
     if kind is None:
         return None
     try:
@@ -96,14 +119,16 @@ def _inflate(raw: bytes) -> tuple[str, bytes] | None:
     return kind, out
 
 
-def _base64(run: str) -> bytes | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+def _base64(body: str) -> bytes:
+    """Bytes of base64 characters, as far as they go."""
+    body = body.replace("-", "+").replace("_", "/")
+    body = body[:-1] if len(body) % 4 == 1 else body
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _escaped(run: str) -> bytes:
+    """The bytes that a run of percent or hexadecimal escapes spells."""
+    return re.sub(rb"(?:%|\\x|\\u00)([0-9A-Fa-f]{2})", lambda m: bytes.fromhex(m[1].decode()), run.encode())
 
 
 class _Layer:
@@ -188,24 +213,77 @@ def _unwrap(layer: _Layer):
         inner.append(layer.escapes(PERCENT, _percent, "url"))
     if "\\" in layer.text or "&#" in layer.text:
         inner.append(layer.escapes(UNICODE, _unicode, "unicode"))
-    for m in RUN.finditer(layer.text):
-        raw, path = _base64(m[0]), (*layer.path, "base64")
+    def inflated(raw, a, b, path):
+        """Layers of compressed bytes, which stand at a..b of the text."""
+        nonlocal large
         seen = set()
-        while raw is not None:
-            text = _readable(raw)
-            if text is not None:
-                inner.append(_Layer(text, *layer.place(*m.span()), path))
-                break
+        while True:
             digest = hashlib.blake2b(raw, digest_size=16).digest()
             if digest in seen:
-                break
+                return
             seen.add(digest)
             try:
                 step = _inflate(raw)
             except Oversized:
                 large += 1
-                break
-            raw, path = (step[1], (*path, step[0])) if step else (None, path)
+                return
+            if step is None:
+                return
+            raw, path = step[1], (*path, step[0])
+            text = _readable(raw)
+            if text is None and _inflate_kind(raw) is None:
+                text = _lenient(raw)
+            if text is not None:
+                inner.append(_Layer(text, *layer.place(a, b), path))
+                return
+
+    for m in RUN.finditer(layer.text):
+        run, at = m[0], m.start()
+        cuts = [(x.start(), x.end()) for x in WRAP.finditer(run)]
+        lines = list(zip([0, *[b for _, b in cuts]], [*[a for a, _ in cuts], len(run)], strict=True))
+        pieces = [run[a:b].rstrip("=") for a, b in lines]
+        body, first = "".join(pieces), [0]
+        for x in pieces:
+            first.append(first[-1] + len(x))
+        path = (*layer.path, "base64")
+        whole = _readable(_base64(body)) if len(body) % 4 != 1 else None
+        for shift in range(4):
+            raw = _base64(body[shift:])
+            text = whole if shift == 0 and whole is not None else _lenient(raw)
+            if text is None:
+                continue
+            if len(lines) == 1:
+                inner.append(_Layer(text, *layer.place(at + (0 if shift == 0 else shift), m.end()), path))
+                continue
+            sizes = [1] * len(text) if text is not whole else [len(c.encode()) for c in text]
+            starts, stops, byte, i, j = [], [], 0, 0, 0
+            spans = [layer.place(at + a, at + b) for a, b in lines]
+            for n in sizes:
+                lo, hi = shift + byte * 4 // 3, shift + ((byte + n) * 8 - 1) // 6
+                while first[i + 1] <= lo:
+                    i += 1
+                j = max(i, j)
+                while first[j + 1] <= hi:
+                    j += 1
+                starts.append(spans[i][0])
+                stops.append(spans[j][1])
+                byte += n
+            inner.append(_Layer(text, starts, stops, path))
+        if whole is None:
+            for k, (a, b) in enumerate(lines):
+                for seam in (0, *[x.end() for x in SEAM.finditer(pieces[k])]):
+                    head = body[first[k] + seam:first[k] + seam + 8]
+                    if len(head) == 8 and _inflate_kind(_base64(head)) is not None:
+                        inflated(_base64(body[first[k] + seam:]), at + a + seam, m.end(), path)
+            for shift in range(1, 4):
+                if len(body) > shift + 8 and _inflate_kind(_base64(body[shift:shift + 8])) is not None:
+                    inflated(_base64(body[shift:]), at + shift, m.end(), path)
+    if "%" in layer.text or "\\x" in layer.text or "\\u00" in layer.text:
+        for m in ESCAPED.finditer(layer.text):
+            if "%" in m[0] or "\\" in m[0]:
+                raw = _escaped(m[0])
+                if _inflate_kind(raw) is not None:
+                    inflated(raw, *m.span(), (*layer.path, "url" if "%" in m[0] else "unicode"))
     return [x for x in inner if x is not None], large
 
 

@@ -80,6 +80,23 @@ def test_layers_end_and_broken_encodings():
     secrets.scan(x)
 
 
+def test_wrapped_and_glued_base64():
+    plain = b"x" * 50 + SECRET.encode() + b" and the rest of it " * 8
+    noise = bytes(random.Random(3).randrange(256) for _ in range(400))
+    for raw in (plain, gzip.compress(plain + noise), b"\x1b[0m" + plain + b"\x00\xff"):
+        once = base64.b64encode(raw).decode()
+        for text in (base64.encodebytes(raw).decode(), "\\n".join(re.findall(".{1,64}", once)), f"/files/{once}", f"key_{once}",
+                     f"x\n  {once}", *["k" * i + once for i in range(4) if raw[:1] != b"\x1f"]):
+            assert [f for f in secrets.scan(f"see {text} end")[0] if f[0] == "assign"], text[:40]
+    text = f"see {base64.encodebytes(plain).decode()}next"
+    (_, a, b, _), = [f for f in secrets.scan(text)[0] if f[0] == "assign"]
+    lines = text[4:].splitlines()
+    assert text[a:b] == "\n".join([text[4:].split("\n")[0]] if b <= 4 + len(lines[0]) else lines[:2])
+    packed = gzip.compress(SECRET.encode())
+    for x in (urllib.parse.quote(packed), "".join(f"\\x{c:02x}" for c in packed)):
+        assert [f for f in secrets.scan(f"a {x} b")[0] if f[0] == "assign"]
+
+
 def test_secret_frames(frame):
     rows = [(1, None), (2, ""), (3, f"x {SECRET} y"), (3, f"x {SECRET} y"), (None, "é " * 3000 + "f" * 30), (4, base64.b64encode(SECRET.encode()).decode())]
     out = secrets.scan_secrets(frame(rows), keep=["doc_id"])
