@@ -21,9 +21,11 @@ Compressed bytes are tried at the run's start and after each '/', '+', '-',
 '_' and line break, and in runs of percent or hexadecimal escapes.
 
 Edge cases: null is an empty text, without finds; rows are judged one by one,
-so repeated rows give repeated results; broken encodings are not layers; a
-stream that expands beyond ``LAYER_LIMIT`` is not held in memory: it is
-counted in ``oversized`` instead.
+so repeated rows give repeated results; broken encodings are not layers; of a
+compressed stream all members are read.  One that expands beyond
+``LAYER_LIMIT`` is not held in memory: it is scanned in pieces of ``PIECE``
+that overlap by ``OVERLAP``, each unwrapped in turn, and counted in
+``oversized``, since an encoded layer that crosses pieces is not joined.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Bytes of one unwrapped layer.
 LAYER_LIMIT = 64 << 20
+#: Bytes scanned at once of a longer one, and how many the next piece repeats.
+PIECE, OVERLAP = 8 << 20, 1 << 16
 #: The shortest finding has 12 characters, which are 16 in base64.
 BREAK = r"(?:[ \t]*\r?\n[ \t]*|\\r\\n|\\n)"
 RUN = re.compile(rf"[A-Za-z0-9+/_-](?:{BREAK}?[A-Za-z0-9+/_-]){{15,}}={{0,2}}")
@@ -102,21 +106,55 @@ def _inflate(raw: bytes) -> tuple[str, bytes] | None:
     kind = _inflate_kind(raw)
     if kind is None:
         return None
+    out = bytearray()
     try:
-        if kind == "zstd":
-            import zstandard
-            out = zstandard.ZstdDecompressor().stream_reader(raw).read(LAYER_LIMIT + 1)
-        else:
-            d = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bz2": bz2.BZ2Decompressor,
-                 "xz": lzma.LZMADecompressor}[kind]()
-            out = d.decompress(raw, LAYER_LIMIT + 1)
-    except Exception as e:  # each codec raises its own kind for bytes that only look like it
-        if isinstance(e, MemoryError):
-            raise
-        return None
-    if len(out) > LAYER_LIMIT:
-        raise Oversized
-    return kind, out
+        for block in _blocks(kind, raw):
+            out += block
+            if len(out) > LAYER_LIMIT:
+                raise Oversized
+    except (Oversized, MemoryError):
+        raise
+    except Exception:  # each codec raises its own kind for bytes that only look like it
+        if not out:
+            return None
+    return kind, bytes(out)
+
+
+def _blocks(kind: str, raw: bytes):
+    """What all members of a compressed stream expand to, in blocks of at most ``PIECE`` bytes."""
+    if kind == "zstd":
+        import zstandard
+        source = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
+        while block := source.read(PIECE):
+            yield block
+        return
+    make = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[kind]
+    while _inflate_kind(raw) == kind:
+        d = make()
+        while not d.eof:
+            block = d.decompress(raw, PIECE)
+            raw = d.unconsumed_tail if kind in ("gzip", "zlib") else b""
+            if block:
+                yield block
+            elif not raw:
+                return  # cut off
+        raw = d.unused_data.lstrip(b"\0")
+
+
+def _pieces(kind: str, raw: bytes):
+    """The text of an oversized stream in overlapping pieces, up to the first broken member."""
+    held = b""
+    try:
+        for block in _blocks(kind, raw):
+            held += block
+            if len(held) >= PIECE:
+                yield held.decode("latin-1")
+                held = held[-OVERLAP:]
+    except MemoryError:
+        raise
+    except Exception:  # as in _inflate
+        pass
+    yield held.decode("latin-1")
 
 
 def _base64(body: str) -> bytes:
@@ -207,15 +245,15 @@ def _unicode(m: re.Match):
 
 
 def _unwrap(layer: _Layer):
-    """Layers directly inside ``layer``, and how many were too large."""
-    inner, large = [], 0
+    """Layers directly inside ``layer``, and the streams that are too large
+    for one (kind, bytes, place, path)."""
+    inner, large = [], []
     if "%" in layer.text:
         inner.append(layer.escapes(PERCENT, _percent, "url"))
     if "\\" in layer.text or "&#" in layer.text:
         inner.append(layer.escapes(UNICODE, _unicode, "unicode"))
     def inflated(raw, a, b, path):
         """Layers of compressed bytes, which stand at a..b of the text."""
-        nonlocal large
         seen = set()
         while True:
             digest = hashlib.blake2b(raw, digest_size=16).digest()
@@ -225,7 +263,8 @@ def _unwrap(layer: _Layer):
             try:
                 step = _inflate(raw)
             except Oversized:
-                large += 1
+                kind = _inflate_kind(raw)
+                large.append((kind, raw, layer.place(a, b), (*path, kind)))
                 return
             if step is None:
                 return
@@ -290,21 +329,36 @@ def _unwrap(layer: _Layer):
 def scan(text: str):
     """All findings of a text as (kind, start, stop, path), and oversized layers."""
     found = {(a, KINDS.index(k), b): "" for k, a, b in find(text)}
-    queue, seen, large = deque([_Layer(text, None, None, ())]), set(), 0
-    while queue:
-        layer = queue.popleft()
-        inner, n = _unwrap(layer)
-        large += n
-        for x in inner:
-            where = x.place(0, len(x.text)) if x.text else (0, 0)
-            key = hashlib.blake2b(x.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), where
-            if key in seen or x.text == layer.text:
-                continue
-            seen.add(key)
-            for k, a, b in find(x.text):
-                s, e = x.place(a, b)
-                found.setdefault((s, KINDS.index(k), e), ">".join(x.path))
-            queue.append(x)
+    seen, large = set(), 0
+
+    def work(first):
+        nonlocal large
+        queue = deque([first])
+        while queue:
+            layer = queue.popleft()
+            inner, streams = _unwrap(layer)
+            for x in inner:
+                if x.text != layer.text and note(x):
+                    queue.append(x)
+            for kind, raw, (a, b), path in streams:
+                large += 1
+                for piece in _pieces(kind, raw):  # one at a time
+                    x = _Layer(piece, a, b, path)
+                    if note(x):
+                        work(x)
+
+    def note(x):
+        where = x.place(0, len(x.text)) if x.text else (0, 0)
+        key = hashlib.blake2b(x.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), where
+        if key in seen:
+            return False
+        seen.add(key)
+        for k, a, b in find(x.text):
+            s, e = x.place(a, b)
+            found.setdefault((s, KINDS.index(k), e), ">".join(x.path))
+        return True
+
+    work(_Layer(text, None, None, ()))
     return [(KINDS[k], a, b, path) for (a, k, b), path in sorted(found.items())], large
 
 

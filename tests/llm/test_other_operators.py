@@ -97,6 +97,24 @@ def test_wrapped_and_glued_base64():
         assert [f for f in secrets.scan(f"a {x} b")[0] if f[0] == "assign"]
 
 
+def test_all_members_and_oversized_streams(monkeypatch):
+    import lzma
+
+    import zstandard
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress, zstandard.ZstdCompressor().compress):
+        two = base64.b64encode(pack(b"the first member") + pack(b"the second has " + SECRET.encode())).decode()
+        found, large = secrets.scan(f"see {two} end")
+        assert [f[:3] for f in found if f[0] == "assign"] == [("assign", 4, 4 + len(two))] and not large
+    monkeypatch.setattr(secrets, "LAYER_LIMIT", 5000)
+    monkeypatch.setattr(secrets, "PIECE", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress, zstandard.ZstdCompressor().compress):
+        for before in (10, 995, 1890, 7000):
+            one = base64.b64encode(pack(b"ab " * (before // 3) + SECRET.encode() + b" cd" * 4000)).decode()
+            found, large = secrets.scan(f"see {one} end")
+            assert [f[:3] for f in found if f[0] == "assign"] == [("assign", 4, 4 + len(one))] and large == 1
+
+
 def test_secret_frames(frame):
     rows = [(1, None), (2, ""), (3, f"x {SECRET} y"), (3, f"x {SECRET} y"), (None, "é " * 3000 + "f" * 30), (4, base64.b64encode(SECRET.encode()).decode())]
     out = secrets.scan_secrets(frame(rows), keep=["doc_id"])
