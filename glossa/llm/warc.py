@@ -251,8 +251,9 @@ def op9_warc_archive(spark, sf_dir):
     records = read_archives(archive(table(spark, sf_dir, "pages"), folder), folder)
     records = written(records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type",
                                      "refers_to"), "records")
-    sources = records.filter("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("p"), F.col("payload_bytes").alias("full"))
-    revisits = records.filter("record_type = 'revisit'").join(sources.dropDuplicates(["p"]), F.col("refers_to") == F.col("p")).select(
+    sources = records.filter("record_type = 'response' and page_id is not null").select(
+        F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("full")).dropDuplicates(["p", "d"])
+    revisits = records.filter("record_type = 'revisit'").join(sources, (F.col("refers_to") == F.col("p")) & (F.col("payload_digest") == F.col("d"))).select(
         "page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return records.filter("record_type = 'response'").unionByName(revisits)
 

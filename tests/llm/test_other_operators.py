@@ -271,6 +271,14 @@ def test_archive_round_trip(spark, tmp_path):
     assert raw.count(b"WARC/1.1\r\n") == len(rows)
 
 
+def test_revisits_of_a_repeated_page_id(spark, tmp_path):
+    pages = [(1, f"http://a/{i}", str(i) * (200 + i)) for i in range(8)] + [(2 + i, f"http://b/{i}", str(i) * (200 + i)) for i in range(8)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = warc.op9_warc_archive(spark, str(tmp_path)).collect()
+    assert sorted((x["page_id"], x["payload_bytes"]) for x in out) == sorted((i, len(h)) for i, _, h in pages)
+    assert sum(x["record_type"] == "revisit" for x in out) == 8
+
+
 def test_archive_of_nothing(spark, tmp_path):
     folder = f"file://{tmp_path}/e"
     index = warc.archive(spark.createDataFrame([], "page_id long, url string, html string"), folder)
