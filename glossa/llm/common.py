@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossa.session import materialise, scratch_path
@@ -105,3 +105,31 @@ def annotated(df: DataFrame, text_col: str, make, fields: str, keep=None) -> Dat
                 yield pa.RecordBatch.from_arrays([b.column(0), *fn(b.column(1))], names)
 
     return src.mapInArrow(run, schema)
+
+
+def prefix_sums(df: DataFrame, group: list[str], key: str, value: str, out: str, fan: int = 4096) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows of the group with a
+    smaller ``key`` (integers from 0, one row each).  Summed in two levels, so
+    that no window holds more than about ``fan`` neighbouring keys, or one row
+    per ``fan`` of them."""
+    high = F.floor(F.col(key) / fan)
+    tops = df.groupBy(*group, high.alias("_high")).agg(F.sum(value).alias("_sum"))
+    whole = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_high")
+    tops = tops.select(*[F.col(g).alias(f"_{g}") for g in group], "_high", (F.sum("_sum").over(whole) - F.col("_sum")).alias("_before"))
+    near = Window.partitionBy(*group, "_high").orderBy(key)
+    inner = df.withColumn("_high0", high)
+    on = [F.col("_high0") == F.col("_high"), *[F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]]
+    both = inner.join(tops, on)
+    return both.withColumn(out, (F.col("_before") + F.sum(value).over(near) - F.col(value)).cast("long")).select(*df.columns, out)
+
+
+def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds ``name`` = 1, 2, 3... in ``order``, which should tell all rows
+    apart (equal ones share a range).  Rows are dealt out by ranges and
+    numbered inside each; a range starts after the rows of those before it."""
+    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = prefix_sums(sizes, [], "_part", "_n", "_before").select("_part", "_before")  # one row for each partition
+    return dealt.withColumn("_in", part).join(before, F.col("_in") == F.col("_part")).withColumn(
+        name, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).select(*df.columns, name)

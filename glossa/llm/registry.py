@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lm, neardup, oracles, packing, secrets, substrings, topk, toxicity, warc
+from . import chat, decontaminate, importance, lm, neardup, oracles, packing, secrets, substrings, topk, toxicity, warc
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_warc_archive": warc.op9_warc_archive,
         "op10_perspective_rotation": chat.op10_perspective_rotation,
+        "op13_importance_resampling": importance.op13_importance_resampling,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql():
         "op8_decontaminate": oracles.OVERLAPS,
         "op9_warc_archive": warc.OP9_SQL,
         "op10_perspective_rotation": chat.OP10_SQL,
+        "op13_importance_resampling": importance.OP13_SQL,
     }
