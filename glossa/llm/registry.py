@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, importance, lm, neardup, oracles, packing, secrets, substrings, topk, toxicity, warc
+from . import chat, clustering, decontaminate, importance, lm, mixing, neardup, oracles, packing, secrets, substrings, topk, toxicity, warc
 
 
 def queries():
@@ -17,6 +17,8 @@ def queries():
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_warc_archive": warc.op9_warc_archive,
         "op10_perspective_rotation": chat.op10_perspective_rotation,
+        "op11_centroid_clusters": clustering.op11_centroid_clusters,
+        "op12_source_mixing": mixing.op12_source_mixing,
         "op13_importance_resampling": importance.op13_importance_resampling,
     }
 
@@ -29,5 +31,7 @@ def oracle_sql():
         "op8_decontaminate": oracles.OVERLAPS,
         "op9_warc_archive": warc.OP9_SQL,
         "op10_perspective_rotation": chat.OP10_SQL,
+        "op11_centroid_clusters": clustering.OP11_SQL,
+        "op12_source_mixing": mixing.OP12_SQL,
         "op13_importance_resampling": importance.OP13_SQL,
     }
