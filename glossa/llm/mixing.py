@@ -9,9 +9,9 @@ takes one block, dealt into output shards of ``shard_slots``:
 1. Each shard draws its source counts from the multinomial of the targets:
    every slot draws a number below the count of all slots, and the source
    whose interval holds it is found by an equi-join on cells of that range.
-2. A source's slots are numbered through the shards before them.  Slots drawn
-   beyond a source's number of slots take, in order, the ones that other
-   sources still lack, so that targets are met exactly.
+2. Where a source was drawn more often than it has slots, a pseudorandom part
+   of them goes to the sources that were drawn too seldom, so that targets are
+   met exactly.  A source's slots are then numbered through the shards.
 3. Slot k of a source with n blocks takes, in its pass k div n, the block to
    which a permutation of 0..n-1 maps k mod n.  The permutation is the
    swap-or-not shuffle: pointwise, for any n, without a table.  Each pass has
@@ -127,22 +127,29 @@ def drawn_slots(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     draws = spark.range(total).select(F.col("id").alias("slot"), F.expr(f"id div {shard_slots}").alias("shard"),
                                       F.pmod(draw(seed, "slot", F.col("id")), F.lit(max(total, 1))).alias("x"))
     hit = draws.withColumn("cell", F.expr(f"x div {width}")).join(cells, "cell").filter("x >= first and x < first + slots")
-    near = hit.select("slot", "shard", "no", "slots", F.row_number().over(Window.partitionBy("shard", "no").orderBy("slot")).alias("i"))
-    drawn = written(near, "mix-draws")
-    counts = drawn.groupBy("no", "shard").agg(F.count(F.lit(1)).alias("n"))
-    before = prefix_sums(counts, ["no"], "shard", "n", "before").select("no", "shard", "before")
-    numbered = written(drawn.join(before, ["no", "shard"]).select("shard", "slot", "no", "slots", (F.col("before") + F.col("i") - 1).alias("k")), "mix-slots")
-
-    free = numbered.filter("k >= slots").select("shard", "slot")
-    per_shard = prefix_sums(free.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), [], "shard", "n", "before").select("shard", "before")
-    free = free.withColumn("i", F.row_number().over(Window.partitionBy("shard").orderBy("slot"))).join(per_shard, "shard").select(
-        "shard", "slot", (F.col("before") + F.col("i") - 1).alias("f"))
-    have = counts.groupBy("no").agg(F.sum("n").alias("n"))
-    lack = placed.join(have, "no", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n < slots").withColumn("m", F.col("slots") - F.col("n"))
-    lack = prefix_sums(lack.select("no", "n", "m"), [], "no", "m", "before")
-    lack = lack.select("no", "n", "before", F.explode(F.expr("sequence(cast(0 as bigint), m - 1)")).alias("j")).select(
-        (F.col("before") + F.col("j")).alias("f"), "no", (F.col("n") + F.col("j")).alias("k"))
-    return numbered.filter("k < slots").select("shard", "slot", "no", "k").unionByName(free.join(lack, "f").select("shard", "slot", "no", "k"))
+    # a source's draws beyond its number of slots, the last by another draw, are free again
+    chunks = max(1, total // shard_slots)
+    kept = draw(seed, "keep", F.col("slot"))
+    hit = hit.select("slot", "shard", "no", "slots", kept.alias("h")).withColumn("chunk", F.expr(f"h div {max(1, (1 << 48) // chunks)}"))
+    near = Window.partitionBy("no", "chunk").orderBy("h", "slot")
+    drawn = written(hit.withColumn("i", F.row_number().over(near)), "mix-draws")
+    counts = prefix_sums(drawn.groupBy("no", "chunk").agg(F.count(F.lit(1)).alias("n")), ["no"], "chunk", "n", "before")
+    drawn = written(drawn.join(counts.select("no", "chunk", "before"), ["no", "chunk"]).select(
+        "shard", "slot", "no", (F.col("before") + F.col("i") > F.col("slots")).alias("over")), "mix-kept")
+    free = _numbered(drawn.filter("over").select("shard", "slot"), [], "f")
+    have = drawn.filter("not over").groupBy("no").agg(F.count(F.lit(1)).alias("n"))
+    lack = placed.join(have, "no", "left").withColumn("m", F.col("slots") - F.coalesce("n", F.lit(0))).filter("m > 0")
+    lack = prefix_sums(lack.select("no", "m"), [], "no", "m", "before")
+    lack = lack.select("no", "before", F.explode(F.expr("sequence(cast(0 as bigint), m - 1)")).alias("j")).select("no", (F.col("before") + F.col("j")).alias("f"))
+    dealt = drawn.filter("not over").select("shard", "slot", "no").unionByName(free.join(lack, "f").select("shard", "slot", "no"))
+    return _numbered(written(dealt, "mix-slots"), ["no"], "k")
+
+
+def _numbered(slots: DataFrame, group: list[str], name: str) -> DataFrame:
+    """Adds ``name``: the number from 0 of each slot among those of its group."""
+    inside = F.row_number().over(Window.partitionBy(*group, "shard").orderBy("slot"))
+    counts = prefix_sums(slots.groupBy(*group, "shard").agg(F.count(F.lit(1)).alias("n")), group, "shard", "n", "before")
+    return slots.withColumn("i", inside).join(counts.drop("n"), [*group, "shard"]).select("shard", "slot", *group, (F.col("before") + F.col("i") - 1).alias(name))
 
 
 def slot_blocks(slots: DataFrame, plan: DataFrame, block_words: int, seed: int) -> DataFrame:
@@ -272,13 +279,15 @@ WITH RECURSIVE d AS (
   SELECT slot, slot // 4096 AS shard, ('0x' || substr(md5('17:slot:' || slot), 1, 12))::BIGINT % total AS x
   FROM (SELECT unnest(range(total)) AS slot, total FROM (SELECT max(total)::BIGINT AS total FROM spread))
 ), drawn AS (
-  SELECT slot, no, slots, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS k FROM draws JOIN spread ON x >= first AND x < first + slots
+  SELECT slot, no, slots, row_number() OVER (PARTITION BY no ORDER BY substr(md5('17:keep:' || slot), 1, 12), slot) AS i
+  FROM draws JOIN spread ON x >= first AND x < first + slots
 ), free AS (
-  SELECT slot, row_number() OVER (ORDER BY slot) AS f FROM drawn WHERE k >= slots
+  SELECT slot, row_number() OVER (ORDER BY slot) AS f FROM drawn WHERE i > slots
 ), lack AS (
-  SELECT no, k, row_number() OVER (ORDER BY no, k) AS f FROM (SELECT no, unnest(range(slots)) AS k FROM spread) ANTI JOIN drawn USING (no, k)
+  SELECT no, row_number() OVER (ORDER BY no, i) AS f FROM (SELECT no, unnest(range(slots)) + 1 AS i FROM spread) ANTI JOIN drawn USING (no, i)
 ), slots AS (
-  SELECT slot, no, k FROM drawn WHERE k < slots UNION ALL SELECT slot, no, k FROM free JOIN lack USING (f)
+  SELECT no, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS k
+  FROM (SELECT slot, no FROM drawn WHERE i <= slots UNION ALL SELECT slot, no FROM free JOIN lack USING (f))
 ), taken_block AS (
   SELECT no, block, CASE WHEN pass < passes THEN size ELSE least(size, rest - (i * 256 - CASE WHEN i > short_at THEN 256 - short ELSE 0 END)) END AS take
   FROM (SELECT *, CASE WHEN block = blocks - 1 THEN short ELSE 256 END AS size FROM (
