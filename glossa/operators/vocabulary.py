@@ -21,36 +21,35 @@ from pyspark.sql import functions as F
 from glossa.session import ensure_checkpoint_dir
 
 
-def count_histogram(unigrams: DataFrame) -> DataFrame:
-    """(count, n_types, mass) -- mass = count * n_types."""
-    return (unigrams.groupBy("count").agg(F.count(F.lit(1)).alias("n_types"))
+def count_histogram(unigrams: DataFrame, by=()) -> DataFrame:
+    """([by,] count, n_types, mass) -- mass = count * n_types."""
+    return (unigrams.groupBy(*by, "count").agg(F.count(F.lit(1)).alias("n_types"))
             .withColumn("mass", F.col("count") * F.col("n_types")))
 
 
-def coverage_thresholds(unigrams: DataFrame, cutoffs) -> DataFrame:
-    """(cutoff, nb) for each cutoff: the count at which the cumulative count of
-    words taken by count desc first reaches ``cutoff * total``.
+def coverage_thresholds(unigrams: DataFrame, cutoffs, by=()) -> DataFrame:
+    """([by,] cutoff, nb) for each cutoff: the count at which the cumulative
+    count of words taken by count desc first reaches ``cutoff * total``; with
+    ``by``, for each of its groups apart.
 
     The histogram is made once and checkpointed, so the counts are computed
     once for all cutoffs.  Its running sum is split by log2(count) bucket: each
     bucket is walked in its own window partition and shifted by the mass of
-    the buckets above it (at most 64 numbers).
+    the buckets above it (at most 64 a group).
     """
-    cutoffs = [float(c) for c in cutoffs]
+    cutoffs, by = [float(c) for c in cutoffs], list(by)
     if not all(0.0 < c <= 1.0 for c in cutoffs):
         raise ValueError("cutoff must be in (0, 1]")
     ensure_checkpoint_dir(unigrams.sparkSession)
-    hist = count_histogram(unigrams).withColumn("_b", F.floor(F.log2("count")).cast("int")).checkpoint(eager=True)
-    masses = {r["_b"]: int(r["m"]) for r in hist.groupBy("_b").agg(F.sum("mass").alias("m")).collect()}
-    total = sum(masses.values())
-    above = {b: sum(m for b2, m in masses.items() if b2 > b) for b in masses} or {0: 0}
-    offset = F.create_map(*[x for b, o in sorted(above.items())
-                            for x in (F.lit(b), F.lit(o).cast("bigint"))])[F.col("_b")]
-    w_run = Window.partitionBy("_b").orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    walked = hist.select("count", (F.sum("mass").over(w_run) + offset).alias("running"))
+    hist = count_histogram(unigrams, by).withColumn("_b", F.floor(F.log2("count")).cast("int")).checkpoint(eager=True)
+    masses = hist.groupBy(*by, "_b").agg(F.sum("mass").alias("_m"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    shifts = masses.select(*by, "_b", (F.sum("_m").over(group.orderBy(F.desc("_b"))) - F.col("_m")).alias("_above"), F.sum("_m").over(group).alias("_total"))
+    w_run = Window.partitionBy(*by, "_b").orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    walked = hist.withColumn("running", F.sum("mass").over(w_run)).join(shifts, [*by, "_b"]).withColumn("running", F.col("running") + F.col("_above"))
     each = walked.select("*", F.explode(F.array(*[F.lit(c) for c in cutoffs])).alias("cutoff"))
-    return (each.filter(F.col("running") >= F.col("cutoff") * F.lit(total).cast("double"))
-            .groupBy("cutoff").agg(F.max("count").cast("bigint").alias("nb")))
+    return (each.filter(F.col("running") >= F.col("cutoff") * F.col("_total").cast("double"))
+            .groupBy(*by, "cutoff").agg(F.max("count").cast("bigint").alias("nb")))
 
 
 def coverage_threshold(unigrams: DataFrame, cutoff: float) -> DataFrame:
