@@ -4,96 +4,61 @@ For a context (u, v) every word outside A3(u,v) scores a positive constant
 times its bigram-level score q(w|v), and every word outside A2(v) a constant
 times p(w).  Hence a word of the top k (rank <= k, ties kept) is
   * in A3(u,v); or
-  * in A2(v) with rank <= k + |A3(u,v)| among A2(v) by count; or
-  * outside A2(v) with rank <= k among those words by p (A3 is a subset of A2).
+  * one of the first k words of A2(v), by count, that are not in A3(u,v), or
+    tied with the k-th; or
+  * one of the first k words outside A2(v), by p, or tied with the k-th (A3 is
+    a subset of A2).
 Scoring only these candidates and ranking them per context gives exactly the
 dense answer: every word of the answer is a candidate, and each one that is
 not keeps more than k better candidates.
 
-Only rows of the requested contexts are touched:
-  * A3: equi-join of the distinct contexts with the trigrams; its size per
-    context is counted on the result.
-  * A2: followers of the requested v, ranked once per v.  A context that needs
-    depth D joins the rank classes 0..log2(D) on (v, class), so a frequent v
-    is spread over its classes and no context reads more than twice its depth.
-  * U_k(v): the vocabulary has dense positions by (count desc, idx), made once
-    per (model, stop list).  With the positions p_1 < p_2 < ... of A2(v), the
-    k-th unseen word sits at k + #{i : p_i - i < k}; its tie class ends at a
-    stored position, and the gaps between the p_i up to there are the words.
-Each candidate carries its evidence (c3, c2, p), so scoring needs the context
-constants only.  With stop words dropped, all three parts are built on the
-filtered vocabulary (the filter precedes the ranks).
+Each list is stored in its order (``serving.py``), so a request knows from
+counts how deep it has to read and looks the ranks up by equality:
+  * A3: the context's own rows.
+  * A2: the k-th word not in A3 has rank k + #{rows of A3 with fewer than k
+    free ranks before them}; the ranks up to the end of its tie are read.
+  * unseen words: the k-th one lies in the gap with the largest ordinal <= k;
+    the gaps up to the end of its tie are read.
+Candidates carry their evidence (c3, c2, p), so scoring needs the context
+constants only.  Nothing is sorted or gathered by v, and the stored tables are
+bucketed by the keys of these joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.operators.vocabulary import dense_index
-
-
-def _without(df: DataFrame, col: str, stop_idx: DataFrame | None, bc: bool) -> DataFrame:
-    if stop_idx is None:
-        return df
-    s = stop_idx.select(F.col("idx").alias(col))
-    return df.join(F.broadcast(s) if bc else s, col, "left_anti")
-
-
-def unigram_positions(model, stop_idx: DataFrame | None = None, key=None) -> tuple[DataFrame, int]:
-    """(pos, w, p, last) of the (filtered) vocabulary in order count desc, idx,
-    with the end of each tie class, and the number of words."""
-    def make():
-        voc = _without(model.vocab, "idx", stop_idx, model.broadcast_ok)
-        ordered = dense_index(voc.select(F.col("idx").alias("w"), "count", F.col("prob").alias("p")),
-                              [F.col("count").desc(), F.col("w").asc()], "pos")
-        ends = ordered.groupBy("count").agg(F.max("pos").alias("last"))
-        return ordered.join(ends, "count").select("pos", "w", "p", "last"), ordered.count()
-
-    def kept():
-        pos, n = make()
-        return pos.cache(), n
-    if stop_idx is not None and key is None:  # a list without a name is not remembered
-        return make()
-    return model._memo(("upos", key), kept)
+from glossa.operators.serving import serving
 
 
 def prediction_candidates(model, contexts: DataFrame, k: int, stop_idx: DataFrame | None = None,
                           stop_key=None) -> DataFrame:
     """(u, v, w, c3, c2, p) candidates of the distinct contexts (u, v); OOV ids
     are 0.  Counts are null where the word was not found at that level."""
-    bc = model.broadcast_ok
-    bi = _without(model.bigrams, "wi", stop_idx, bc)
-    tri = _without(model.trigrams, "wi", stop_idx, bc)
-    upos, n_words = unigram_positions(model, stop_idx, stop_key)
-    look = F.broadcast if bc else (lambda df: df)
+    s = serving(model, stop_idx, stop_key)
+    look = F.broadcast if model.broadcast_ok else (lambda df: df)
     c = contexts.select("u", "v").distinct()
     none = F.lit(None)
 
-    t = tri.select(F.col("wi_2").alias("u"), F.col("wi_1").alias("v"), F.col("wi").alias("w"), F.col("count").alias("c3"))
-    a3 = c.join(t, ["u", "v"])
-    n3 = a3.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n3"))
-    cd = c.join(n3, ["u", "v"], "left").withColumn("depth", F.lit(k) + F.coalesce("n3", F.lit(0)))
-
-    vs = c.select("v").distinct()
-    b = vs.join(bi.select(F.col("wi_1").alias("v"), F.col("wi").alias("w"), F.col("count").alias("c2")), "v")
-    ranked = b.withColumn("r2", F.rank().over(Window.partitionBy("v").orderBy(F.col("c2").desc()))).withColumn(
-        "cls", F.floor(F.log2("r2")))
-    classes = cd.withColumn("cls", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.log2("depth")))))
-    a2 = classes.join(ranked, ["v", "cls"]).filter(F.col("r2") <= F.col("depth"))
-
-    # followers by position, and a row behind the last word that closes the last gap
-    seen = b.join(look(upos.select("w", "pos")), "w").select("v", "pos", F.lit(False).alias("end")).unionByName(
-        vs.select("v", F.lit(n_words + 1).cast("int").alias("pos"), F.lit(True).alias("end")))
-    by_v = Window.partitionBy("v")
-    placed = seen.withColumn("i", F.row_number().over(by_v.orderBy("pos"))).withColumn(
-        "prev", F.lag("pos", 1, 0).over(by_v.orderBy("pos")))
-    before = F.sum(F.when(~F.col("end") & (F.col("pos") - F.col("i") < k), 1).otherwise(0)).over(by_v)
-    placed = placed.withColumn("kth", F.least(before + k, F.lit(n_words)).cast("int")).filter(
-        F.col("pos") > F.col("prev") + 1)
-    gaps = placed.join(look(upos.select(F.col("pos").alias("kth"), "last")), "kth").select(
-        "v", (F.col("prev") + 1).alias("first"), F.least(F.col("pos") - 1, F.col("last")).alias("stop")).filter("first <= stop")
-    uk = gaps.select("v", F.explode(F.sequence("first", "stop")).alias("pos")).join(look(upos.select("pos", "w", "p")), "pos")
+    a3 = c.join(s.contexts, ["u", "v"])
+    held = a3.filter(F.col("free") < k).groupBy("u", "v").agg(F.count(F.lit(1)).alias("held"))
+    depth = c.join(look(s.heads), "v").join(held, ["u", "v"], "left").select(
+        "u", "v", F.least(F.lit(k) + F.coalesce("held", F.lit(0)), "n2").cast("int").alias("rank"))
+    ends = depth.join(s.followers.select("v", "rank", "last"), ["v", "rank"])
+    a2 = ends.select("u", "v", F.explode(F.sequence(F.lit(1), "last")).alias("rank")).join(s.followers.select("v", "rank", "w", "c2"), ["v", "rank"])
+
+    vs = c.select("v").distinct().join(look(s.heads), "v", "left")
+    near = vs.select("v", F.explode(F.sequence(F.lit(0), F.lit(k.bit_length() - 1))).alias("cls"))
+    kth = near.join(s.gaps, ["v", "cls"]).filter(F.col("ordinal") <= k).groupBy("v").agg(F.max(F.struct("ordinal", "first")).alias("g"))
+    # no gap: all words follow v; no followers: one gap from the first word on
+    kth = vs.join(kth, "v", "left").filter("g is not null or n2 is null").select("v", "n2", F.least(
+        F.coalesce(F.col("g.first") + (F.lit(k) - F.col("g.ordinal")), F.lit(k)), F.lit(s.n_words)).cast("int").alias("pos"))
+    tie = kth.join(look(s.places.select("pos", "last")), "pos")
+    wide = tie.filter("n2 is not null").select("v", "last", F.explode(F.sequence(F.lit(0), F.floor(F.log2("last")).cast("int"))).alias("cls"))
+    runs = wide.join(s.gaps, ["v", "cls"]).filter("first <= last").select("v", "first", F.least(F.col("first") + F.col("length") - 1, "last").alias("stop"))
+    runs = runs.unionByName(tie.filter("n2 is null").select("v", F.lit(1).cast("bigint").alias("first"), F.col("last").cast("bigint").alias("stop")))
+    uk = runs.select("v", F.explode(F.sequence(F.col("first").cast("int"), F.col("stop").cast("int"))).alias("pos")).join(look(s.places.select("pos", "w", "p")), "pos")
 
     parts = [a3.select("u", "v", "w", "c3", none.cast("bigint").alias("c2"), none.cast("double").alias("p")),
              a2.select("u", "v", "w", none.cast("bigint").alias("c3"), "c2", none.cast("double").alias("p")),

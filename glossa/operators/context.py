@@ -12,8 +12,8 @@ B = the rest of the vocabulary; p(w) = count(w) / N.
   where S2(v) = sum over the vocabulary of q2(.|v) = 1, or 1 - alpha2(v)
   when every vocabulary word follows v (B2 empty).  A3 is a subset of A2, so
   with integer sums it is ((T2 - sum_{A3} c2) - d (n2 - n3)) / T2, plus alpha2
-  unless B2 is empty: one join of trigrams to bigrams, no difference of
-  near-equal doubles.
+  unless B2 is empty.  Trigrams are stored with the count of their bigram and
+  in buckets of their context, so this is one aggregate without a shuffle.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ def context_totals_2(bigrams: DataFrame) -> DataFrame:
                                        F.count(F.lit(1)).alias("n_followers"))
 
 
-def context_totals_3(trigrams: DataFrame) -> DataFrame:
-    """(wi_2, wi_1, total, n_followers)."""
-    return trigrams.groupBy("wi_2", "wi_1").agg(F.sum("count").cast("bigint").alias("total"),
-                                                F.count(F.lit(1)).alias("n_followers"))
+def context_totals_3(contexts: DataFrame) -> DataFrame:
+    """(wi_2, wi_1, total, n_followers) of trigrams (u, v, w, c3)."""
+    return contexts.groupBy(F.col("u").alias("wi_2"), F.col("v").alias("wi_1")).agg(
+        F.sum("c3").cast("bigint").alias("total"), F.count(F.lit(1)).alias("n_followers"))
 
 
 def katz_bigram_constants(bigrams: DataFrame, vocab: DataFrame, vocab_size: int,
@@ -61,14 +61,13 @@ def q2_expr(d: float) -> F.Column:
             .otherwise(F.col("p")))
 
 
-def katz_trigram_constants(trigrams: DataFrame, bigrams: DataFrame, k2: DataFrame, vocab_size: int,
-                           d: float = 0.5, broadcast: bool = False) -> DataFrame:
-    """(wi_2, wi_1, t3, n3, alpha3, denom3) per seen context (u, v)."""
-    b = bigrams.select("wi_1", "wi", F.col("count").alias("c2"))
-    agg = trigrams.join(b, ["wi_1", "wi"], "left").groupBy("wi_2", "wi_1").agg(
-        F.sum("count").cast("bigint").alias("t3"),
+def katz_trigram_constants(contexts: DataFrame, k2: DataFrame, vocab_size: int, d: float = 0.5, broadcast: bool = False) -> DataFrame:
+    """(wi_2, wi_1, t3, n3, alpha3, denom3) per seen context, from trigrams that
+    carry the count of their bigram (u, v, w, c3, c2)."""
+    agg = contexts.groupBy("u", "v").agg(
+        F.sum("c3").cast("bigint").alias("t3"),
         F.count(F.lit(1)).alias("n3"),
-        F.sum("c2").cast("bigint").alias("a3_c2"))
+        F.sum("c2").cast("bigint").alias("a3_c2")).withColumnsRenamed({"u": "wi_2", "v": "wi_1"})
     k = k2.select("wi_1", "t2", "n2", "alpha2")
     t = agg.join(F.broadcast(k) if broadcast else k, "wi_1", "left")
     seen = ((F.col("t2") - F.col("a3_c2")) - F.lit(d) * (F.col("n2") - F.col("n3"))) / F.col("t2")

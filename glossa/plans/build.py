@@ -19,8 +19,9 @@ from glossa.operators.counting import line_tokens, unigram_counts
 from glossa.operators.encode import DEFAULT_BROADCAST_MAX_WORDS, encoded_gram_counts, gram_tables
 from glossa.operators.split import (DEFAULT_PROP, DEFAULT_SEED, sample_blocks, train_lines,
                                     with_blocks)
+from glossa.operators.serving import serving
 from glossa.operators.vocabulary import build_vocabulary
-from glossa.session import ensure_checkpoint_dir, materialise
+from glossa.session import bucketed, ensure_checkpoint_dir, materialise
 
 #: Order of the rows of each table; n-grams are range-partitioned by all of it, so that a frequent word is split.
 SORT_KEYS = {"vocab": ["idx"], "bigrams": ["wi_1", "wi"], "trigrams": ["wi_2", "wi_1", "wi"]}
@@ -56,24 +57,27 @@ class NGramModel:
         return self._cache[key]
 
     def ctx2(self) -> DataFrame:
-        return self._memo("ctx2", lambda: ctx.context_totals_2(self.bigrams).cache())
+        return self._memo("ctx2", lambda: materialise(ctx.context_totals_2(self.bigrams), "totals-2"))
+
+    def by_context(self) -> DataFrame:
+        """Trigrams (u, v, w, c3, t3, c2, ...) in buckets of their context."""
+        return serving(self).contexts
 
     def ctx3(self) -> DataFrame:
-        return self._memo("ctx3", lambda: ctx.context_totals_3(self.trigrams).cache())
+        """Read off the buckets of ``by_context``, without a shuffle."""
+        return ctx.context_totals_3(self.by_context())
 
     def katz2(self, d: float = 0.5) -> DataFrame:
-        return self._memo(("katz2", d), lambda: ctx.katz_bigram_constants(
-            self.bigrams, self.vocab, self.vocab_size, self.vocab_total, d, self.broadcast_ok).cache())
+        return self._memo(("katz2", d), lambda: materialise(ctx.katz_bigram_constants(
+            self.bigrams, self.vocab, self.vocab_size, self.vocab_total, d, self.broadcast_ok), "katz-2"))
 
     def katz3(self, d: float = 0.5) -> DataFrame:
-        return self._memo(("katz3", d), lambda: ctx.katz_trigram_constants(
-            self.trigrams, self.bigrams, self.katz2(d), self.vocab_size, d, self.broadcast_ok).cache())
+        """Kept in the same buckets as ``by_context``."""
+        return self._memo(("katz3", d), lambda: bucketed(ctx.katz_trigram_constants(
+            self.by_context(), self.katz2(d), self.vocab_size, d, self.broadcast_ok), "katz3", ["wi_2", "wi_1"], ["wi_2", "wi_1"]))
 
     def unpersist(self):
-        for v in self._cache.values():
-            for x in v if isinstance(v, tuple) else (v,):
-                if isinstance(x, DataFrame):
-                    x.unpersist()
+        """Forgets the tables derived from the model (their files stay until ``release_scratch``)."""
         self._cache.clear()
 
 

@@ -17,6 +17,7 @@ from glossa.functions.text import clean_text, format_percent, phrase_words, roun
 from glossa.operators.candidates import prediction_candidates
 from glossa.operators.scoring import candidate_scores
 from glossa.operators.topk import top_k
+from glossa.session import materialise
 from glossa.sources.wordlists import profanity_words, stop_ids, stop_word_list
 
 ALGOS = ("stupid", "katz")
@@ -87,7 +88,7 @@ def resolve_stop_ids(model, include_stop_words: bool, stop_words=None):
     if stop_words is None:
         raise ValueError("leaving stop words out needs a list: pass stop_words")
     key = tuple(stop_word_list(model.vocab.sparkSession, stop_words))
-    return model._memo(("stop", key), lambda: stop_ids(model.vocab, key).cache()), key
+    return model._memo(("stop", key), lambda: materialise(stop_ids(model.vocab, key), "stop-ids")), key
 
 
 def predict(model, phrases: DataFrame, algo: str = "stupid", k: int = 10,

@@ -80,6 +80,8 @@ def release_scratch(spark: SparkSession) -> int:
     for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
         p = jvm.org.apache.hadoop.fs.Path(path)
         n += bool(p.getFileSystem(conf).delete(p, True))
+    for table in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     return n
 
 
@@ -90,3 +92,36 @@ def materialise(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Names under which this process opened bucketed tables, by application.
+_TABLES: dict[str, list[str]] = {}
+
+
+def _table_name(spark: SparkSession, name: str) -> str:
+    table = f"glossa_{name}_{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return table
+
+
+def bucketed(df, name: str, keys: list[str], order: list[str], path: str | None = None):
+    """``df`` written as a table of ``spark.sql.shuffle.partitions`` buckets of
+    ``keys``, one sorted file each: joins and groups on the keys read it where
+    it lies.  The table is a name for the files at ``path`` (the shared folder
+    by default)."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = _table_name(spark, name)
+    (df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*order).format("parquet")
+     .option("path", path or scratch_path(spark, name)).saveAsTable(table))
+    return spark.table(table)
+
+
+def open_bucketed(spark: SparkSession, path: str, name: str, keys: list[str], order: list[str], buckets: int):
+    """The table that ``bucketed`` wrote to ``path``, in any session."""
+    table = _table_name(spark, name)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    names = lambda cs: ", ".join(f"`{c}`" for c in cs)
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({names(keys)}) SORTED BY ({names(order)}) "
+              f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)

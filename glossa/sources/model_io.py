@@ -5,7 +5,9 @@ A save writes a fresh version folder and, last, its meta table: a version is
 complete when that has its _SUCCESS marker, and the newest complete version
 is the model.  A crash in between leaves the model as it was.  N-gram tables
 are range-partitioned and sorted by context, so a scan for one context prunes
-files and row groups by min/max.
+files and row groups by min/max.  What predictions read is stored beside them
+in buckets of the keys it is joined on (``operators/serving.py``), so a loaded
+model predicts without moving its tables.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossa.operators.encode import DEFAULT_BROADCAST_MAX_WORDS
+from glossa.operators.serving import LAYOUT, PLAIN, Serving, serving
 from glossa.plans.build import NGramModel, ranged
+from glossa.session import bucketed, open_bucketed
 
 TABLES = ("vocab", "bigrams", "trigrams")
 
@@ -52,8 +56,14 @@ def save_model(model: NGramModel, path: str) -> str:
     out = f"{path}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     for name in TABLES:
         ranged(getattr(model, name), name).write.parquet(f"{out}/{name}")
+    ready = serving(model)
+    for name, (keys, order) in LAYOUT.items():
+        bucketed(getattr(ready, name), name, keys, order, f"{out}/serving/{name}")
+    for name in PLAIN:
+        getattr(ready, name).write.parquet(f"{out}/serving/{name}")
     meta = dict(nb=model.nb, vocab_size=model.vocab_size, vocab_total=model.vocab_total,
-                params=model.params, broadcast_max_words=model.broadcast_max_words)
+                params=model.params, broadcast_max_words=model.broadcast_max_words, n_words=ready.n_words,
+                buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
     spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").coalesce(1).write.parquet(f"{out}/meta")
     return out
 
@@ -73,6 +83,10 @@ def load_model(spark: SparkSession, path: str, override: bool = False) -> NGramM
     meta = json.loads(spark.read.parquet(f"{at}/meta").first()["meta"])
     m = NGramModel(*[spark.read.parquet(f"{at}/{t}") for t in TABLES], meta["nb"], meta["vocab_size"],
                    meta["vocab_total"], meta.get("params", {}), meta.get("broadcast_max_words", DEFAULT_BROADCAST_MAX_WORDS))
+    if "buckets" in meta:
+        tables = {name: open_bucketed(spark, f"{at}/serving/{name}", name, keys, order, meta["buckets"]) for name, (keys, order) in LAYOUT.items()}
+        tables |= {name: spark.read.parquet(f"{at}/serving/{name}") for name in PLAIN}
+        m._memo(("serving", None), lambda: Serving(**tables, n_words=meta["n_words"]))
     if key in _LOADED:
         _LOADED[key].unpersist()
     _LOADED[key] = m
