@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import prefix_sums, ranked, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents of a source whose sizes one window sums (about).
-CHUNK = 1 << 16
+#: Documents of a source whose sizes one window sums (about); a hot source is many windows.
+CHUNK = 1 << 12
 #: Equal rows that stay together.
 PIECE = 1000
 #: Steps of the swap-or-not shuffle.

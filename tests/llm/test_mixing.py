@@ -53,7 +53,7 @@ def test_permutation(spark, n):
         assert sum(abs(r["to"] - r["id"]) for r in back) > n * n / 5
 
 
-@pytest.mark.parametrize("block_words,shard_slots,chunk,piece", [(8, 16, 1 << 16, 1000), (5, 64, 3, 4), (256, 4096, 1 << 16, 1000)])
+@pytest.mark.parametrize("block_words,shard_slots,chunk,piece", [(8, 16, 1 << 16, 1000), (5, 64, 3, 4), (256, 4096, 1 << 12, 1000)])
 def test_mix(spark, monkeypatch, block_words, shard_slots, chunk, piece):
     monkeypatch.setattr(mixing, "CHUNK", chunk)
     monkeypatch.setattr(mixing, "PIECE", piece)
