@@ -27,8 +27,9 @@ from glossa.operators.counting import (clean_lines, doc_term_counts, line_tokens
 from glossa.operators.scoring import katz_scores, stupid_scores
 from glossa.operators.split import (sample_blocks, test_lines, train_lines, with_blocks,
                                     with_split)
+from glossa.operators.suffixes import suffix_counts
 from glossa.operators.vocabulary import coverage_thresholds
-from glossa.operators.encode import decode_ids, encode_terms
+from glossa.operators.encode import decode_ids, encode_terms, encoded_gram_counts
 from glossa.operators.counting import unigram_counts
 from glossa.plans.build import build_model
 from glossa.plans.evaluate import (accuracy_top_n, model_stats, perplexity, sweep, top_terms)
@@ -119,6 +120,11 @@ def q_ngram_counts(spark, sf):
     return ngram_counts(_train_tokens(spark, sf))
 
 
+def q_ngram_counts_4(spark, sf):
+    """All orders up to four, from one shuffle of suffixes."""
+    return suffix_counts(_train_tokens(spark, sf), (1, 2, 3, 4))
+
+
 def q_merge_counts(spark, sf):
     blocks = with_blocks(train_lines(_lines(spark, sf)))
     first = ngram_counts(line_tokens(blocks.filter(F.col("block") <= 50)))
@@ -138,6 +144,13 @@ def q_bigram_model(spark, sf):
     return _model(spark, sf).bigrams
 
 
+def q_bigrams_filtered(spark, sf):
+    """The bigram table by the plan for vocabularies that are not broadcast: a
+    Bloom filter before the shuffle, joins after it."""
+    counts = encoded_gram_counts(_train_tokens(spark, sf), _model(spark, sf).vocab, broadcast=False, orders=(2,))
+    return counts.filter("count > 1").select(F.col("i1").alias("wi_1"), F.col("i2").alias("wi"), "count")
+
+
 def q_trigram_model(spark, sf):
     return _model(spark, sf).trigrams
 
@@ -353,10 +366,12 @@ def _reference_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ngrams_4": _q_ngrams(4),
         "doc_term_counts": q_doc_term_counts,
         "ngram_counts": q_ngram_counts,
+        "ngram_counts_4": q_ngram_counts_4,
         "merge_counts": q_merge_counts,
         "coverage_cutoff": q_coverage_cutoff,
         "vocabulary": q_vocabulary,
         "bigram_model": q_bigram_model,
+        "bigrams_filtered": q_bigrams_filtered,
         "trigram_model": q_trigram_model,
         "decode_trigrams": q_decode_trigrams,
         "context_totals_2": q_context_totals_2,

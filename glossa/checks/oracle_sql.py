@@ -332,11 +332,13 @@ SELECT n, term, CAST(count(*) AS BIGINT) AS count FROM (
 GROUP BY n, term"""
     q["ngram_counts"] = with_base(counts)
     q["merge_counts"] = with_base(counts)
+    q["ngram_counts_4"] = with_base(counts.replace(")\nGROUP BY", "\n  UNION ALL SELECT 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM grams WHERE is_train AND w4 IS NOT NULL)\nGROUP BY"))
     q["coverage_cutoff"] = with_base(" UNION ALL ".join(
         f"SELECT CAST({c} AS DOUBLE) AS cutoff, CAST(max(cnt) AS BIGINT) AS nb FROM walk "
         f"WHERE cum >= CAST({c} AS DOUBLE) * tot" for c in (0.8, 0.85, 0.9)))
     q["vocabulary"] = with_base("SELECT idx, word, count, p AS prob FROM vocab")
     q["bigram_model"] = with_base("SELECT wi_1, wi, c AS count FROM bigrams")
+    q["bigrams_filtered"] = q["bigram_model"]
     q["trigram_model"] = with_base("SELECT wi_2, wi_1, wi, c AS count FROM trigrams")
     q["decode_trigrams"] = with_base("""
 SELECT a.word || ' ' || b.word || ' ' || x.word AS term, t.c AS count

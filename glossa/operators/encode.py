@@ -5,9 +5,11 @@ Two plans give the same tables:
 * **broadcast** (vocabulary below a checked size): every bigram/trigram
   occurrence is encoded by broadcast hash joins *before* counting.  OOV
   n-grams drop out in the map stage and the shuffle carries int keys only.
-* **shuffle** (vocabulary too large to broadcast): n-gram strings are counted
-  first (partial aggregation), each order apart, then each word position is
-  encoded with a shuffle join on the distinct n-grams.
+* **shuffle** (vocabulary too large to broadcast): a Bloom filter of the
+  vocabulary drops most n-grams with unknown words in the map stage
+  (``membership.py``); the others are counted as strings (partial aggregation),
+  each order apart, then each word position is encoded with a shuffle join on
+  the distinct n-grams, which removes what the filter let through.
 
 In both plans an n-gram with any out-of-vocabulary word is dropped whole;
 token positions are never compacted, so no false neighbours appear.
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossa.operators.membership import WordFilter, word_filter
+
 DEFAULT_BROADCAST_MAX_WORDS = 2_000_000
 
 
@@ -48,7 +52,8 @@ def encoded_gram_counts(tokens: DataFrame, vocab: DataFrame, broadcast: bool,
     """(n, i1, i2, i3, count) of in-vocabulary n-grams (i3 NULL for n=2), both
     orders from one pass with a broadcast vocabulary."""
     if not broadcast:
-        parts = [encoded_strings(gram_strings(tokens, n), vocab, n).select(
+        known = word_filter(vocab, vocab.count())
+        parts = [encoded_strings(gram_strings(tokens, n, known=known), vocab, n).select(
             F.lit(n).alias("n"), "i1", "i2", (F.col("i3") if n == 3 else F.lit(None).cast("int")).alias("i3"), "count") for n in orders]
         out = parts[0]
         for x in parts[1:]:
@@ -62,11 +67,13 @@ def encoded_gram_counts(tokens: DataFrame, vocab: DataFrame, broadcast: bool,
     return enc.groupBy("n", "i1", "i2", "i3").agg(F.count(F.lit(1)).alias("count"))
 
 
-def gram_strings(tokens: DataFrame, n: int, keep=(), counts=None) -> DataFrame:
+def gram_strings(tokens: DataFrame, n: int, keep=(), counts=None, known: WordFilter | None = None) -> DataFrame:
     """(w1, w2[, w3], count) of the n-grams of one order; ``counts`` may be
-    other aggregates, over the columns ``keep`` of the lines."""
+    other aggregates, over the columns ``keep`` of the lines.  ``known`` leaves
+    out n-grams with a word that is certainly not in the vocabulary."""
     words = [f"w{i + 1}" for i in range(n)]
-    return gram_occurrences(tokens, (n,), keep).groupBy(*words).agg(*(counts or [F.count(F.lit(1)).alias("count")]))
+    grams = gram_occurrences(tokens, (n,), keep)
+    return (known.may_hold(grams, words) if known else grams).groupBy(*words).agg(*(counts or [F.count(F.lit(1)).alias("count")]))
 
 
 def encoded_strings(strings: DataFrame, vocab: DataFrame, n: int, broadcast: bool = False) -> DataFrame:
