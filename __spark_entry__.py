@@ -305,6 +305,14 @@ def q_stream_ngram_counts(spark, sf):
     return stream_ngram_counts(lines, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state"))
 
 
+def q_stream_window_counts(spark, sf):
+    """Counts by hour from a stateful stream; a document stands for a minute."""
+    from glossa.streaming.jobs import document_line_stream, stream_windowed_counts
+    lines = document_line_stream(spark, sf, max_files_per_trigger=1).withColumn("time", F.timestamp_seconds(F.col("doc_id") * 60))
+    found = stream_windowed_counts(lines, "time", scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state"))
+    return found.select((F.unix_timestamp("start") / 3600).cast("bigint").alias("hour"), "n", "term", "count")
+
+
 def q_stream_predict_katz(spark, sf):
     from glossa.streaming.jobs import stream_predictions
     conv = spark.read.parquet(f"{sf}/conversations.parquet")
@@ -401,6 +409,7 @@ def _reference_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "model_reloaded": q_model_reloaded,
         "csv_roundtrip": q_csv_roundtrip,
         "stream_ngram_counts": q_stream_ngram_counts,
+        "stream_window_counts": q_stream_window_counts,
         "stream_predict_katz": q_stream_predict_katz,
         "sweep": q_sweep,
         "sweep_sizes": q_sweep_sizes,

@@ -430,6 +430,12 @@ FROM (
   LEFT JOIN ctx2 c2 ON c2.wi_1 = t.v LEFT JOIN vocab x ON x.idx = t.w)""", ACCURACY)
     q["stream_ngram_counts"] = with_base(counts.replace(" WHERE is_train AND", " WHERE").replace(
         " WHERE is_train", ""))
+    q["stream_window_counts"] = with_base("""
+SELECT CAST(doc_id // 60 AS BIGINT) AS hour, n, term, CAST(count(*) AS BIGINT) AS count FROM (
+  SELECT doc_id, 1 AS n, w1 AS term FROM grams
+  UNION ALL SELECT doc_id, 2, w1 || ' ' || w2 FROM grams WHERE w2 IS NOT NULL
+  UNION ALL SELECT doc_id, 3, w1 || ' ' || w2 || ' ' || w3 FROM grams WHERE w3 IS NOT NULL)
+GROUP BY hour, n, term""")
     q["stream_predict_katz"] = q["predict_katz"]
     q["predict_ranked"] = _predict_sql("stupid", False).replace("round(r.prob, 8) AS prob", "CAST(r.rk AS INTEGER) AS rank").replace(
         "SELECT s.u, s.v, s.w, s.stupid AS prob,", "SELECT s.u, s.v, s.w,").replace("SELECT u, v, w, prob FROM (", "SELECT u, v, w, rk FROM (")

@@ -31,7 +31,8 @@ def _tag(n: int):
     return lambda t: F.struct(F.lit(n).alias("n"), t.alias("term"))
 
 
-def _terms_with_order(orders) -> F.Column:
+def terms_with_order(orders) -> F.Column:
+    """Array of (n, term) of all n-grams of ``tokens``."""
     parts = []
     for n in orders:
         terms = F.col("tokens") if n == 1 else ngram_terms("tokens", n)
@@ -42,7 +43,7 @@ def _terms_with_order(orders) -> F.Column:
 def ngram_occurrences(tokens: DataFrame, orders=(1, 2, 3), keep_line: bool = False) -> DataFrame:
     """One row per n-gram occurrence: (n, term) [+ doc_id, line_no]."""
     keep = ["doc_id", "line_no"] if keep_line else []
-    ex = tokens.select(*keep, F.explode(_terms_with_order(orders)).alias("g"))
+    ex = tokens.select(*keep, F.explode(terms_with_order(orders)).alias("g"))
     return ex.select(*keep, F.col("g.n").alias("n"), F.col("g.term").alias("term"))
 
 

@@ -1,14 +1,16 @@
-"""Structured Streaming forms of two batch jobs.
+"""Structured Streaming forms of batch jobs.
 
 * Incremental n-gram counts: each micro-batch of new lines is cleaned and
-  counted on its own; the per-batch counts are merged when they are read, so
-  the work of a batch follows its size, not the size of the totals.
+  counted on its own and added to a store merged in tiers (``tiers.py``): the
+  work of a batch follows its size, and reading touches a logarithm of the
+  batches.
+* Windowed n-gram counts: a stateful aggregate by event time, with a watermark
+  for late lines; each batch emits the counts that changed.
 * Prediction per arriving phrase batch: the batch ``predict`` plan against
   the static model tables.
 
-Both sinks write ``out/epoch=<n>`` with overwrite: a micro-batch that is
-retried replaces its own output, and a stream that is started again with the
-same ``checkpoint`` goes on where it ended.
+A micro-batch that is retried replaces its own output, and a stream that is
+started again with the same ``checkpoint`` goes on where it ended.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.operators.counting import line_tokens, ngram_counts
+from glossa.operators.counting import line_tokens, ngram_counts, terms_with_order
 from glossa.plans.predict import predict
 from glossa.sources.corpus import document_lines
+from glossa.streaming.tiers import FAN, TieredCounts
 
 
 def document_line_stream(spark: SparkSession, folder: str, table: str = "documents",
@@ -33,30 +36,52 @@ def document_line_stream(spark: SparkSession, folder: str, table: str = "documen
     return document_lines(reader.parquet(folder), lang)
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str, each_batch) -> None:
-    """Process everything that is available and new since ``checkpoint``;
-    ``each_batch`` maps a micro-batch to the rows of ``out/epoch=<n>``."""
-    def sink(batch: DataFrame, epoch: int):
-        each_batch(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    q = (stream.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(sink).trigger(availableNow=True).start())
+def run_available(stream: DataFrame, checkpoint: str, each_batch, mode: str = "append") -> None:
+    """Process everything that is available and new since ``checkpoint`` with
+    ``each_batch(batch, epoch)``."""
+    q = (stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode)
+         .foreachBatch(each_batch).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def stream_ngram_counts(lines: DataFrame, out: str, checkpoint: str, orders=(1, 2, 3)) -> DataFrame:
+def _by_epoch(out: str, rows=lambda b: b):
+    """Writes ``rows(batch)`` to ``out/epoch=<n>``, in place of what an earlier try left."""
+    return lambda batch, epoch: rows(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+
+def stream_ngram_counts(lines: DataFrame, out: str, checkpoint: str, orders=(1, 2, 3), fan: int = FAN) -> DataFrame:
     """Runs the stream and returns the merged (n, term, count) of all batches so far."""
-    run_available(lines, out, checkpoint, lambda b: ngram_counts(line_tokens(b), orders))
+    store = TieredCounts(lines.sparkSession, out, fan)
+    run_available(lines, checkpoint, lambda b, epoch: store.add(ngram_counts(line_tokens(b), orders), epoch))
     return merged_counts(lines.sparkSession, out)
 
 
 def merged_counts(spark: SparkSession, out: str) -> DataFrame:
-    parts = spark.read.parquet(out)
-    return parts.groupBy("n", "term").agg(F.sum("count").cast("bigint").alias("count"))
+    found = TieredCounts(spark, out).counts()
+    return spark.createDataFrame([], "n int, term string, count bigint") if found is None else found
+
+
+def windowed_ngram_counts(lines: DataFrame, time_col: str, width: str, orders=(1, 2, 3)) -> DataFrame:
+    """(start, n, term, count) by event-time window; for a batch or a stream of lines (doc_id, line_no, line, time)."""
+    tokens = line_tokens(lines, keep=(time_col,))
+    grams = tokens.select(F.window(time_col, width).alias("w"), F.explode(terms_with_order(orders)).alias("g"))
+    return grams.groupBy("w", F.col("g.n").alias("n"), F.col("g.term").alias("term")).agg(F.count(F.lit(1)).alias("count")).select(
+        F.col("w.start").alias("start"), "n", "term", "count")
+
+
+def stream_windowed_counts(lines: DataFrame, time_col: str, out: str, checkpoint: str, width: str = "1 hour",
+                           watermark: str = "2 hours", orders=(1, 2, 3)) -> DataFrame:
+    """Runs the stateful count and returns the newest count of every window and
+    term.  Totals live in the state store; a window is dropped from it, and
+    lines that come later are left out, once the watermark has passed it."""
+    counts = windowed_ngram_counts(lines.withWatermark(time_col, watermark), time_col, width, orders)
+    run_available(counts, checkpoint, _by_epoch(out), "update")
+    changes = lines.sparkSession.read.parquet(out)
+    return changes.groupBy("start", "n", "term").agg(F.max_by("count", "epoch").alias("count"))
 
 
 def stream_predictions(model, phrases: DataFrame, out: str, checkpoint: str, algo: str = "katz",
                        k: int = 10, **kw) -> DataFrame:
     """Runs the stream and returns the predictions of all batches so far."""
-    run_available(phrases, out, checkpoint, lambda b: predict(model, b, algo, k, **kw))
+    run_available(phrases, checkpoint, _by_epoch(out, lambda b: predict(model, b, algo, k, **kw)))
     return phrases.sparkSession.read.parquet(out).drop("epoch")
