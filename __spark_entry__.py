@@ -32,10 +32,12 @@ from glossa.operators.vocabulary import coverage_thresholds
 from glossa.operators.encode import decode_ids, encode_terms, encoded_gram_counts
 from glossa.operators.counting import unigram_counts
 from glossa.plans.build import build_model
+from glossa.plans.growing import GrowingModel
 from glossa.plans.evaluate import (accuracy_top_n, model_stats, perplexity, sweep, top_terms)
 from glossa.plans.predict import format_predictions, predict, predict_status
 from glossa.session import ensure_checkpoint_dir, scratch_path
-from glossa.sources.corpus import conversation_phrases, document_lines, read_table, text_file_lines
+from glossa.sources.corpus import (conversation_phrases, document_lines, read_table, text_file_lines,
+                                   write_line_files)
 from glossa.sources.model_io import (build_or_load, load_model, read_int_csv, save_model, table_sizes,
                                      write_int_csv)
 from glossa.sources.wordlists import frequent_words
@@ -243,15 +245,24 @@ def q_predict_ranked(spark, sf):
 
 
 def q_file_lines(spark, sf):
-    """The corpus written as one text file per source, and its lines read back
-    with their places."""
-    docs = read_table(spark, sf, "documents")
-    lines = document_lines(docs, keep_source=True)
+    """The corpus written as text files, many for a large source, and its lines
+    read back with their places in the source."""
     path = scratch_path(spark, "line-files")
-    (lines.repartition("source").sortWithinPartitions("source", "doc_id", "line_no").select("source", "line")
-     .write.partitionBy("source").text(path, lineSep="\n"))
-    return text_file_lines(spark, path, line_sep="\n").select(
-        F.regexp_extract("source", "source=([^/]*)/", 1).alias("source"), "line_no", "line")
+    write_line_files(document_lines(read_table(spark, sf, "documents"), keep_source=True), path)
+    return text_file_lines(spark, path, line_sep="\n", source_of="source=([^/]*)/").select("source", "line_no", "line")
+
+
+def q_grown_model(spark, sf):
+    """A model grown block by block, with its words and n-grams as text."""
+    lines = with_blocks(train_lines(_lines(spark, sf)))
+    grown = GrowingModel(spark, scratch_path(spark, "growing"))
+    for k, (first, last) in enumerate(((1, 60), (61, 90), (91, 100))):
+        grown.add(lines.filter(F.col("block").between(first, last)), k)
+    m = grown.model()
+    out = m.vocab.select(F.lit(1).alias("n"), F.col("word").alias("term"), "count")
+    for n, grams, ids in ((2, m.bigrams, ["wi_1", "wi"]), (3, m.trigrams, ["wi_2", "wi_1", "wi"])):
+        out = out.unionByName(decode_ids(grams, m.vocab, ids, "term", m.broadcast_ok).select(F.lit(n).alias("n"), "term", "count"))
+    return out
 
 
 def q_predict_status(spark, sf):
@@ -408,6 +419,7 @@ def _reference_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "model_roundtrip": q_model_roundtrip,
         "model_reloaded": q_model_reloaded,
         "csv_roundtrip": q_csv_roundtrip,
+        "grown_model": q_grown_model,
         "stream_ngram_counts": q_stream_ngram_counts,
         "stream_window_counts": q_stream_window_counts,
         "stream_predict_katz": q_stream_predict_katz,

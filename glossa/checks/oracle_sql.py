@@ -460,6 +460,11 @@ FROM (SELECT * FROM {table} WHERE c >= 3 ORDER BY c DESC, {', '.join(names)} LIM
 SELECT 'vocab' AS "table", NULL AS wi_2, NULL AS wi_1, idx AS wi, count FROM vocab
 UNION ALL SELECT 'bigrams', NULL, wi_1, wi, c FROM bigrams
 UNION ALL SELECT 'trigrams', wi_2, wi_1, wi, c FROM trigrams""")
+    q["grown_model"] = with_base("""
+SELECT 1 AS n, word AS term, count FROM vocab
+UNION ALL SELECT 2, a.word || ' ' || x.word, t.c FROM bigrams t JOIN vocab a ON a.idx = t.wi_1 JOIN vocab x ON x.idx = t.wi
+UNION ALL SELECT 3, a.word || ' ' || b.word || ' ' || x.word, t.c
+FROM trigrams t JOIN vocab a ON a.idx = t.wi_2 JOIN vocab b ON b.idx = t.wi_1 JOIN vocab x ON x.idx = t.wi""")
     q["sweep_sizes"] = SWEEP_SIZES
     q["sweep"] = _sweep_accuracy([(label, lim, c, f) for f in (True, False) for c in (0.8, 0.85, 0.9)
                                   for label, lim in (("20", 20), ("25", 25), ("30", 30), ("100", 101))])

@@ -46,6 +46,39 @@ def word_list_pattern(words: Iterable[str]) -> str | None:
     return r"\b(" + "|".join(ws) + r")\b"
 
 
+def removal_pattern(words: Iterable[str]) -> str | None:
+    """Whole words of a list of any size, as written, the longest that fits
+    first.  The list becomes a tree of common beginnings, so a place in a line
+    costs the letters that it shares with some entry, not the entries."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w or "":
+            node = node.setdefault(c, {})
+        if w:
+            node[""] = {}
+    if not tree:
+        return None
+
+    def branch(node: dict) -> str:
+        parts = []
+        for c in sorted(k for k in node if k):
+            chain, below = c, node[c]
+            while len(below) == 1 and "" not in below:
+                (c, below), = below.items()
+                chain += c
+            parts.append("".join(_quoted(c) for c in chain) + ("" if below == {"": {}} else branch(below)))
+        body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+        return f"(?:{body})?" if "" in node else body
+
+    # at the ends of a word these are word boundaries; entries may also end in other characters
+    return rf"(?<!\w){branch(tree)}(?!\w)"
+
+
+def _quoted(c: str) -> str:
+    return c if c.isalnum() or c in "_ " else "\\" + c
+
+
 def clean_text(col: Column | str, remove_words: Iterable[str] | None = None) -> Column:
     """The ordered cleaning chain; order matters (digits before word removal,
     lower-casing before word removal, word removal before punctuation)."""
@@ -55,7 +88,7 @@ def clean_text(col: Column | str, remove_words: Iterable[str] | None = None) ->
     c = F.regexp_replace(c, MENTION, " ")
     c = F.lower(c)
     c = F.regexp_replace(c, NON_ASCII, "")
-    pattern = word_list_pattern(remove_words or [])
+    pattern = removal_pattern(remove_words or [])
     if pattern is not None:
         c = F.regexp_replace(c, pattern, "")
     c = F.regexp_replace(c, INTRA_WORD_DASH, "$1" + DASH_MARK + "$2")

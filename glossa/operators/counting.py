@@ -20,10 +20,12 @@ def clean_lines(lines: DataFrame, remove_words=None) -> DataFrame:
     return lines.select("doc_id", "line_no", clean_text("line", words).alias("clean"))
 
 
-def line_tokens(lines: DataFrame, remove_words=None, keep=()) -> DataFrame:
-    """(doc_id, line_no[, keep], tokens) -- one row per line, tokens as an array."""
+def line_tokens(lines: DataFrame, remove_words=None, keep=(), tokenizer=None) -> DataFrame:
+    """(doc_id, line_no[, keep], tokens) -- one row per line, tokens as an array.
+    ``tokenizer`` maps the Column of cleaned lines to one of string arrays
+    (words between spaces by default); n-grams, counts and models follow it."""
     words = profanity_words() if remove_words is None else remove_words
-    return lines.select("doc_id", "line_no", *keep, tokenize(clean_text("line", words)).alias("tokens"))
+    return lines.select("doc_id", "line_no", *keep, (tokenizer or tokenize)(clean_text("line", words)).alias("tokens"))
 
 
 def _tag(n: int):

@@ -43,6 +43,7 @@ class NGramModel:
     vocab_total: int
     params: dict = field(default_factory=dict)
     broadcast_max_words: int = DEFAULT_BROADCAST_MAX_WORDS
+    lease: str | None = None
     _cache: dict = field(default_factory=dict, repr=False)
 
     @property
@@ -82,11 +83,11 @@ class NGramModel:
 
 
 def training_tokens(lines: DataFrame, ratio: float = 1.0, prop: float = DEFAULT_PROP,
-                    seed: int = DEFAULT_SEED, remove_words=None) -> DataFrame:
+                    seed: int = DEFAULT_SEED, remove_words=None, tokenizer=None) -> DataFrame:
     train = train_lines(lines, prop, seed)
     if ratio < 1.0:
         train = sample_blocks(with_blocks(train, seed), ratio)
-    return line_tokens(train, remove_words)
+    return line_tokens(train, remove_words, tokenizer=tokenizer)
 
 
 def model_from_tokens(tokens: DataFrame, cutoff: float | None = 0.9, filter_one_freq: bool = True,
@@ -115,15 +116,16 @@ def vocabulary_size(vocab: DataFrame) -> tuple[int, int]:
 def build_model(lines: DataFrame, ratio: float = 1.0, cutoff: float | None = 0.9,
                 filter_one_freq: bool = True, prop: float = DEFAULT_PROP, seed: int = DEFAULT_SEED,
                 remove_words=None, broadcast_max_words: int = DEFAULT_BROADCAST_MAX_WORDS,
-                input_partitions: int | None = None) -> NGramModel:
+                input_partitions: int | None = None, tokenizer=None) -> NGramModel:
     """Full build from raw lines (doc_id, line_no, line).
 
     The corpus is scanned twice (unigram counts, then encoded n-grams) and
     kept nowhere in between.  ``input_partitions`` spreads the lines of a few
-    large files over more tasks before they are cleaned.
+    large files over more tasks before they are cleaned; ``tokenizer`` is that of
+    ``line_tokens``.
     """
     if input_partitions:
         lines = lines.repartition(input_partitions)
-    tokens = training_tokens(lines, ratio, prop, seed, remove_words)
+    tokens = training_tokens(lines, ratio, prop, seed, remove_words, tokenizer)
     return model_from_tokens(tokens, cutoff, filter_one_freq, broadcast_max_words,
                              params=dict(ratio=ratio, prop=prop, seed=seed))

@@ -38,11 +38,22 @@ def document_lines(documents: DataFrame, lang: str | None = "en",
     return lines.select(*out)
 
 
-def text_file_lines(spark: SparkSession, paths: list[str] | str, line_sep: str | None = None) -> DataFrame:
+def write_line_files(lines: DataFrame, path: str, line_sep: str = "\n", partitions: int | None = None) -> None:
+    """Lines (source, doc_id, line_no, line) as text files below ``source=...``
+    folders.  Lines are dealt by ranges of their whole order, so a large source
+    is many files; the order of the file names is the order of the lines."""
+    keys = ["source", "doc_id", "line_no"]
+    n = partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("source", "line").write.partitionBy("source").text(path, lineSep=line_sep)
+
+
+def text_file_lines(spark: SparkSession, paths: list[str] | str, line_sep: str | None = None, source_of: str | None = None) -> DataFrame:
     """Line files as (doc_id, line_no, line, source): ``source`` is the file's
     path, ``doc_id`` a hash of it, ``line_no`` the line's place in the file
     (0-based), so that equal lines stay apart and lines keep their order.
-    Lines end at LF, CR LF or CR unless ``line_sep`` says otherwise.
+    Lines end at LF, CR LF or CR unless ``line_sep`` says otherwise.  With
+    ``source_of``, a pattern whose first group names the source in a path, all
+    files of a source are one text, numbered through in the order of their paths.
 
     A file is read in splits by many tasks.  Rows are written once with their
     place in the split; the lines of the splits before, a number for each
@@ -52,14 +63,15 @@ def text_file_lines(spark: SparkSession, paths: list[str] | str, line_sep: str |
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_mid"))
     raw = materialise(raw, "lines")
-    splits = raw.groupBy("source", "_start").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("source").orderBy("_start")) - F.col("_n")
-    splits = splits.select("source", "_start", "_first", before.alias("_before"))
+    name = F.regexp_extract("source", source_of, 1) if source_of else F.col("source")
+    splits = raw.groupBy("source", "_start").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n")).withColumn("_name", name)
+    before = F.sum("_n").over(Window.partitionBy("_name").orderBy("source", "_start")) - F.col("_n")  # a row for each split
+    splits = splits.select("source", "_start", "_first", "_name", before.alias("_before"))
     return raw.join(splits, ["source", "_start"]).select(
-        F.xxhash64("source").alias("doc_id"),
+        F.xxhash64("_name").alias("doc_id"),
         (F.col("_mid") - F.col("_first") + F.col("_before")).alias("line_no"),
         F.translate(F.col("line"), "\u0000", "").alias("line"),
-        F.col("source"))
+        F.col("_name").alias("source"))
 
 
 def conversation_phrases(conversations: DataFrame) -> DataFrame:

@@ -36,11 +36,8 @@ def _fs(spark: SparkSession, path: str):
 
 def current_version(spark: SparkSession, path: str) -> str | None:
     """Folder of the newest complete version below ``path``."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return None
-    found = sorted((s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v-")), reverse=True)
-    for name in found:
+    fs, _ = _fs(spark, path)
+    for name in _versions(spark, path):
         if fs.exists(_fs(spark, f"{path}/{name}/meta/_SUCCESS")[1]):
             return f"{path}/{name}"
     return None
@@ -68,12 +65,54 @@ def save_model(model: NGramModel, path: str) -> str:
     return out
 
 
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return sorted((s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v-")), reverse=True) if fs.exists(p) else []
+
+
+def take_lease(spark: SparkSession, version: str) -> str:
+    """Marks a version as read from; returns the mark, which ``release_lease`` removes."""
+    mark = f"{version}/_leases/{uuid.uuid4().hex}"
+    fs, p = _fs(spark, mark)
+    fs.create(p).close()
+    return mark
+
+
+def release_lease(spark: SparkSession, mark: str) -> None:
+    fs, p = _fs(spark, mark)
+    fs.delete(p, False)
+
+
+def remove_old_versions(spark: SparkSession, path: str, keep: int = 1, lease_hours: float = 24, grace_hours: float = 24) -> list[str]:
+    """Removes complete versions beyond the newest ``keep`` that nobody holds a
+    lease on (a lease ends after ``lease_hours``), and incomplete ones begun more
+    than ``grace_hours`` ago; returns their folders."""
+    if keep < 1:
+        raise ValueError("keep must be 1 or more: the newest version is the model")
+    now, kept, gone = time.time() * 1000, 0, []
+    for name in _versions(spark, path):
+        at = f"{path}/{name}"
+        fs, folder = _fs(spark, at)
+        if fs.exists(_fs(spark, f"{at}/meta/_SUCCESS")[1]):
+            kept += 1
+            leases = _fs(spark, f"{at}/_leases")[1]
+            held = fs.exists(leases) and any(now - s.getModificationTime() < lease_hours * 3.6e6 for s in fs.listStatus(leases))
+            if kept <= keep or held:
+                continue
+        elif now - int(name.split("-")[1]) / 1e6 < grace_hours * 3.6e6:
+            continue
+        fs.delete(folder, True)
+        gone.append(at)
+    return gone
+
+
 _LOADED: dict[tuple[str, str], NGramModel] = {}
 
 
-def load_model(spark: SparkSession, path: str, override: bool = False) -> NGramModel:
+def load_model(spark: SparkSession, path: str, override: bool = False, lease: bool = False) -> NGramModel:
     """The newest version of a stored model, read once per application and
-    path; ``override`` looks for a newer version and re-reads."""
+    path; ``override`` looks for a newer version and re-reads.  ``lease`` keeps
+    ``remove_old_versions`` from the version until ``release_lease(m.lease)``."""
     key = (spark.sparkContext.applicationId, path)
     if not override and key in _LOADED:
         return _LOADED[key]
@@ -87,6 +126,8 @@ def load_model(spark: SparkSession, path: str, override: bool = False) -> NGramM
         tables = {name: open_bucketed(spark, f"{at}/serving/{name}", name, keys, order, meta["buckets"]) for name, (keys, order) in LAYOUT.items()}
         tables |= {name: spark.read.parquet(f"{at}/serving/{name}") for name in PLAIN}
         m._memo(("serving", None), lambda: Serving(**tables, n_words=meta["n_words"]))
+    if lease:
+        m.lease = take_lease(spark, at)
     if key in _LOADED:
         _LOADED[key].unpersist()
     _LOADED[key] = m

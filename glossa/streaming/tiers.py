@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FAN = 4
+COUNTS = "counts"
 
 
 class TieredCounts:
-    """Count tables (keys..., count) below ``path``."""
+    """A count table (keys..., count) below ``path``, and other tables that grow
+    with it by rows that never repeat; a manifest holds them all."""
 
     def __init__(self, spark: SparkSession, path: str, fan: int = FAN):
         self.spark, self.path, self.fan = spark, path.rstrip("/"), fan
@@ -40,10 +42,10 @@ class TieredCounts:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
 
     def manifest(self) -> dict:
-        """{epoch, parts: [{name, tier, first, last}]} of the newest complete state."""
+        """{epoch, parts: [{table, name, tier, first, last}], notes} of the newest complete state."""
         names = self._manifests()
         if not names:
-            return {"epoch": -1, "parts": []}
+            return {"epoch": -1, "parts": [], "notes": {}}
         return json.loads(self.spark.read.text(f"{self.path}/manifest/{names[-1]}", wholetext=True).first()[0])
 
     def _publish(self, state: dict) -> None:
@@ -57,38 +59,45 @@ class TieredCounts:
 
     # ------------------------------------------------------------ writing
 
-    def _write(self, df: DataFrame, tier: int, first: int, last: int) -> dict:
-        name = f"tier={tier}/{first}-{last}-{uuid.uuid4().hex[:8]}"
+    def _write(self, df: DataFrame, table: str, tier: int, first: int, last: int) -> dict:
+        name = f"{table}-{tier}/{first}-{last}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.path}/parts/{name}")
-        return {"name": name, "tier": tier, "first": first, "last": last}
+        return {"table": table, "name": name, "tier": tier, "first": first, "last": last}
 
     def _read(self, parts: list[dict]) -> DataFrame:
         out = None
         for p in parts:
             df = self.spark.read.parquet(f"{self.path}/parts/{p['name']}")
             out = df if out is None else out.unionByName(df)
-        return out
+        return _summed(out) if parts[0]["table"] == COUNTS else out
 
-    def add(self, counts: DataFrame, epoch: int) -> bool:
-        """Adds the counts of a batch; False if the batch is already in."""
+    def add(self, counts: DataFrame, epoch: int, notes: dict | None = None, **others: DataFrame) -> bool:
+        """Adds the counts of a batch (and rows of other tables; ``notes`` are kept
+        in the manifest); False if the batch is already in."""
         state = self.manifest()
         if epoch <= state["epoch"]:
             return False
-        parts = [*state["parts"], self._write(counts, 0, epoch, epoch)]
-        tier = 0
-        while len(same := [p for p in parts if p["tier"] == tier]) >= self.fan:
-            merged = self._write(_summed(self._read(same)), tier + 1, same[0]["first"], same[-1]["last"])
-            parts = [p for p in parts if p["tier"] != tier] + [merged]
-            tier += 1
-        self._publish({"epoch": epoch, "parts": parts})
+        parts = state["parts"]
+        for table, rows in {COUNTS: counts, **others}.items():
+            parts = [*parts, self._write(rows, table, 0, epoch, epoch)]
+            tier = 0
+            while len(same := [p for p in parts if p["table"] == table and p["tier"] == tier]) >= self.fan:
+                merged = self._write(self._read(same), table, tier + 1, same[0]["first"], same[-1]["last"])
+                parts = [p for p in parts if p not in same] + [merged]
+                tier += 1
+        self._publish({"epoch": epoch, "parts": parts, "notes": notes or state["notes"]})
         return True
 
     # ------------------------------------------------------------ reading
 
+    def table(self, name: str) -> DataFrame | None:
+        """All rows of a table; None before the first batch."""
+        parts = [p for p in self.manifest()["parts"] if p["table"] == name]
+        return self._read(parts) if parts else None
+
     def counts(self) -> DataFrame | None:
-        """The sums over all batches; None before the first."""
-        parts = self.manifest()["parts"]
-        return _summed(self._read(parts)) if parts else None
+        """The sums over all batches."""
+        return self.table(COUNTS)
 
     def vacuum(self, keep: int = 2) -> int:
         """Deletes parts that none of the last ``keep`` manifests names, and older manifests; returns the number of parts."""

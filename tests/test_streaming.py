@@ -66,7 +66,7 @@ def test_crash_between_merge_and_manifest(spark, tmp_path, monkeypatch):
             with pytest.raises((RuntimeError, PySparkException)):
                 run()
             store = TieredCounts(spark, out, 3)
-            assert store.manifest()["epoch"] == 1 and os.listdir(f"{out}/parts/tier=1")
+            assert store.manifest()["epoch"] == 1 and os.listdir(f"{out}/parts/counts-1")
             assert rows(store.counts()) == rows(ngram_counts(line_tokens(spark.createDataFrame(data[0] + data[1], SCHEMA))))
         got = run()
     assert rows(got) == rows(ngram_counts(line_tokens(spark.createDataFrame(sum(data, []), SCHEMA))))
