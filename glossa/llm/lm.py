@@ -12,7 +12,8 @@ log p(bucket | neighbours) + log(count(word) / count(bucket)), with its count
 over all documents.  So every word of the corpus has a probability of its own,
 and they sum to one (but for what training leaves to an empty bucket).  The counts of up to ``LOCAL`` words are sent to the tasks;
 those of rarer words are joined on the word hash in a shuffle.  Training
-(numpy): the rounds part the positions of all documents by a hash, and in each
+(numpy): words are hashed and looked up once, and written as 16-bit codes that
+all rounds and the scoring read; the rounds part the positions of all documents by a hash, and in each
 every task masks its share, takes Adagrad steps on them from the common
 parameters, and the tasks' results are averaged by examples, merged in salted
 groups on the executors; so every token of every document is masked and
@@ -192,19 +193,22 @@ class Model:
         return loss
 
 
-def _examples(w: Words, vocab: Vocabulary, which=None):
-    """Targets and neighbours of the tokens (or of those at ``which``)."""
-    ids = vocab.lookup(w.hashes)
+def _examples(w: Words, vocab: Vocabulary):
+    """Targets, neighbours and documents of the tokens."""
+    return _windows(vocab.lookup(w.hashes), w.by_doc)
+
+
+def _windows(ids: np.ndarray, by_doc: np.ndarray, which=None):
+    """The same from ids, for all tokens or those at ``which``."""
     at = np.arange(len(ids)) if which is None else np.flatnonzero(which)
-    n_docs = len(w.by_doc) - 1
-    doc = np.repeat(np.arange(n_docs), np.diff(w.by_doc))
-    lo, hi = w.by_doc[doc[at]], w.by_doc[doc[at] + 1]
+    doc = np.repeat(np.arange(len(by_doc) - 1), np.diff(by_doc))[at]
+    lo, hi = by_doc[doc], by_doc[doc + 1]
     around = np.empty((len(at), len(NEIGHBOURS)), np.int32)
     for i, o in enumerate(NEIGHBOURS):
         j = at + o
         inside = (j >= lo) & (j < hi)
         around[:, i] = np.where(inside, ids[np.clip(j, 0, max(0, len(ids) - 1))], VOCAB)
-    return ids[at], around, doc[at]
+    return ids[at], around, doc
 
 
 def _chunks(batches, column=0):
@@ -261,21 +265,74 @@ def build_vocabulary(texts: DataFrame, size: int = VOCAB - BUCKETS) -> tuple[Voc
     return Vocabulary(hashes, top, total, sums), tail, counts.filter((F.col("n") > 1) & (F.col("n") < least))
 
 
-def masked(w: Words, turn: int, rounds: int) -> np.ndarray:
-    """Which tokens are targets in this round: by word and place in the document, each in one of the rounds."""
+def turns(w: Words, rounds: int) -> np.ndarray:
+    """The round in which each token is a target: by word and place in the document."""
     place = (np.arange(len(w)) - np.repeat(w.by_doc[:-1], np.diff(w.by_doc))).astype(np.uint64)
-    return mix64(w.hashes + place * np.uint64(0x9E3779B97F4A7C15), 1) % np.uint64(rounds) == turn
+    return mix64(w.hashes + place * np.uint64(0x9E3779B97F4A7C15), 1) % np.uint64(max(1, rounds))
+
+
+def masked(w: Words, turn: int, rounds: int) -> np.ndarray:
+    """Which tokens are targets in this round; each is in one of the rounds."""
+    return turns(w, rounds) == turn
+
+
+def encoded(docs: DataFrame, text_col: str, vocab: Vocabulary, tail: Tail, rounds: int, keep=None) -> DataFrame:
+    """``row`` (columns ``keep``), n_tokens, codes, share, rare: the words hashed
+    and looked up once for all rounds and the scoring.  A code is id + (VOCAB + 1)
+    * round, 16 bits a token; ``share`` sums the bucket shares of a document's
+    words, ``rare`` lists the words whose count is not in ``tail``."""
+    if rounds * (VOCAB + 1) > 1 << 16:
+        raise ValueError("rounds must be 15 at most")
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, tail))  # bounded size
+
+    def make():
+        vocab, tail = shared.value
+
+        def texts(column):
+            buf, offs = text_buffer(column)
+            counts, codes, shares, rare, rare_by = [], [], [], [], []
+            for i, j in doc_ranges(offs):
+                w = Words(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], ALNUM)
+                ids = vocab.lookup(w.hashes)
+                codes.append((ids + (VOCAB + 1) * turns(w, rounds).astype(np.int32)).astype("<u2").tobytes())
+                counts.append(np.diff(w.by_doc))
+                at = np.flatnonzero(ids >= VOCAB - BUCKETS)
+                doc = np.repeat(np.arange(j - i), counts[-1])[at]
+                share, known = tail.share(w.hashes[at])
+                shares.append(np.bincount(doc, weights=share, minlength=j - i))
+                if not tail.whole:
+                    rare.append(w.hashes[at[~known]])
+                    rare_by.append(np.bincount(doc[~known], minlength=j - i))
+            n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            ends = np.concatenate([[0], *rare_by]).cumsum().astype(np.int32) if rare_by else np.zeros(len(n) + 1, np.int32)
+            words = signed(np.concatenate(rare)) if rare else np.zeros(0, np.int64)
+            bounds = np.concatenate([[0], 2 * n.cumsum()]).astype(np.int32)
+            return [pa.array(n, pa.int64()), pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds), pa.py_buffer(b"".join(codes))]),
+                    pa.array(np.concatenate(shares) if shares else [], pa.float64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(words, pa.int64()))]
+
+        return texts
+
+    out = annotated(docs, text_col, make, "n_tokens bigint, codes binary, share double, rare array<bigint>", keep)
+    return written(out if keep is None or keep else out.drop("row"), "encoded")
+
 
+def _coded_chunks(column: pa.Array):
+    """(first document, documents after the last, ids, rounds, offsets by document), a bounded part at a time."""
+    buf, offs = text_buffer(column)
+    for i, j in doc_ranges(offs):
+        codes = buf[offs[i]:offs[j]].view("<u2").astype(np.int32)
+        yield i, j, codes % (VOCAB + 1), codes // (VOCAB + 1), (offs[i:j + 1] - offs[i]) // 2
 
-def _train_round(texts: DataFrame, vocab, params, turn: int, rounds: int, rate: float) -> dict:
-    """Parameters after one round, averaged over the tasks by examples."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((vocab, params))
+
+def _train_round(coded: DataFrame, vocab, params, turn: int, rounds: int, rate: float) -> dict:
+    """Parameters after one round on encoded documents, averaged over the tasks by examples."""
+    spark = coded.sparkSession
+    shared = spark.sparkContext.broadcast(params)
     names = list(params)
     shapes = [params[k].shape for k in names]
 
     def run(batches):
-        vocab, start = shared.value
+        start = shared.value
         model = Model({k: v.copy() for k, v in start.items()})
         seen = {k: np.full_like(v, 1e-6) for k, v in start.items()}
         n, held = 0, []
@@ -294,13 +351,14 @@ def _train_round(texts: DataFrame, vocab, params, turn: int, rounds: int, rate:
             return stop
 
         waiting = 0
-        for w in _chunks(batches):
-            target, around, _ = _examples(w, vocab, masked(w, turn, rounds))
-            held.append((target, around))
-            waiting += len(target)
-            if waiting >= 64 * BATCH:
-                done = learn(False)
-                n, waiting = n + done, waiting - done
+        for b in batches:
+            for _, _, ids, when, by_doc in _coded_chunks(b.column(0)):
+                target, around, _ = _windows(ids, by_doc, when == turn)
+                held.append((target, around))
+                waiting += len(target)
+                if waiting >= 64 * BATCH:
+                    done = learn(False)
+                    n, waiting = n + done, waiting - done
         if waiting:
             n += learn(True)
         if n:
@@ -325,7 +383,7 @@ def _train_round(texts: DataFrame, vocab, params, turn: int, rounds: int, rate:
                                               pa.array([x.tobytes()], pa.binary())], ["part", "salt", "n", "total"])
 
     schema = "part int, salt int, n bigint, total binary"
-    tasks = texts.mapInArrow(run, schema)
+    tasks = coded.select("codes").mapInArrow(run, schema)
     merged = tasks.repartition(PARTS * SALTS, "part", "salt").mapInArrow(merge, schema)
     rows = merged.repartition(PARTS, "part").mapInArrow(merge, schema).collect()  # one set of parameters
     if not rows:
@@ -339,59 +397,50 @@ def _train_round(texts: DataFrame, vocab, params, turn: int, rounds: int, rate:
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS):
-    """(vocabulary, parameters, counts of the words in buckets, table of further counts) from all documents."""
+def _fit(docs: DataFrame, text_col: str, rounds: int, keep):
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    vocab, tail, rest = build_vocabulary(texts)
+    vocab, tail, rest = build_vocabulary(docs.select(F.col(f"`{text_col}`").cast("string").alias("text")))
     params = initial(vocab)
+    coded = encoded(docs, text_col, vocab, tail, rounds, keep)
     for turn in range(rounds):
-        params = _train_round(texts, vocab, params, turn, rounds, RATE / (1 + turn))
-    return vocab, params, tail, rest
+        params = _train_round(coded, vocab, params, turn, rounds, RATE / (1 + turn))
+    return (vocab, params, tail, rest), coded
+
+
+def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS):
+    """(vocabulary, parameters, counts of the words in buckets, table of further counts) from all documents."""
+    return _fit(docs, text_col, rounds, [])[0]
 
 
 def score(docs: DataFrame, fitted, text_col: str = "text", keep=None) -> DataFrame:
     """``row`` (columns ``keep``), n_tokens and log_prob of each document."""
-    *small, rest = fitted
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(small))  # bounded size
+    small_batches(docs.sparkSession)
+    return scored(encoded(docs, text_col, fitted[0], fitted[2], 1, keep), fitted)
 
-    def make():
-        vocab, params, tail = shared.value
-        model = Model(params)
 
-        def texts(column):
-            buf, offs = text_buffer(column)
-            counts, totals, rare, rare_by = [], [], [], []
-            for i, j in doc_ranges(offs):
-                w = Words(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], ALNUM)
-                target, around, doc = _examples(w, vocab)
-                total = np.zeros(j - i)
-                for a in range(0, len(target), 8192):
-                    lp = model.log_probs(target[a:a + 8192], around[a:a + 8192])
-                    total += np.bincount(doc[a:a + 8192], weights=lp, minlength=j - i)
-                at = np.flatnonzero(target >= VOCAB - BUCKETS)
-                share, known = tail.share(w.hashes[at])
-                total += np.bincount(doc[at], weights=share, minlength=j - i)
-                counts.append(np.diff(w.by_doc))
-                totals.append(total)
-                if not tail.whole:
-                    rare.append(w.hashes[at[~known]])
-                    rare_by.append(np.bincount(doc[at[~known]], minlength=j - i))
-            out = [pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(np.concatenate(totals) if totals else [], pa.float64())]
-            if not tail.whole:
-                ends = np.concatenate([[0], *rare_by]).cumsum().astype(np.int32)
-                words = signed(np.concatenate(rare)) if rare else []
-                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(words, pa.int64())))
-            return out
-
-        return texts
+def scored(coded: DataFrame, fitted) -> DataFrame:
+    """``row``, n_tokens and log_prob of encoded documents."""
+    _, params, tail, rest = fitted
+    shared = coded.sparkSession.sparkContext.broadcast(params)  # fixed size
+    src = coded.withColumn("at", F.monotonically_increasing_id())
 
-    fields = "n_tokens bigint, log_prob double"
-    if small[2].whole:
-        return annotated(docs, text_col, make, fields, keep)
+    def run(batches):
+        model = Model(shared.value)
+        for b in batches:
+            total = b.column(2).to_numpy().copy()
+            for i, j, ids, _, by_doc in _coded_chunks(b.column(1)):
+                target, around, doc = _windows(ids, by_doc)
+                for a in range(0, len(target), LARGEST):
+                    lp = model.log_probs(target[a:a + LARGEST], around[a:a + LARGEST])
+                    total[i:j] += np.bincount(doc[a:a + LARGEST], weights=lp, minlength=j - i)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total)], ["place", "log_prob"])
+
+    sums = src.select(F.struct("row", "n_tokens", "at", "rare").alias("place"), "codes", "share")
+    out = sums.mapInArrow(run, f"place {sums.schema['place'].dataType.simpleString()}, log_prob double").select("place.*", "log_prob")
+    if tail.whole:
+        return out.select("row", "n_tokens", "log_prob")
     # the words whose counts the tasks lack, joined on the word; written, so that a row keeps its number
-    part = written(annotated(docs, text_col, make, f"{fields}, rare array<bigint>", keep)
-                   .withColumn("at", F.monotonically_increasing_id()), "scored")
+    part = written(out, "scored")
     asked = part.select("at", F.explode("rare").alias("asked"))
     more = asked.join(rest.hint("shuffle_hash"), F.col("asked") == F.col("word")).groupBy("at").agg(F.sum(F.ln("n")).alias("more"))
     more = more.withColumnRenamed("at", "to")
@@ -401,6 +450,6 @@ def score(docs: DataFrame, fitted, text_col: str = "text", keep=None) -> DataFra
 
 def op6_lm_score(spark, sf_dir):
     """Pseudo-log-likelihood of every document under a model of all documents."""
-    docs = table(spark, sf_dir, "documents")
-    out = score(docs, fit(docs), keep=["doc_id"])
+    fitted, coded = _fit(table(spark, sf_dir, "documents"), "text", ROUNDS, ["doc_id"])
+    out = scored(coded, fitted)
     return out.select("row.doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
