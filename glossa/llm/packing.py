@@ -13,8 +13,9 @@ however frequent, is gathered in one task.
 
 Edge cases: null or empty text is the end token alone; repeated rows are
 packed each; a null doc_id is packed like any other; an empty table gives no
-rows; words are encoded once per task and reused, which is exact because the
-pre-tokeniser never joins across ASCII blanks.
+rows.  Tokenizer files that split at blanks and drop them have their words
+encoded once per task and reused, in a memo of bounded bytes; all others get
+whole texts.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, written
 from .textops import text_buffer
 
-#: Encoded words, and word parts, that a task keeps; a memo is emptied beyond this, which changes speed only.
-MEMO_WORDS = 800_000
+#: Bytes of encoded words, and of word parts, that a task keeps (about); a memo is emptied beyond this, which changes speed only.
+MEMO_BYTES = 160 << 20
+#: What an entry costs beside its bytes, and the bytes of a word that is not kept.
+ENTRY, LONG_WORD = 180, 512
 #: Bytes of text handled together.
 CHUNK = 1 << 20
 #: Words of these characters only have a plain normal form; all others go through the whole tokenizer.
@@ -50,11 +53,11 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder(dict):
     """Blank-delimited word (bytes) -> its token ids as little-endian uint32.
 
-    The tokenizer normalises and splits a text into parts before the model
-    sees them, and no part crosses an ASCII blank, so encoding word by word is
-    exact.  For words of ASCII and Latin letters the two steps are lower case
-    and the file's own split pattern, so they need the model for new parts
-    only; a test holds this against the whole tokenizer.
+    Word by word is exact for files whose steps are known to split at ASCII
+    blanks and to drop them (``_pattern``); every other file gets whole texts.
+    For words of ASCII and Latin letters the steps are lower case and the
+    file's own split pattern, so they need the model for new parts only; a test
+    holds this against the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -62,7 +65,10 @@ class WordEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.model, self.letters, self.parts = self.tokenizer.model, _byte_letters(), {}
+        self.held = self.held_parts = 0
         self.split = self._pattern(json.loads(self.tokenizer.to_str()))
 
     @staticmethod
@@ -72,7 +78,8 @@ class WordEncoder(dict):
         norm = (spec.get("normalizer") or {}).get("normalizers") or []
         if ([x["type"] for x in steps] != ["Split", "ByteLevel"] or [x["type"] for x in norm] != ["NFC", "Replace", "Lowercase"]
                 or steps[1]["add_prefix_space"] or steps[1]["use_regex"] or spec.get("post_processor")
-                or (steps[0]["behavior"], steps[0]["invert"]) != ("Removed", True)):
+                or (steps[0]["behavior"], steps[0]["invert"]) != ("Removed", True) or "Regex" not in steps[0]["pattern"]
+                or (norm[1]["pattern"], norm[1]["content"]) != ({"Regex": "\\s+"}, " ") or "\\s" not in steps[0]["pattern"]["Regex"]):
             return None
         pattern = steps[0]["pattern"]["Regex"].replace("[\\p{L}]", "[a-zß-öø-ÿ]").replace("[\\p{N}]", "[0-9]")
         pattern = pattern.replace("\\p{L}", "a-zß-öø-ÿ").replace("\\p{N}", "0-9")
@@ -80,27 +87,38 @@ class WordEncoder(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if self.split is not None and word.isalpha():  # ASCII letters alone are one part
-            self[word] = ids = self.parts.get(text := text.lower()) or self._part(text)
-            return ids
-        if self.split is None or "<|" in text or not _SIMPLE.fullmatch(text):
+        if word.isalpha():  # ASCII letters alone are one part
+            ids = self.parts.get(text := text.lower()) or self._part(text)
+        elif "<|" in text or not _SIMPLE.fullmatch(text):
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         else:
             ids = b"".join([self.parts.get(x) or self._part(x) for x in self.split.findall(text.lower())])
-        self[word] = ids
+        if len(word) <= LONG_WORD:
+            cost = ENTRY + len(word) + len(ids)
+            if self.held + cost > MEMO_BYTES:
+                self.clear()
+                self.held = 0
+            self.held += cost
+            self[word] = ids
         return ids
 
     def _part(self, part: str) -> bytes:
-        if len(self.parts) >= MEMO_WORDS:
-            self.parts.clear()
         text = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
         ids = [x.id for x in self.model.tokenize(text)]
-        self.parts[part] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(part) <= LONG_WORD:
+            cost = ENTRY + len(part) + len(packed)
+            if self.held_parts + cost > MEMO_BYTES:
+                self.parts.clear()
+                self.held_parts = 0
+            self.held_parts += cost
+            self.parts[part] = packed
         return packed
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self) > MEMO_WORDS:
-            self.clear()
+        if self.split is None:  # parts may cross blanks
+            found = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
+            return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
         get = self.__getitem__
         return [b"".join(map(get, t.split())) for t in texts]
 
