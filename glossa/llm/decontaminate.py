@@ -14,8 +14,9 @@ fit between the document's ends) and the positional bound (the shingle's place
 inside the window) fix where it would start; then all words are compared.
 
 The benchmark side is cut into blocks of at most ``block_bytes`` of text; each
-block's index is broadcast, so what a task holds is bounded for a benchmark of
-any size, and documents are never shuffled.
+block's index, arrays over the words of its items, is broadcast, so what the
+driver and a task hold is bounded for a benchmark of any size, and documents
+are never shuffled.
 
 Edge cases: null or empty texts have no words and no hits; an item without
 words never occurs; repeated items and repeated document rows each keep their
@@ -40,34 +41,53 @@ SLICE = 1 << 18
 FIELDS = "n_words bigint, spans array<struct<start:int,stop:int>>, items array<bigint>"
 
 
-def _item_windows(texts: list, ids: list, window: int):
-    """Distinct windows of a block of items: word matrix, lengths, item lists."""
-    buf, offs = text_buffer(pa.array(texts, pa.string()))
-    w = Words(buf, offs, ALNUM)
-    found: dict[tuple, set] = {}
-    for d, item in enumerate(ids):
-        a, b = w.by_doc[d], w.by_doc[d + 1]
-        h = w.hashes[a:b]
-        if len(h):
-            k = min(window, len(h))
-            for i in range(len(h) - k + 1):
-                found.setdefault(tuple(h[i:i + k].tolist()), set()).add(item)
-    seqs = list(found)
-    lengths = np.array([len(s) for s in seqs], dtype=np.int64)
-    words = np.zeros((len(seqs), window), dtype=np.uint64)
-    for r, s in enumerate(seqs):
-        words[r, :len(s)] = s
-    items = [sorted(x for x in found[s] if x is not None) for s in seqs]
-    return words, lengths, items
-
-
-def _shingles(words: np.ndarray, lengths: np.ndarray):
-    """Per window, hash and place of each of its shingles (ragged)."""
-    out = []
-    for r, n in enumerate(lengths):
-        s = min(SHINGLE, int(n))
-        out.append((s, gram_hashes(words[r, :n], s)))
-    return out
+class Windows:
+    """Distinct windows of a block of items, as places in the items' words:
+    window r is ``flat[start[r]:start[r] + length[r]]`` and occurs in the items
+    ``item[first[r]:first[r + 1]]`` (ids that are not null, ascending)."""
+
+    def __init__(self, texts: list, ids: list, window: int):
+        buf, offs = text_buffer(pa.array(texts, pa.string()))
+        w = Words(buf, offs, ALNUM)
+        self.flat = w.hashes
+        n = np.diff(w.by_doc)
+        size = np.minimum(window, n)
+        count = np.where(n > 0, n - size + 1, 0)
+        start, length = np.repeat(w.by_doc[:-1], count) + ragged(count), np.repeat(size, count)
+        key = np.zeros(len(start), dtype=np.uint64)
+        for k in np.unique(length):
+            at = length == k
+            key[at] = gram_hashes(self.flat, int(k))[start[at]]
+        _, one, which = np.unique(key, return_index=True, return_inverse=True)
+        same = one[which]
+        equal = length == length[same]
+        for t in range(window):
+            inside = np.flatnonzero(equal & (t < length))
+            equal[inside] = self.flat[start[inside] + t] == self.flat[start[same[inside]] + t]
+        same[~equal] = np.flatnonzero(~equal)  # equal hashes of different words: a window of its own
+        kept, row = np.unique(same, return_inverse=True)
+        self.start, self.length = start[kept], length[kept]
+        known = np.array([x is not None for x in ids], dtype=bool)
+        number = np.array([x if x is not None else 0 for x in ids], dtype=np.int64)
+        of = np.repeat(np.arange(len(ids)), count)
+        row, item = row[known[of]], number[of[known[of]]]
+        order = np.lexsort((item, row))
+        row, item = row[order], item[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+        self.item, self.first = item[new], np.searchsorted(row[new], np.arange(len(kept) + 1))
+
+    def shingles(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """{words: (windows whose shingles have that many, hash of the shingle at each place of ``flat``)}."""
+        size = np.minimum(SHINGLE, self.length)
+        return {int(s): (np.flatnonzero(size == s), gram_hashes(self.flat, int(s))) for s in np.unique(size)}
+
+    def within(self, rows: np.ndarray, size: int) -> np.ndarray:
+        """Places of ``flat`` at which a shingle of one of the windows begins."""
+        edge = np.zeros(len(self.flat) + 1, dtype=np.int64)
+        np.add.at(edge, self.start[rows], 1)
+        np.add.at(edge, self.start[rows] + self.length[rows] - size + 1, -1)
+        return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
 
 
 class _Lookup:
@@ -90,7 +110,7 @@ class _Lookup:
 
 
 def _rarity(docs: DataFrame, text_col: str, keys_by_size: dict) -> dict:
-    """Occurrences over all documents of the given shingles: {(size, hash): n}."""
+    """Occurrences over all documents of the given shingles: {size: (hashes, numbers)}."""
     shared = docs.sparkSession.sparkContext.broadcast(keys_by_size)
 
     def run(batches):
@@ -111,37 +131,41 @@ def _rarity(docs: DataFrame, text_col: str, keys_by_size: dict) -> dict:
                      pa.array(counts[s][hit])], ["size", "shingle", "n"])
 
     rows = (docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "size int, shingle bigint, n bigint")
-            .groupBy("size", "shingle").agg(F.sum("n").alias("n")).collect())  # one row per benchmark shingle of the block
-    return {(r["size"], r["shingle"]): r["n"] for r in rows}
+            .groupBy("size", "shingle").agg(F.sum("n").alias("n")).toArrow())  # one row per benchmark shingle of the block
+    size, shingle, n = (rows[c].to_numpy() for c in ("size", "shingle", "n"))
+    return {s: (shingle[size == s].view(np.uint64), n[size == s]) for s in keys_by_size}
 
 
 def _index(docs, text_col, texts, ids, window):
-    words, lengths, items = _item_windows(texts, ids, window)
-    shingles = _shingles(words, lengths)
-    by_size: dict[int, list] = {}
-    for s, h in shingles:
-        by_size.setdefault(s, []).append(h)
-    seen = _rarity(docs, text_col, {s: np.unique(np.concatenate(h)) for s, h in by_size.items()}) if by_size else {}
-    prefix, place, size = [], [], []
-    for s, h in shingles:
-        n = [seen.get((s, int(x)), 0) for x in signed(h)]
-        at = int(np.argmin(n))
-        prefix.append(int(h[at]))
-        place.append(at)
-        size.append(s)
-    prefix, place, size = np.array(prefix, np.uint64), np.array(place, np.int64), np.array(size, np.int64)
-    parts = {}
-    for s in sorted(set(size.tolist())):
-        rows = np.flatnonzero(size == s)
-        rows = rows[np.argsort(prefix[rows], kind="stable")]
-        keys, first, n = np.unique(prefix[rows], return_index=True, return_counts=True)
-        parts[s] = (keys, rows, first, n)
-    return words, lengths, place, items, parts
+    """(windows, place of the rarest shingle in each, {size: (prefixes, windows by prefix, first, number)})."""
+    w = Windows(texts, ids, window)
+    by_size = w.shingles()
+    seen = _rarity(docs, text_col, {s: np.unique(g[w.within(rows, s)]) for s, (rows, g) in by_size.items()}) if by_size else {}
+    place, parts = np.zeros(len(w.start), np.int64), {}
+    for s, (rows, g) in by_size.items():
+        keys, n = seen[s]
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        often = np.zeros(len(g), dtype=np.int64)
+        if len(keys):
+            k = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+            often = np.where(keys[k] == g, n[k], 0)
+        for length in np.unique(w.length[rows]):
+            mine = rows[w.length[rows] == length]
+            each = np.lib.stride_tricks.sliding_window_view(often, int(length) - s + 1)
+            for a in range(0, len(mine), SLICE):
+                place[mine[a:a + SLICE]] = each[w.start[mine[a:a + SLICE]]].argmin(axis=1)
+        prefix = g[w.start[rows] + place[rows]]
+        order = np.argsort(prefix, kind="stable")
+        keys, first, n = np.unique(prefix[order], return_index=True, return_counts=True)
+        parts[s] = (keys, rows[order], first, n)
+    return w, place, parts
 
 
 def _scan(index, w: Words, n_docs: int):
     """Hits of a run of documents: (document, start, length, window row)."""
-    words, lengths, place, _, parts = index
+    wins, place, parts = index
+    lengths = wins.length
     doc_of = np.repeat(np.arange(n_docs), np.diff(w.by_doc))
     hits = []
     for s, (lookup, rows, first, count) in parts.items():
@@ -161,12 +185,12 @@ def _scan(index, w: Words, n_docs: int):
             d = doc_of[pos]
             ok = (start >= w.by_doc[d]) & (stop <= w.by_doc[d + 1])
             row, start, d = row[ok], start[ok], d[ok]
-            for t in range(words.shape[1]):
+            for t in range(int(lengths.max(initial=0))):
                 if not len(row):
                     break
                 inside = t < lengths[row]
                 same = ~inside
-                same[inside] = w.hashes[start[inside] + t] == words[row[inside], t]
+                same[inside] = w.hashes[start[inside] + t] == wins.flat[wins.start[row[inside]] + t]
                 row, start, d = row[same], start[same], d[same]
             if len(row):
                 hits.append((d, start, lengths[row], row))
@@ -178,9 +202,8 @@ def _scan(index, w: Words, n_docs: int):
 
 
 def _finder(index):
-    items = index[3]
-    lookups = {s: (_Lookup(k), r, f, n) for s, (k, r, f, n) in index[4].items()}
-    index = (*index[:4], lookups)
+    wins, place, parts = index
+    index = (wins, place, {s: (_Lookup(k), r, f, n) for s, (k, r, f, n) in parts.items()})
 
     def texts(column):
         buf, offs = text_buffer(column)
@@ -196,7 +219,7 @@ def _finder(index):
             covered = np.cumsum(marks[:-1]) > 0
             by_doc: dict[int, set] = {}
             for x, r in set(zip(d.tolist(), row.tolist(), strict=True)):
-                by_doc.setdefault(x, set()).update(items[r])
+                by_doc.setdefault(x, set()).update(wins.item[wins.first[r]:wins.first[r + 1]].tolist())
             for x in range(n):
                 if x not in by_doc:
                     spans.append([])
