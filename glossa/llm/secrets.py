@@ -8,8 +8,8 @@ The text is the first layer of a worklist.  Each layer is unwrapped in every
 way that applies (percent escapes, Unicode escapes, base64 runs, compressed
 bytes); what comes out is a new layer, rescanned and unwrapped in turn, until
 no new layer appears.  A digest of each layer with its place in the text stops
-cycles and repeats.  Escapes keep a map from each character to its span in the
-original text; what comes out of a base64 run or a compressed stream maps to
+cycles and repeats.  Layers are made one at a time, the deepest first.  Escapes
+keep a map by runs from characters to spans in the original text; what comes out of a base64 run or a compressed stream maps to
 the whole run.  Finds of inner layers are added as spans of the original text;
 finds of the text itself always stay.
 
@@ -36,8 +36,10 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
+from array import array
+from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,17 +54,20 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LAYER_LIMIT = 64 << 20
 #: Bytes scanned at once of a longer one, and how many the next piece repeats.
 PIECE, OVERLAP = 8 << 20, 1 << 16
-#: The shortest finding has 12 characters, which are 16 in base64.
+#: Base64 characters by which a stream without a long mark is tried.
+HEAD = 1 << 12
+#: The shortest finding has 12 characters, which are 16 in base64.  Runs are possessive: a matcher that may go back
+#: keeps a state for each step of a long one.
 BREAK = r"(?:[ \t]*\r?\n[ \t]*|\\r\\n|\\n)"
-RUN = re.compile(rf"[A-Za-z0-9+/_-](?:{BREAK}?[A-Za-z0-9+/_-]){{15,}}={{0,2}}")
+RUN = re.compile(rf"[A-Za-z0-9+/_-](?:{BREAK}?[A-Za-z0-9+/_-]){{15,}}+={{0,2}}")
 WRAP = re.compile(BREAK)
 #: Where a base64 text may begin within a run.
 SEAM = re.compile(r"[/+_-]")
 #: Bytes that may hold a find or another layer.
 LEGIBLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
-ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+-]){12,}|(?:\\(?:x|u00)[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+()-]){12,}")
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+-]){12,}+|(?:\\(?:x|u00)[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+()-]){12,}+")
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})++")
+UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})++|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 MAGIC = ((b"\x1f\x8b", "gzip"), (b"BZh", "bz2"), (b"\xfd7zXZ\x00", "xz"), (b"\x28\xb5\x2f\xfd", "zstd"))
 FIELDS = "spans array<struct<kind:string,start:int,stop:int,path:string>>, oversized int"
 
@@ -169,32 +174,67 @@ def _escaped(run: str) -> bytes:
     return re.sub(rb"(?:%|\\x|\\u00)([0-9A-Fa-f]{2})", lambda m: bytes.fromhex(m[1].decode()), run.encode())
 
 
+class Spans:
+    """Where the characters of a layer stand in the original text, by runs: a
+    run either follows the text character by character or lies whole in one
+    span of it.  Its size follows the number of escapes or lines."""
+
+    __slots__ = ("at", "start", "stop")
+
+    def __init__(self):
+        self.at, self.start, self.stop = array("q"), array("q"), array("q")
+
+    def add(self, at: int, start: int, stop: int) -> None:
+        """A run from character ``at``; ``stop`` is -1 where it follows the text from ``start``."""
+        self.at.append(at)
+        self.start.append(start)
+        self.stop.append(stop)
+
+    def place(self, a: int, b: int) -> tuple[int, int]:
+        i, j = bisect_right(self.at, a) - 1, bisect_right(self.at, b - 1) - 1
+        return (self.start[i] + (a - self.at[i] if self.stop[i] < 0 else 0),
+                self.stop[j] if self.stop[j] >= 0 else self.start[j] + b - self.at[j])
+
+    def copy(self, a: int, b: int, to: "Spans", at: int) -> None:
+        """The runs of characters a..b, as those from ``at`` on."""
+        i = bisect_right(self.at, a) - 1
+        while a < b:
+            end = min(b, self.at[i + 1]) if i + 1 < len(self.at) else b
+            follows = self.stop[i] < 0
+            to.add(at, self.start[i] + (a - self.at[i] if follows else 0), self.stop[i])
+            at, a, i = at + end - a, end, i + 1
+
+
 class _Layer:
-    """A text with the place of its characters in the original text."""
+    """A text with the place of its characters in the original text: None (it is
+    the original), one span for all, or ``Spans``."""
 
-    __slots__ = ("text", "starts", "stops", "path")
+    __slots__ = ("text", "spans", "path")
 
-    def __init__(self, text, starts, stops, path):
-        self.text, self.starts, self.stops, self.path = text, starts, stops, path
+    def __init__(self, text, spans, path):
+        self.text, self.spans, self.path = text, spans, path
 
     def place(self, a: int, b: int) -> tuple[int, int]:
         """Span in the original text of characters a..b."""
-        if self.starts is None:
+        if self.spans is None:
             return a, b
-        if isinstance(self.starts, int):
-            return self.starts, self.stops
-        return self.starts[a], self.stops[b - 1]
+        return self.spans if isinstance(self.spans, tuple) else self.spans.place(a, b)
 
     def escapes(self, pattern: re.Pattern, decode, name: str):
         """The layer with all matches that ``decode`` can turn into text, or None."""
-        parts, starts, stops, at = [], [], [], 0
-        constant = isinstance(self.starts, int)
+        parts, at, n = [], 0, 0
+        spans = self.spans if isinstance(self.spans, tuple) else Spans()
 
         def keep(a, b):
+            nonlocal n
+            if a == b:
+                return
             parts.append(self.text[a:b])
-            if not constant:
-                starts.extend(range(a, b) if self.starts is None else self.starts[a:b])
-                stops.extend(range(a + 1, b + 1) if self.starts is None else self.stops[a:b])
+            if self.spans is None:
+                spans.add(n, a, -1)
+            elif isinstance(self.spans, Spans):
+                self.spans.copy(a, b, spans, n)
+            n += b - a
 
         for m in pattern.finditer(self.text):
             units = decode(m)  # (text, first, last) within the match
@@ -203,17 +243,30 @@ class _Layer:
             keep(at, m.start())
             for t, a, b in units:
                 parts.append(t)
-                if not constant:
-                    s, e = self.place(m.start() + a, m.start() + b)
-                    starts.extend([s] * len(t))
-                    stops.extend([e] * len(t))
+                if not isinstance(spans, tuple):
+                    spans.add(n, *self.place(m.start() + a, m.start() + b))
+                n += len(t)
             at = m.end()
         if not at:
             return None
         keep(at, len(self.text))
-        if constant:
-            starts, stops = self.starts, self.stops
-        return _Layer("".join(parts), starts, stops, (*self.path, name))
+        return _Layer("".join(parts), spans, (*self.path, name))
+
+
+def _wrapped(spans: list[tuple[int, int]], first: list[int], shift: int, sizes) -> Spans:
+    """Runs of a text whose characters (``sizes`` bytes each) stand in base64
+    lines: ``first`` has the number of the first base64 character of each line."""
+    out, edges, byte, at, last = Spans(), np.array(first), 0, 0, (-1, -1)
+    for a in range(0, len(sizes), PIECE // 8):
+        n = sizes[a:a + PIECE // 8].astype(np.int64)
+        stop = byte + np.cumsum(n)
+        i = np.searchsorted(edges, shift + (stop - n) * 4 // 3, side="right") - 1
+        j = np.maximum(i, np.searchsorted(edges, shift + (stop * 8 - 1) // 6, side="right") - 1)
+        new = np.flatnonzero((np.diff(i, prepend=last[0]) != 0) | (np.diff(j, prepend=last[1]) != 0))
+        for k in new.tolist():
+            out.add(at + k, spans[i[k]][0], spans[j[k]][1])
+        last, byte, at = (i[-1], j[-1]), int(stop[-1]), at + len(n)
+    return out
 
 
 def _percent(m: re.Match):
@@ -244,109 +297,109 @@ def _unicode(m: re.Match):
     return units
 
 
-def _unwrap(layer: _Layer):
-    """Layers directly inside ``layer``, and the streams that are too large
-    for one (kind, bytes, place, path)."""
-    inner, large = [], []
-    if "%" in layer.text:
-        inner.append(layer.escapes(PERCENT, _percent, "url"))
-    if "\\" in layer.text or "&#" in layer.text:
-        inner.append(layer.escapes(UNICODE, _unicode, "unicode"))
-    def inflated(raw, a, b, path):
-        """Layers of compressed bytes, which stand at a..b of the text."""
-        seen = set()
-        while True:
-            digest = hashlib.blake2b(raw, digest_size=16).digest()
-            if digest in seen:
-                return
-            seen.add(digest)
-            try:
-                step = _inflate(raw)
-            except Oversized:
-                kind = _inflate_kind(raw)
-                large.append((kind, raw, layer.place(a, b), (*path, kind)))
-                return
-            if step is None:
-                return
-            raw, path = step[1], (*path, step[0])
-            text = _readable(raw)
-            if text is None and _inflate_kind(raw) is None:
-                text = _lenient(raw)
-            if text is not None:
-                inner.append(_Layer(text, *layer.place(a, b), path))
-                return
+def _sizes(text: str) -> np.ndarray:
+    """UTF-8 bytes of each character."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return (1 + (code > 0x7F).astype(np.int8) + (code > 0x7FF) + (code > 0xFFFF)).astype(np.int8)
 
+
+def _begins(body: str, at: int) -> bool:
+    """Whether a compressed stream seems to begin at this base64 character:
+    its first block must open, so that chance headers do not cost the rest of the run."""
+    if len(body) < at + 8 or (kind := _inflate_kind(_base64(body[at:at + 8]))) is None:
+        return False
+    if kind != "zlib":  # the others have longer marks
+        return True
+    try:
+        zlib.decompressobj().decompress(_base64(body[at:at + HEAD]), HEAD)
+    except zlib.error:
+        return False
+    return True
+
+
+def _inflated(layer: _Layer, raw: bytes, a: int, b: int, path: tuple):
+    """The layer of compressed bytes, which stand at a..b of the text, however
+    often they are compressed; or (kind, bytes, place, path) of a stream too large for one."""
+    seen = set()
+    while True:
+        digest = hashlib.blake2b(raw, digest_size=16).digest()
+        if digest in seen:
+            return
+        seen.add(digest)
+        try:
+            step = _inflate(raw)
+        except Oversized:
+            kind = _inflate_kind(raw)
+            yield kind, raw, layer.place(a, b), (*path, kind)
+            return
+        if step is None:
+            return
+        raw, path = step[1], (*path, step[0])
+        text = _readable(raw)
+        if text is None and _inflate_kind(raw) is None:
+            text = _lenient(raw)
+        if text is not None:
+            yield _Layer(text, layer.place(a, b), path)
+            return
+
+
+def _unwrap(layer: _Layer):
+    """Layers directly inside ``layer``, one at a time, and the streams that are
+    too large for one."""
+    if "%" in layer.text and (x := layer.escapes(PERCENT, _percent, "url")) is not None:
+        yield x
+    if ("\\" in layer.text or "&#" in layer.text) and (x := layer.escapes(UNICODE, _unicode, "unicode")) is not None:
+        yield x
     for m in RUN.finditer(layer.text):
-        run, at = m[0], m.start()
-        cuts = [(x.start(), x.end()) for x in WRAP.finditer(run)]
-        lines = list(zip([0, *[b for _, b in cuts]], [*[a for a, _ in cuts], len(run)], strict=True))
-        pieces = [run[a:b].rstrip("=") for a, b in lines]
-        body, first = "".join(pieces), [0]
-        for x in pieces:
-            first.append(first[-1] + len(x))
-        path = (*layer.path, "base64")
-        whole = _readable(_base64(body)) if len(body) % 4 != 1 else None
-        for shift in range(4):
-            raw = _base64(body[shift:])
-            text = whole if shift == 0 and whole is not None else _lenient(raw)
-            if text is None:
-                continue
-            if len(lines) == 1:
-                inner.append(_Layer(text, *layer.place(at + (0 if shift == 0 else shift), m.end()), path))
-                continue
-            sizes = [1] * len(text) if text is not whole else [len(c.encode()) for c in text]
-            starts, stops, byte, i, j = [], [], 0, 0, 0
-            spans = [layer.place(at + a, at + b) for a, b in lines]
-            for n in sizes:
-                lo, hi = shift + byte * 4 // 3, shift + ((byte + n) * 8 - 1) // 6
-                while first[i + 1] <= lo:
-                    i += 1
-                j = max(i, j)
-                while first[j + 1] <= hi:
-                    j += 1
-                starts.append(spans[i][0])
-                stops.append(spans[j][1])
-                byte += n
-            inner.append(_Layer(text, starts, stops, path))
-        if whole is None:
-            for k, (a, b) in enumerate(lines):
-                for seam in (0, *[x.end() for x in SEAM.finditer(pieces[k])]):
-                    head = body[first[k] + seam:first[k] + seam + 8]
-                    if len(head) == 8 and _inflate_kind(_base64(head)) is not None:
-                        inflated(_base64(body[first[k] + seam:]), at + a + seam, m.end(), path)
-            for shift in range(1, 4):
-                if len(body) > shift + 8 and _inflate_kind(_base64(body[shift:shift + 8])) is not None:
-                    inflated(_base64(body[shift:]), at + shift, m.end(), path)
+        yield from _unwrap_run(layer, m[0], m.start(), m.end())
     if "%" in layer.text or "\\x" in layer.text or "\\u00" in layer.text:
         for m in ESCAPED.finditer(layer.text):
-            if "%" in m[0] or "\\" in m[0]:
-                raw = _escaped(m[0])
-                if _inflate_kind(raw) is not None:
-                    inflated(raw, *m.span(), (*layer.path, "url" if "%" in m[0] else "unicode"))
-    return [x for x in inner if x is not None], large
+            if ("%" in m[0] or "\\" in m[0]) and _inflate_kind(_escaped(m[0][:64])) is not None:
+                yield from _inflated(layer, _escaped(m[0]), *m.span(), (*layer.path, "url" if "%" in m[0] else "unicode"))
+
+
+def _unwrap_run(layer: _Layer, run: str, at: int, stop: int):
+    """Layers of a base64 run, which may go over several lines."""
+    cuts = [(x.start(), x.end()) for x in WRAP.finditer(run)]
+    lines = list(zip([0, *[b for _, b in cuts]], [*[a for a, _ in cuts], len(run)], strict=True))
+    pieces = [run[a:b].rstrip("=") for a, b in lines]
+    body, first = "".join(pieces), [0]
+    for x in pieces:
+        first.append(first[-1] + len(x))
+    path = (*layer.path, "base64")
+    readable = False
+    for shift in range(4):
+        if shift == 0 and len(body) % 4 != 1:
+            text = _readable(_base64(body))
+            readable = text is not None
+        else:
+            text = None
+        if text is None:
+            text = _lenient(_base64(body[shift:]))
+        if text is None:
+            continue
+        if len(lines) == 1:
+            yield _Layer(text, layer.place(at + shift, stop), path)
+        else:
+            sizes = _sizes(text) if shift == 0 and readable else np.ones(len(text), np.int8)
+            yield _Layer(text, _wrapped([layer.place(at + a, at + b) for a, b in lines], first[:-1], shift, sizes), path)
+    if readable:
+        return
+    for k, (a, _) in enumerate(lines):
+        for seam in (0, *[x.end() for x in SEAM.finditer(pieces[k])]):
+            if first[k] + seam + 8 <= len(body) and _begins(body, first[k] + seam):
+                yield from _inflated(layer, _base64(body[first[k] + seam:]), at + a + seam, stop, path)
+    for shift in range(1, 4):
+        if len(body) > shift + 8 and _begins(body, shift):
+            yield from _inflated(layer, _base64(body[shift:]), at + shift, stop, path)
 
 
 def scan(text: str):
-    """All findings of a text as (kind, start, stop, path), and oversized layers."""
-    found = {(a, KINDS.index(k), b): "" for k, a, b in find(text)}
+    """All findings of a text as (kind, start, stop, path), and oversized layers.
+    A find has the path with the fewest layers among those that lead to it."""
+    found = {(a, KINDS.index(k), b): () for k, a, b in find(text)}
     seen, large = set(), 0
 
-    def work(first):
-        nonlocal large
-        queue = deque([first])
-        while queue:
-            layer = queue.popleft()
-            inner, streams = _unwrap(layer)
-            for x in inner:
-                if x.text != layer.text and note(x):
-                    queue.append(x)
-            for kind, raw, (a, b), path in streams:
-                large += 1
-                for piece in _pieces(kind, raw):  # one at a time
-                    x = _Layer(piece, a, b, path)
-                    if note(x):
-                        work(x)
-
     def note(x):
         where = x.place(0, len(x.text)) if x.text else (0, 0)
         key = hashlib.blake2b(x.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), where
@@ -355,11 +408,35 @@ def scan(text: str):
         seen.add(key)
         for k, a, b in find(x.text):
             s, e = x.place(a, b)
-            found.setdefault((s, KINDS.index(k), e), ">".join(x.path))
+            old = found.get((s, KINDS.index(k), e))
+            if old is None or (len(x.path), x.path) < (len(old), old):
+                found[s, KINDS.index(k), e] = x.path
         return True
 
-    work(_Layer(text, None, None, ()))
-    return [(KINDS[k], a, b, path) for (a, k, b), path in sorted(found.items())], large
+    def layers(parent):
+        """New layers inside ``parent``; pieces of an oversized stream are layers too."""
+        nonlocal large
+        for x in _unwrap(parent):
+            if isinstance(x, _Layer):
+                if x.text != parent.text and note(x):
+                    yield x
+                continue
+            large += 1
+            kind, raw, where, path = x
+            for piece in _pieces(kind, raw):
+                x = _Layer(piece, where, path)
+                if note(x):
+                    yield x
+
+    # the deepest open layer is unwrapped first: what is held follows the depth, not the number of layers
+    open_ = [layers(_Layer(text, None, ()))]
+    while open_:
+        x = next(open_[-1], None)
+        if x is None:
+            open_.pop()
+        else:
+            open_.append(layers(x))
+    return [(KINDS[k], a, b, ">".join(path)) for (a, k, b), path in sorted(found.items())], large
 
 
 def _texts(column):
@@ -373,18 +450,19 @@ def _texts(column):
 
 
 def _redacted(column):
-    texts, counts = [], []
+    texts, counts, large = [], [], []
     for t in column:
         t = t.as_py()
         out, at = [], 0
-        found = scan(t or "")[0]
+        found, n = scan(t or "")
+        large.append(n)
         for kind, a, b, _ in found:
             if b > at:
                 out += [t[at:max(a, at)], f"[{kind}]" if a >= at else ""]
                 at = b
         texts.append(t if not found else "".join(out) + t[at:])
         counts.append(len(found))
-    return [pa.array(texts, pa.string()), pa.array(counts, pa.int32())]
+    return [pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(large, pa.int32())]
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", keep=None) -> DataFrame:
@@ -395,8 +473,9 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep=None) -> DataFram
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", keep=None) -> DataFrame:
     """``row``, redacted (the text with each finding replaced by its kind in
-    brackets; null stays null) and the number of findings."""
-    return annotated(docs, text_col, lambda: _redacted, "redacted string, n_secrets int", keep)
+    brackets; null stays null), the number of findings and that of oversized
+    layers, in which some may be left."""
+    return annotated(docs, text_col, lambda: _redacted, "redacted string, n_secrets int, oversized int", keep)
 
 
 def op3_secret_scan(spark, sf_dir):
