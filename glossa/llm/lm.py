@@ -44,7 +44,7 @@ DIM, HIDDEN = 16, 32
 LOCAL = 1 << 19
 ROUNDS, RATE = 2, 0.1
 #: Targets of a step: few in a task's first steps, more as it has seen more.
-BATCH, LARGEST = 512, 4096
+BATCH, LARGEST = 512, 16384
 #: Parts in which parameters are merged, and salted groups of each.
 PARTS, SALTS = 16, 16
 NEIGHBOURS = [o for o in range(-SIDE, SIDE + 1) if o]
