@@ -45,6 +45,8 @@ LOCAL = 1 << 19
 ROUNDS, RATE = 2, 0.1
 #: Targets of a step: few in a task's first steps, more as it has seen more.
 BATCH, LARGEST = 512, 16384
+#: Targets of a pass within a step.
+CACHED = 2048
 #: Parts in which parameters are merged, and salted groups of each.
 PARTS, SALTS = 16, 16
 NEIGHBOURS = [o for o in range(-SIDE, SIDE + 1) if o]
@@ -143,7 +145,10 @@ class Model:
             self.low_c, self.low_m = self._bounded()
         h = np.tanh(sum(f[around[:, i]] for i, f in enumerate(self.first)) + p["b"])
         cls, member = target // MEMBERS, target % MEMBERS
-        out = _log_softmax_at(h @ p["c"] + p["cb"], cls, self.low_c)
+        out = np.empty(len(h), h.dtype)
+        for a in range(0, len(h), CACHED):
+            at = slice(a, a + CACHED)
+            out[at] = _log_softmax_at(h[at] @ p["c"] + p["cb"], cls[at], self.low_c)
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for k in range(CLASSES):
@@ -163,26 +168,43 @@ class Model:
         cls, member = target // MEMBERS, target % MEMBERS
         rows = np.arange(n)
         low_c, low_m = self._bounded()
-        dc = _softmax(h @ p["c"] + p["cb"], low_c)
-        loss = -np.log(dc[rows, cls]).sum()
-        dc[rows, cls] -= 1
-        dh = dc @ p["c"].T
-        g = {"c": h.T @ dc / n, "cb": dc.sum(0) / n, "m": np.zeros_like(p["m"]), "mb": np.zeros_like(p["mb"])}
+        kind = p["e"].dtype
+        g = {k: np.zeros_like(v) for k, v in p.items()}
+        dh, loss = np.empty_like(h), 0.0
+        for a in range(0, n, CACHED):  # what a pass touches stays in the cache
+            at = slice(a, min(a + CACHED, n))
+            dc = _softmax(h[at] @ p["c"] + p["cb"], low_c)
+            own = rows[:len(dc)]
+            loss -= np.log(dc[own, cls[at]]).sum()
+            dc[own, cls[at]] -= 1
+            np.matmul(dc, p["c"].T, out=dh[at])
+            g["c"] += h[at].T @ dc
+            g["cb"] += dc.sum(0)
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         for k in np.flatnonzero(np.diff(cuts)):
-            at = slice(cuts[k], cuts[k + 1])
-            own, col = rows[:cuts[k + 1] - cuts[k]], member[at]
-            dm = _softmax(h[at] @ p["m"][k] + p["mb"][k], low_m[k])
-            loss -= np.log(dm[own, col]).sum()
-            dm[own, col] -= 1
-            g["m"][k], g["mb"][k] = h[at].T @ dm / n, dm.sum(0) / n
-            dh[at] += dm @ p["m"][k].T
-        dh *= (1 - h * h) / n
-        g["b"] = dh.sum(0)
-        g["w"] = (x.T @ dh).reshape(p["w"].shape)
-        dx = np.ascontiguousarray((dh @ w.T).reshape(-1, DIM).T, dtype=np.float64)
-        where = around.ravel().astype(np.intp)
-        g["e"] = np.stack([np.bincount(where, weights=d, minlength=VOCAB + 1) for d in dx], axis=1).astype(p["e"].dtype)
+            for a in range(cuts[k], cuts[k + 1], CACHED):
+                at = slice(a, min(a + CACHED, cuts[k + 1]))
+                dm = _softmax(h[at] @ p["m"][k] + p["mb"][k], low_m[k])
+                own, col = rows[:len(dm)], member[at]
+                loss -= np.log(dm[own, col]).sum()
+                dm[own, col] -= 1
+                g["m"][k] += h[at].T @ dm
+                g["mb"][k] += dm.sum(0)
+                dh[at] += dm @ p["m"][k].T
+        e = np.zeros((DIM, VOCAB + 1))
+        for a in range(0, n, CACHED):
+            at = slice(a, min(a + CACHED, n))
+            d = dh[at]
+            d *= 1 - h[at] * h[at]
+            g["b"] += d.sum(0)
+            g["w"] += (x[at].T @ d).reshape(p["w"].shape)
+            dx = (w @ d.T).reshape(len(NEIGHBOURS), DIM, -1)
+            where = np.ascontiguousarray(around[at].T, dtype=np.intp).ravel()
+            for i in range(DIM):
+                e[i] += np.bincount(where, weights=dx[:, i].ravel(), minlength=VOCAB + 1)
+        g["e"] = e.T.astype(kind)
+        for v in g.values():
+            v /= n
         return loss / n, g
 
     def learn(self, target, around, seen, rate):
