@@ -1,5 +1,5 @@
 """Bench: model build, batch prediction (both algorithms, cold and warm),
-accuracy, perplexity, statistics and the size sweep at $BENCH_SF_DIR on
+accuracy, perplexity, statistics and the sweep at $BENCH_SF_DIR on
 local[$BENCH_CPUS].  Prints one JSON line."""
 
 from __future__ import annotations
@@ -51,6 +51,7 @@ def main():
     timed("perplexity", lambda: perplexity(model, test).collect())
     timed("model_stats", lambda: model_stats(model).collect())
     timed("sweep_sizes", lambda: sweep(lines, with_accuracy=False).collect())
+    timed("sweep", lambda: sweep(lines, test).collect())  # sizes and accuracies of all 24 configurations
     total = round(sum(times.values()), 3)
     out = {"metric": "ngram_pipeline_total", "value": total, "unit": "sec", "queries": times,
            "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
