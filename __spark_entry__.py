@@ -317,19 +317,19 @@ def q_stream_ngram_counts(spark, sf):
 
 
 def q_stream_window_counts(spark, sf):
-    """Counts by hour from a stateful stream; a document stands for a minute."""
+    """Counts by hour from a stateful stream; a document stands for a minute.
+    All files are one batch: they are in no order of time, and of files that
+    came one by one, lines would be left out as late."""
     from glossa.streaming.jobs import document_line_stream, stream_windowed_counts
-    lines = document_line_stream(spark, sf, max_files_per_trigger=1).withColumn("time", F.timestamp_seconds(F.col("doc_id") * 60))
+    lines = document_line_stream(spark, sf).withColumn("time", F.timestamp_seconds(F.col("doc_id") * 60))
     found = stream_windowed_counts(lines, "time", scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state"))
     return found.select((F.unix_timestamp("start") / 3600).cast("bigint").alias("hour"), "n", "term", "count")
 
 
 def q_stream_predict_katz(spark, sf):
-    from glossa.streaming.jobs import stream_predictions
-    conv = spark.read.parquet(f"{sf}/conversations.parquet")
-    phr = (spark.readStream.schema(conv.schema).option("pathGlobFilter", "conversations*.parquet")
-           .parquet(sf))
-    return _rounded(stream_predictions(_model(spark, sf), conversation_phrases(phr), scratch_path(spark, "stream-out"),
+    from glossa.streaming.jobs import stream_predictions, table_stream
+    phr = conversation_phrases(table_stream(spark, sf, "conversations"))
+    return _rounded(stream_predictions(_model(spark, sf), phr, scratch_path(spark, "stream-out"),
                                        scratch_path(spark, "stream-state"), "katz", 10, clean=True))
 
 

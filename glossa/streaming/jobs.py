@@ -28,12 +28,23 @@ def document_line_stream(spark: SparkSession, folder: str, table: str = "documen
                          lang: str | None = "en", max_files_per_trigger: int | None = None,
                          schema=None) -> DataFrame:
     """Stream the parquet files of one table in ``folder`` as text lines."""
+    return document_lines(table_stream(spark, folder, table, max_files_per_trigger, schema), lang)
+
+
+def table_stream(spark: SparkSession, folder: str, table: str, max_files_per_trigger: int | None = None, schema=None) -> DataFrame:
+    """Stream the rows of ``folder/table*.parquet``; each may be one file or a folder of files."""
+    folder = folder.rstrip("/")
     if schema is None:
-        schema = spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
+        schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
+    reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return document_lines(reader.parquet(folder), lang)
+    return reader.parquet(f"{folder}/{table}*.parquet")
+
+
+#: Keeps state on the executors' disks; the default keeps every row of it in their memory.
+STATE_ON_DISK = ("spark.sql.streaming.stateStore.providerClass",
+                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def run_available(stream: DataFrame, checkpoint: str, each_batch, mode: str = "append") -> None:
@@ -75,7 +86,13 @@ def stream_windowed_counts(lines: DataFrame, time_col: str, out: str, checkpoint
     term.  Totals live in the state store; a window is dropped from it, and
     lines that come later are left out, once the watermark has passed it."""
     counts = windowed_ngram_counts(lines.withWatermark(time_col, watermark), time_col, width, orders)
-    run_available(counts, checkpoint, _by_epoch(out), "update")
+    conf, (name, provider) = lines.sparkSession.conf, STATE_ON_DISK
+    before = conf.get(name, None)
+    conf.set(name, provider)
+    try:
+        run_available(counts, checkpoint, _by_epoch(out), "update")
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
     changes = lines.sparkSession.read.parquet(out)
     return changes.groupBy("start", "n", "term").agg(F.max_by("count", "epoch").alias("count"))
 
