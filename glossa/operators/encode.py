@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.operators.membership import WordFilter, word_filter
+from glossa.operators.membership import WordFilter, word_filter, word_hash
 
 DEFAULT_BROADCAST_MAX_WORDS = 2_000_000
 
@@ -42,6 +42,17 @@ def gram_occurrences(tokens: DataFrame, orders=(2, 3), keep=()) -> DataFrame:
     return g.select(*keep, F.col("g.n").cast("int").alias("n"), "g.w1", "g.w2", "g.w3")
 
 
+def hashed_occurrences(tokens: DataFrame, n: int, keep=()) -> DataFrame:
+    """(w1..wn, h1..hn) and the columns ``keep`` per occurrence of one order.  A
+    word is hashed once, where the lines are, for all n-grams that hold it and
+    all bits that are asked of a filter."""
+    t, h, parts = F.col("tokens"), F.col("_hashes"), range(n)
+    grams = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.struct(
+        *[F.get(t, i + k).alias(f"w{k + 1}") for k in parts], *[F.get(h, i + k).alias(f"h{k + 1}") for k in parts]))
+    lines = tokens.filter(F.size(t) >= n).select(*keep, "tokens", F.transform(t, word_hash).alias("_hashes"))
+    return lines.select(*keep, F.explode(grams).alias("g")).select(*keep, "g.*")
+
+
 def _lookup(vocab: DataFrame, word_col: str, id_col: str, broadcast: bool) -> DataFrame:
     v = vocab.select(F.col("word").alias(word_col), F.col("idx").alias(id_col))
     return F.broadcast(v) if broadcast else v
@@ -72,8 +83,8 @@ def gram_strings(tokens: DataFrame, n: int, keep=(), counts=None, known: WordFil
     other aggregates, over the columns ``keep`` of the lines.  ``known`` leaves
     out n-grams with a word that is certainly not in the vocabulary."""
     words = [f"w{i + 1}" for i in range(n)]
-    grams = gram_occurrences(tokens, (n,), keep)
-    return (known.may_hold(grams, words) if known else grams).groupBy(*words).agg(*(counts or [F.count(F.lit(1)).alias("count")]))
+    grams = known.may_hold(hashed_occurrences(tokens, n, keep), [f"h{i + 1}" for i in range(n)]) if known else gram_occurrences(tokens, (n,), keep)
+    return grams.groupBy(*words).agg(*(counts or [F.count(F.lit(1)).alias("count")]))
 
 
 def encoded_strings(strings: DataFrame, vocab: DataFrame, n: int, broadcast: bool = False) -> DataFrame:
