@@ -97,7 +97,8 @@ def predict(model, phrases: DataFrame, algo: str = "stupid", k: int = 10,
     """Key columns, word_idx, word, prob[, rank] for every phrase of two words
     or more (``predict_status`` names the others)."""
     keys = phrase_keys(phrases)
-    enc = encode_contexts(model, parse_phrases(phrases, clean).filter("valid"))
+    # written once: the contexts are read for every list of candidates
+    enc = materialise(encode_contexts(model, parse_phrases(phrases, clean).filter("valid")).select(*keys, "u", "v"), "asked")
     stop_idx, key = resolve_stop_ids(model, include_stop_words, stop_words)
     top = context_predictions(model, enc.select("u", "v"), algo, k, stop_idx, key, d, a, ties, rank_col)
     words = model.vocab.select(F.col("idx").alias("w"), "word")
