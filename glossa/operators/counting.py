@@ -15,6 +15,10 @@ from glossa.functions.text import clean_text, ngram_terms, tokenize
 from glossa.sources.wordlists import profanity_words
 
 
+#: Parts of lines that unfold behind their exchange, in multiples of Spark's own.
+UNFOLDED = 4
+
+
 def clean_lines(lines: DataFrame, remove_words=None) -> DataFrame:
     words = profanity_words() if remove_words is None else remove_words
     return lines.select("doc_id", "line_no", clean_text("line", words).alias("clean"))
@@ -56,8 +60,13 @@ def ngram_counts(tokens: DataFrame, orders=(1, 2, 3)) -> DataFrame:
 
 
 def doc_term_counts(tokens: DataFrame, orders=(1, 2, 3)) -> DataFrame:
-    """Long-form document-term matrix: (doc_id, line_no, term, count)."""
-    return (ngram_occurrences(tokens, orders, keep_line=True)
+    """Long-form document-term matrix: (doc_id, line_no, term, count).
+
+    Lines are dealt out, not their terms: a line unfolds, to some ten times its
+    size, where it is counted.  There are more parts than usual for that."""
+    parts = UNFOLDED * int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tokens.select("doc_id", "line_no", "tokens").repartition(parts, "doc_id", "line_no")
+    return (ngram_occurrences(dealt, orders, keep_line=True)
             .groupBy("doc_id", "line_no", "term").agg(F.count(F.lit(1)).alias("count")))
 
 
