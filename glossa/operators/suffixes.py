@@ -61,9 +61,14 @@ def suffix_counts(tokens: DataFrame, orders=(1, 2, 3, 4), sample: float = 0.01,
     heads = F.array(*[F.when(behind >= n - 1, F.struct(F.lit(n).alias("n"), F.substring_index("rest", " ", n - 1).alias("head"))) for n in orders])
     cells = whole.select("w1", "salt", "count", F.explode(F.filter(heads, lambda h: h.isNotNull())).alias("h"))
     total = F.sum("count").cast("bigint").alias("count")
-    # the salt as an aggregate: a filter on it then stays above the exchange, which both branches share
-    here = cells.groupBy("w1", "salt", F.col("h.n").alias("n"), F.when(F.col("h.n") > 1, F.col("h.head")).alias("head")).agg(
-        total, F.max("salt").alias("lies"), F.max("h.n").alias("order"))
-    here = here.select("order", F.concat_ws(" ", "w1", "head").alias("term"), "count", ((F.col("lies") > BY_LINE) & (F.col("order") > 1)).alias("done"))
-    parts = here.filter(~F.col("done")).groupBy("order", "term").agg(total)
-    return here.filter("done").select("order", "term", "count").unionByName(parts).withColumnRenamed("order", "n")
+    # below 0: single words, and pairs dealt by line.  One number of both, since a condition on the salt
+    # alone would be moved below the exchange, which the two branches share
+    open_ = F.least(F.col("h.n") - 2, F.col("salt") - BY_LINE - 1)
+
+    def sums(some: DataFrame) -> DataFrame:
+        """(n, term, count) of the n-grams where they lie."""
+        here = some.groupBy("w1", "salt", F.col("h.n").alias("n"), F.when(F.col("h.n") > 1, F.col("h.head")).alias("head")).agg(total)
+        return here.select("n", F.concat_ws(" ", "w1", "head").alias("term"), "count")
+
+    parts = sums(cells.filter(open_ < 0)).groupBy("n", "term").agg(total)
+    return sums(cells.filter(open_ >= 0)).unionByName(parts)
