@@ -94,6 +94,7 @@ def model_from_tokens(tokens: DataFrame, cutoff: float | None = 0.9, filter_one_
                       broadcast_max_words: int = DEFAULT_BROADCAST_MAX_WORDS,
                       unigrams: DataFrame | None = None, params: dict | None = None) -> NGramModel:
     ensure_checkpoint_dir(tokens.sparkSession)
+    tokens = materialise(tokens.select("tokens"), "train-tokens")  # cleaned once, read for words and for n-grams
     uni = materialise(unigram_counts(tokens), "unigrams") if unigrams is None else unigrams
     vocab, nb = build_vocabulary(uni, cutoff, with_nb=True)
     vocab = materialise(vocab, "vocab")
@@ -119,8 +120,8 @@ def build_model(lines: DataFrame, ratio: float = 1.0, cutoff: float | None = 0.9
                 input_partitions: int | None = None, tokenizer=None) -> NGramModel:
     """Full build from raw lines (doc_id, line_no, line).
 
-    The corpus is scanned twice (unigram counts, then encoded n-grams) and
-    kept nowhere in between.  ``input_partitions`` spreads the lines of a few
+    The corpus is scanned and cleaned once; its tokens are written to the
+    shared folder and read twice (unigram counts, then encoded n-grams).  ``input_partitions`` spreads the lines of a few
     large files over more tasks before they are cleaned; ``tokenizer`` is that of
     ``line_tokens``.
     """
