@@ -32,7 +32,7 @@ def document_lines(documents: DataFrame, lang: str | None = "en",
         cols.append(F.col("source"))
     lines = docs.select(*cols, F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "line"))
     out = [F.col("doc_id"), F.col("line_no").cast("int").alias("line_no"),
-           F.translate(F.col("line"), "\u0000", "").alias("line")]
+           F.replace(F.col("line"), F.lit("\u0000"), F.lit("")).alias("line")]
     if keep_source:
         out.append(F.col("source"))
     return lines.select(*out)
