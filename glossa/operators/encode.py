@@ -2,9 +2,10 @@
 
 Two plans give the same tables:
 
-* **broadcast** (vocabulary below a checked size): every bigram/trigram
-  occurrence is encoded by broadcast hash joins *before* counting.  OOV
-  n-grams drop out in the map stage and the shuffle carries int keys only.
+* **broadcast** (vocabulary below a checked size): every token is one row with
+  the two words after it, encoded by broadcast hash joins *before* counting.
+  OOV n-grams drop out in the map stage and the shuffle carries int keys only;
+  bigrams are sums of the counted rows.
 * **shuffle** (vocabulary too large to broadcast): a Bloom filter of the
   vocabulary drops most n-grams with unknown words in the map stage
   (``membership.py``); the others are counted as strings (partial aggregation),
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.operators.membership import WordFilter, word_filter, word_hash
+from glossa.session import materialise
 
 DEFAULT_BROADCAST_MAX_WORDS = 2_000_000
 
@@ -42,6 +44,13 @@ def gram_occurrences(tokens: DataFrame, orders=(2, 3), keep=()) -> DataFrame:
     return g.select(*keep, F.col("g.n").cast("int").alias("n"), "g.w1", "g.w2", "g.w3")
 
 
+def followed_words(tokens: DataFrame, n: int) -> DataFrame:
+    """(w1..wn): a row for each token, with the words after it in its line
+    (NULL beyond the end)."""
+    at = tokens.select("tokens", F.posexplode("tokens").alias("pos", "w1"))
+    return at.select("w1", *[F.get("tokens", F.col("pos") + i).alias(f"w{i + 1}") for i in range(1, n)])
+
+
 def hashed_occurrences(tokens: DataFrame, n: int, keep=()) -> DataFrame:
     """(w1..wn, h1..hn) and the columns ``keep`` per occurrence of one order.  A
     word is hashed once, where the lines are, for all n-grams that hold it and
@@ -61,7 +70,7 @@ def _lookup(vocab: DataFrame, word_col: str, id_col: str, broadcast: bool) -> Da
 def encoded_gram_counts(tokens: DataFrame, vocab: DataFrame, broadcast: bool,
                         orders=(2, 3)) -> DataFrame:
     """(n, i1, i2, i3, count) of in-vocabulary n-grams (i3 NULL for n=2), both
-    orders from one pass with a broadcast vocabulary."""
+    orders from one pass with a broadcast vocabulary, whose counts are written."""
     if not broadcast:
         known = word_filter(vocab, vocab.count())
         parts = [encoded_strings(gram_strings(tokens, n, known=known), vocab, n).select(
@@ -70,12 +79,19 @@ def encoded_gram_counts(tokens: DataFrame, vocab: DataFrame, broadcast: bool,
         for x in parts[1:]:
             out = out.unionByName(x)
         return out
-    occ = gram_occurrences(tokens, orders)
-    enc = (occ.join(_lookup(vocab, "w1", "i1", True), "w1")
-           .join(_lookup(vocab, "w2", "i2", True), "w2")
-           .join(_lookup(vocab, "w3", "i3", True), "w3", "left")
-           .filter((F.col("n") == 2) | F.col("i3").isNotNull()))
-    return enc.groupBy("n", "i1", "i2", "i3").agg(F.count(F.lit(1)).alias("count"))
+    longest = max(orders)
+    enc = followed_words(tokens, longest)
+    for i in range(1, longest + 1):
+        enc = enc.join(_lookup(vocab, f"w{i}", f"i{i}", True), f"w{i}", "left" if i > min(orders) else "inner")
+    counts = enc.groupBy(*[f"i{i}" for i in range(1, longest + 1)]).agg(F.count(F.lit(1)).alias("count"))
+    if len(orders) > 1:  # a bigram is counted with each word after it, and with none
+        counts = materialise(counts, "followed-counts")
+    parts = []
+    for n in orders:
+        ids = [f"i{i}" for i in range(1, n + 1)]
+        own = counts.filter(F.col(ids[-1]).isNotNull()) if n == longest else counts.groupBy(*ids).agg(F.sum("count").alias("count"))
+        parts.append(own.select(F.lit(n).alias("n"), "i1", "i2", (F.col("i3") if n == 3 else F.lit(None).cast("int")).alias("i3"), "count"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def gram_strings(tokens: DataFrame, n: int, keep=(), counts=None, known: WordFilter | None = None) -> DataFrame:
