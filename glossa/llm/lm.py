@@ -109,22 +109,38 @@ def initial(vocab: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
             "m": f(CLASSES, HIDDEN, MEMBERS, scale=0.1), "mb": np.log(vocab.share / vocab.share.sum(1, keepdims=True)).astype(np.float32)}
 
 
+def _logits(h, weights, bias):
+    """Logits of the units ``h`` (n, units): an entry a row and a target a
+    column, so that what follows runs along the targets."""
+    x = weights.T @ h.T
+    x += bias[:, None]
+    return x
+
+
+def _sums(x):
+    """Sums of the columns, in the order in which numpy sums 64 neighbours."""
+    if len(x) % 8 or len(x) > 128:
+        return x.sum(0)
+    r = x.reshape(-1, 8, x.shape[1]).sum(0)
+    return ((r[0] + r[1]) + (r[2] + r[3])) + ((r[4] + r[5]) + (r[6] + r[7]))
+
+
 def _softmax(x, bounded):
-    """Softmax of each row, in place; ``bounded`` says that no entry can overflow ``exp``."""
+    """Softmax of each column, in place; ``bounded`` says that no entry can overflow ``exp``."""
     if not bounded:
-        x -= x.max(1, keepdims=True)
+        x -= x.max(0)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x /= _sums(x)
     return x
 
 
-def _log_softmax_at(x, col, bounded):
-    """log-softmax of x at one column of each row; ``bounded`` says that no
+def _log_softmax_at(x, row, bounded):
+    """log-softmax of x at one row of each column; ``bounded`` says that no
     entry can overflow ``exp``."""
     if not bounded:
-        x -= x.max(1, keepdims=True)
-    own = x[np.arange(len(x)), col]
-    return own - np.log(np.exp(x, out=x).sum(1))
+        x -= x.max(0)
+    own = x[row, np.arange(x.shape[1])]
+    return own - np.log(_sums(np.exp(x, out=x)))
 
 
 class Model:
@@ -143,65 +159,78 @@ class Model:
         if self.first is None:
             self.first = [p["e"] @ p["w"][i] for i in range(len(NEIGHBOURS))]
             self.low_c, self.low_m = self._bounded()
-        h = np.tanh(sum(f[around[:, i]] for i, f in enumerate(self.first)) + p["b"])
-        cls, member = target // MEMBERS, target % MEMBERS
-        out = np.empty(len(h), h.dtype)
-        for a in range(0, len(h), CACHED):
-            at = slice(a, a + CACHED)
-            out[at] = _log_softmax_at(h[at] @ p["c"] + p["cb"], cls[at], self.low_c)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = order[cuts[k]:cuts[k + 1]]
-            if len(at):
-                out[at] += _log_softmax_at(h[at] @ p["m"][k] + p["mb"][k], member[at], self.low_m[k])
+            self.bias = np.tile(p["b"], (CACHED, 1))
+        order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")  # classes become slices
+        cls, member = np.divmod(np.take(target, order), MEMBERS)
+        around = np.take(around, order, axis=0)
+        n = len(target)
+        h = np.empty((n, HIDDEN), p["e"].dtype)
+        found = np.empty(n, h.dtype)
+        for a in range(0, n, CACHED):
+            at = slice(a, min(a + CACHED, n))
+            x = np.take(self.first[0], around[at, 0], axis=0)
+            for i, f in enumerate(self.first[1:], 1):
+                x += np.take(f, around[at, i], axis=0)
+            x += self.bias[:len(x)]
+            np.tanh(x, out=h[at])
+            found[at] = _log_softmax_at(_logits(h[at], p["c"], p["cb"]), cls[at], self.low_c)
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            for a in range(cuts[k], cuts[k + 1], CACHED):
+                at = slice(a, min(a + CACHED, cuts[k + 1]))
+                found[at] += _log_softmax_at(_logits(h[at], p["m"][k], p["mb"][k]), member[at], self.low_m[k])
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def gradient(self, target, around):
         """Loss and gradients of the mean negative log-probability."""
         p, n = self.p, len(target)
         order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")  # classes become slices
-        target, around = target[order], around[order]
-        x = p["e"][around].reshape(n, -1)
+        target, around = np.take(target, order), np.take(around, order, axis=0)
         w = p["w"].reshape(-1, HIDDEN)
-        h = np.tanh(x @ w + p["b"])
-        cls, member = target // MEMBERS, target % MEMBERS
+        cls, member = np.divmod(target, MEMBERS)
         rows = np.arange(n)
         low_c, low_m = self._bounded()
         kind = p["e"].dtype
+        h = np.empty((n, HIDDEN), kind)
         g = {k: np.zeros_like(v) for k, v in p.items()}
         dh, loss = np.empty_like(h), 0.0
         for a in range(0, n, CACHED):  # what a pass touches stays in the cache
             at = slice(a, min(a + CACHED, n))
-            dc = _softmax(h[at] @ p["c"] + p["cb"], low_c)
-            own = rows[:len(dc)]
-            loss -= np.log(dc[own, cls[at]]).sum()
-            dc[own, cls[at]] -= 1
-            np.matmul(dc, p["c"].T, out=dh[at])
-            g["c"] += h[at].T @ dc
-            g["cb"] += dc.sum(0)
+            np.matmul(np.take(p["e"], around[at], axis=0).reshape(-1, len(w)), w, out=h[at])
+            h[at] += p["b"]
+            np.tanh(h[at], out=h[at])
+            dc = _softmax(_logits(h[at], p["c"], p["cb"]), low_c)
+            own = rows[:dc.shape[1]]
+            loss -= np.log(dc[cls[at], own]).sum()
+            dc[cls[at], own] -= 1
+            np.matmul(dc.T, p["c"].T, out=dh[at])
+            g["c"] += (dc @ h[at]).T
+            g["cb"] += dc.sum(1)
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         for k in np.flatnonzero(np.diff(cuts)):
             for a in range(cuts[k], cuts[k + 1], CACHED):
                 at = slice(a, min(a + CACHED, cuts[k + 1]))
-                dm = _softmax(h[at] @ p["m"][k] + p["mb"][k], low_m[k])
-                own, col = rows[:len(dm)], member[at]
-                loss -= np.log(dm[own, col]).sum()
-                dm[own, col] -= 1
-                g["m"][k] += h[at].T @ dm
-                g["mb"][k] += dm.sum(0)
-                dh[at] += dm @ p["m"][k].T
+                dm = _softmax(_logits(h[at], p["m"][k], p["mb"][k]), low_m[k])
+                own, row = rows[:dm.shape[1]], member[at]
+                loss -= np.log(dm[row, own]).sum()
+                dm[row, own] -= 1
+                g["m"][k] += (dm @ h[at]).T
+                g["mb"][k] += dm.sum(1)
+                dh[at] += dm.T @ p["m"][k].T
         e = np.zeros((DIM, VOCAB + 1))
         for a in range(0, n, CACHED):
             at = slice(a, min(a + CACHED, n))
             d = dh[at]
-            d *= 1 - h[at] * h[at]
+            slope = h[at] * h[at]
+            d *= np.subtract(1, slope, out=slope)
             g["b"] += d.sum(0)
-            g["w"] += (x[at].T @ d).reshape(p["w"].shape)
-            dx = (w @ d.T).reshape(len(NEIGHBOURS), DIM, -1)
+            g["w"] += (np.take(p["e"], around[at], axis=0).reshape(-1, len(w)).T @ d).reshape(p["w"].shape)
+            dx = np.ascontiguousarray((w @ d.T).reshape(len(NEIGHBOURS), DIM, -1).transpose(1, 0, 2), dtype=np.float64).reshape(DIM, -1)
             where = np.ascontiguousarray(around[at].T, dtype=np.intp).ravel()
             for i in range(DIM):
-                e[i] += np.bincount(where, weights=dx[:, i].ravel(), minlength=VOCAB + 1)
+                e[i] += np.bincount(where, weights=dx[i], minlength=VOCAB + 1)
         g["e"] = e.T.astype(kind)
         for v in g.values():
             v /= n

@@ -9,6 +9,7 @@ import itertools
 import random
 import re
 import sys
+import tracemalloc
 import urllib.parse
 import zlib
 from pathlib import Path
@@ -398,6 +399,27 @@ def lm_model(texts):
     return w, vocab, lm.Model(lm.initial(vocab))
 
 
+def test_lm_sums_along_targets():
+    """Logits lie with a target a column; passes keep what is touched small, also where all targets are of one class."""
+    r = np.random.default_rng(3)
+    h, c, b = (r.normal(size=s).astype(np.float32) for s in ((50, lm.HIDDEN), (lm.HIDDEN, lm.CLASSES), (lm.CLASSES,)))
+    x = lm._logits(h, c, b)
+    plain = np.exp(h.astype(np.float64) @ c + b)
+    plain /= plain.sum(1, keepdims=True)
+    assert x.shape == (lm.CLASSES, 50) and np.allclose(lm._softmax(x, True).T, plain, atol=1e-6)
+    row = r.integers(0, lm.CLASSES, 50)
+    for bounded in (True, False):
+        assert np.allclose(lm._log_softmax_at(lm._logits(h, c, b), row, bounded), np.log(plain[np.arange(50), row]), atol=1e-5)
+    _, _, model = lm_model(["a b c d"])
+    target, around = np.full(1 << 16, 5, np.int32), r.integers(0, 9, (1 << 16, 4)).astype(np.int32)
+    want = model.log_probs(target[:100], around[:100])
+    tracemalloc.start()
+    got = model.log_probs(target, around)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and np.allclose(got[:100], want, atol=1e-6)
+
+
 def test_lm_is_normalised_and_gradient():
     w, vocab, model = lm_model(["a b c d e f g", "b c a", "z"])
     target, around, doc = lm._examples(w, vocab)
