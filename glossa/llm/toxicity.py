@@ -9,7 +9,7 @@ scored; the document's logit is the largest, calibrated to a probability.
 
 Training (numpy, back-propagation through time, Adagrad) takes a bounded
 sample of labelled documents, ``sample`` of each class at most, chosen by a
-hash of the id; windows of a positive document are learned by multiple
+hash of the id, in one task; windows of a positive document are learned by multiple
 instances, i.e. the window that scores highest stands for it, beside hard and
 random windows of negative documents.  The first component of the embeddings
 starts at a cautious log-odds estimate from four fifths of the sample, the
@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import annotated, table
+from .common import annotated, small_batches, table
 from .textops import ALNUM, Words, doc_ranges, gram_hashes, mix64, ragged, text_buffer
 
 WINDOW, STEP = 32, 16
@@ -41,6 +42,9 @@ COMMON = 4
 #: Labelled documents of each class that are learned from, at most.
 SAMPLE = 2500
 ROUNDS, STEPS, BATCH, RATE = 5, 80, 64, 0.08
+#: A fitted network: a row for each of its parameters.
+FITTED = T.StructType([T.StructField("name", T.StringType()), T.StructField("shape", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType()),
+                       *[T.StructField(x, T.DoubleType()) for x in ("scale", "shift", "prior")]])
 
 
 def _sigmoid(x):
@@ -348,9 +352,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = drawn[0].unionByName(drawn[1])
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(drawn), F.col("d") == F.col("id"))  # 4 * sample ids at most
-    parts = [rows.filter(F.col("y") == y).orderBy("o", "id", "text").limit(sample).select("y", "o", "id", "text").collect() for y in (0, 1)]
-    rows = sorted(parts[0] + parts[1], key=lambda x: (x["o"], x["id"], x["text"]))
-    return train([x["text"] for x in rows], [x["y"] for x in rows])
+    parts = [rows.filter(F.col("y") == y).orderBy("o", "id", "text").limit(sample).select("y", "o", "id", "text") for y in (0, 1)]
+
+    def run(batches):
+        drawn = sorted(x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("o", "id", "text", "y")), strict=True))
+        net = train([x[2] for x in drawn], [x[3] for x in drawn])
+        for name, v in net.p.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(v.shape)], pa.list_(pa.int32())), pa.array([v.tobytes()], pa.binary()),
+                                              *[pa.array([x], pa.float64()) for x in (net.scale, net.shift, net.prior)]], FITTED.names)
+
+    # one task learns from the sample, which is bounded: texts and gradients stay off the driver
+    small_batches(docs.sparkSession)
+    got = parts[0].unionByName(parts[1]).coalesce(1).mapInArrow(run, FITTED).collect()
+    if not got:  # no task, where Spark sees that there are no rows
+        return train([], [])
+    net = Network.__new__(Network)
+    net.p = {x["name"]: np.frombuffer(x["data"], np.float32).reshape(x["shape"]) for x in got}
+    net.scale, net.shift, net.prior = got[0]["scale"], got[0]["shift"], got[0]["prior"]
+    return net
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text", keep=None) -> DataFrame:

@@ -6,6 +6,7 @@ import bz2
 import gzip
 import heapq
 import itertools
+import os
 import random
 import re
 import sys
@@ -391,6 +392,27 @@ def test_toxicity_one_class_and_fit(spark, frame):
     assert toxicity.score(docs, toxicity.fit(docs, labels.filter("false"))).select("score").distinct().count() == 1
 
 
+def test_toxicity_learns_off_the_driver(spark, frame, monkeypatch):
+    """The driver's process neither holds the sample nor trains on it; the network is the one that ``train`` gives."""
+    rows = tox_rows(40)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(rows[0][0], rows[0][2])], "doc_id long, toxic int")
+    docs = frame([(i, t) for i, t, _ in rows])
+    drawn = docs.select(F.col("doc_id").alias("id"), "text").join(labels.withColumnRenamed("doc_id", "i"), F.col("id") == F.col("i")).select(
+        F.xxhash64("id", F.lit(17)).alias("o"), "id", "text", "toxic").collect()
+    drawn = sorted(tuple(r) for r in drawn)
+    want = toxicity.train([r[2] for r in drawn], [r[3] for r in drawn])
+    here, train = os.getpid(), toxicity.train
+
+    def elsewhere(texts, labels):
+        assert os.getpid() != here
+        return train(texts, labels)
+
+    monkeypatch.setattr(toxicity, "train", elsewhere)
+    net = toxicity.fit(docs, labels)
+    assert (net.scale, net.shift, net.prior) == (want.scale, want.shift, want.prior)
+    assert net.p.keys() == want.p.keys() and all((net.p[k] == v).all() and net.p[k].shape == v.shape for k, v in want.p.items())
+
+
 def lm_model(texts):
     buf, offs = textops.text_buffer(pa.array(texts))
     w = textops.Words(buf, offs, textops.ALNUM)
